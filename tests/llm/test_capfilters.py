@@ -41,17 +41,12 @@ def test_links_against_brute_force(spark, monkeypatch, cell):
 
 def test_list_decoding_is_complete():
     x = capfilters.unit_vectors(np.random.default_rng(2).normal(size=(20, 64)))
-    rotation, codes = capfilters.product_code()
-    row, f = capfilters.list_decode(x, 0.42)
-    digits = np.stack([f // capfilters.SIZE**p % capfilters.SIZE for p in (3, 2, 1, 0)])
-    direction = np.concatenate([codes[b][digits[b]] for b in range(4)], axis=1) / 2
-    assert (np.einsum("nd,nd->n", (x @ rotation)[row], direction) >= 0.42 - 1e-9).all()
-    rng = np.random.default_rng(3)
-    some = rng.integers(0, capfilters.SIZE**4, 200000)
-    digits = np.stack([some // capfilters.SIZE**p % capfilters.SIZE for p in (3, 2, 1, 0)])
-    direction = np.concatenate([codes[b][digits[b]] for b in range(4)], axis=1) / 2
-    near = {(i, some[j]) for i, j in zip(*np.nonzero((x @ rotation) @ direction.T >= 0.42 + 1e-9))}
-    assert near and near <= set(zip(row.tolist(), f.tolist()))
+    n = capfilters.SIZE**2
+    row, f = capfilters.list_decode(x)
+    for t, (rotation, codes) in enumerate(capfilters.product_codes()):
+        direction = np.concatenate([np.repeat(codes[0], capfilters.SIZE, 0), np.tile(codes[1], (capfilters.SIZE, 1))], axis=1) / np.sqrt(2)
+        expected = set(zip(*(v.tolist() for v in np.nonzero(x @ rotation @ direction.T >= capfilters.ALPHA)), strict=True))
+        assert {(r, g - t * n) for r, g in zip(row.tolist(), f.tolist(), strict=True) if g // n == t} == expected
 
 
 def test_empty_table(spark):
