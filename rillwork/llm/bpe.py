@@ -26,8 +26,8 @@ from rillwork.llm._shared import map_batches, read_table, with_default_columns
 
 #: Characters after a match that can decide about it: contractions look two ahead, white space one.
 LOOKAHEAD = 3
-#: Matches kept in a task's memory, and their longest length.
-MEMO, MEMO_CHARS = 400_000, 64
+#: Matches kept in a task's memory, and their longest length; parts of matches likewise, in bytes.
+MEMO, MEMO_CHARS, PART_BYTES = 800_000, 64, 8
 
 
 class TreeBPE:
@@ -37,12 +37,33 @@ class TreeBPE:
         self.ranks, self.pattern, self.leaf = ranks, regex.compile(pattern), leaf
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.memo: dict[str, bytes] = {}
-        self.stable = lru_cache(1 << 18)(self._stable)
+        self.parts: dict[bytes, list[int]] = {}
+        self.stable = lru_cache(1 << 20)(self._stable)
+        self.seam = lru_cache(1 << 20)(self._scan)
 
     # --- one match -------------------------------------------------------------------------
 
     def window(self, data: bytes) -> list[int]:
-        """Merges by rank, leftmost first, with a heap: the encoding of a seam's bytes."""
+        """Merges by rank, leftmost first: the encoding of a seam's bytes. Short ones are scanned, long ones use a heap."""
+        if len(data) > 48:
+            return self._window(data)
+        return self.seam(data) if len(data) <= 16 else self._scan(data)
+
+    def _scan(self, data: bytes) -> list[int]:
+        rank, part = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        none = len(self.ranks)
+        ranks = [rank(a + b, none) for a, b in zip(part, part[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(part[i - 1] + part[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(part[i] + part[i + 1], none)
+        return [self.ranks[p] for p in part]
+
+    def _window(self, data: bytes) -> list[int]:
         n = len(data)
         part = [data[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -82,9 +103,18 @@ class TreeBPE:
             take_l, take_r = take_l * (1 if fixed_l else 2), take_r * (1 if fixed_r else 2)
 
     def match_ids(self, data: bytes) -> list[int]:
-        if len(data) == 1:
-            return [self.ranks[data]]
-        return self.join(self.match_ids(data[: len(data) // 2]), self.match_ids(data[len(data) // 2 :]))
+        """Halves first, then their seam. A token's bytes encode to that token; short parts are remembered."""
+        if (token := self.ranks.get(data)) is not None:
+            return [token]
+        short = len(data) <= PART_BYTES
+        if short and (got := self.parts.get(data)) is not None:
+            return got
+        out = self.join(self.match_ids(data[: len(data) // 2]), self.match_ids(data[len(data) // 2 :]))
+        if short:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            self.parts[data] = out
+        return out
 
     def packed(self, match: str) -> bytes:
         """The match's ids as little-endian unsigned 32-bit integers."""
