@@ -38,8 +38,8 @@ class TreeBPE:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.memo: dict[str, bytes] = {}
         self.parts: dict[bytes, list[int]] = {}
-        self.stable = lru_cache(1 << 20)(self._stable)
-        self.seam = lru_cache(1 << 20)(self._scan)
+        self.stable = lru_cache(1 << 19)(self._stable)
+        self.seam = lru_cache(1 << 18)(self._scan)
 
     # --- one match -------------------------------------------------------------------------
 
