@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,34 +33,67 @@ SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 1 << 16
 #: A block ends after so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
 #: Encodings of space-free strings that a task keeps.
-MEMO = 300_000
+MEMO = 500_000
 BLOCKS = "shard int, block int, first_id bigint, last_id bigint, dict_hash string, width int, doc_ids array<bigint>, starts array<bigint>, sizes array<bigint>, offsets array<int>, payload binary"
 
 
 class WordMemo:
     """Encodes texts by the space-free strings in them, for tokenizers that split at white space and
     drop it, and whose normalizers work character by character or on white space only (composition
-    never crosses a space). Each new string goes through the tokenizer; known ones are looked up."""
+    never crosses a space). Each new string goes through the tokenizer; known ones are looked up.
+
+    New words of letters go through it together, joined by spaces: each is one piece of the pre-tokenizer, and
+    an id with the end-of-word suffix closes a piece. If the pieces do not add up, words go one by one.
+    A string of letters and then a mark from TRAIL is cut between the two, which ends a piece anyway.
+    """
 
     SPACES = re.compile("[ \n]+")
+    TRAIL = re.compile(r"([^\W\d_]+)([,.!*&$#%|].*)", re.DOTALL)
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    @staticmethod
+    def letters(word: str) -> bool:
+        """Whether the word is letters, also when composed and lower-cased."""
+        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+    def learn(self, new: set[str]) -> None:
+        cut = {p: m.groups() for p in new if not p.isalpha() and (m := self.TRAIL.fullmatch(p)) and self.letters(m[1])}
+        need = {q for p in new for q in cut.get(p, (p,))} - self.known.keys()
+        words = [w for w in need if self.letters(w)]
+        alone = [w for w in need if not self.letters(w)]
+        for i in range(0, len(words), 2048):
+            some = words[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                data, stops = ids.tobytes(), (ends * 4).tolist()
+                self.known.update(zip(some, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+            else:
+                alone += some
+        for i in range(0, len(alone), 2048):
+            some = alone[i : i + 2048]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        for p, (a, b) in cut.items():
+            self.known[p] = self.known[a] + self.known[b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
         parts = [self.SPACES.split(t or "") for t in texts]
-        new = list({p for ps in parts for p in ps} - self.known.keys())
+        wanted = {p for ps in parts for p in ps}
+        new = wanted - self.known.keys()
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
-            new = list({p for ps in parts for p in ps})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+            new = wanted
+        self.learn(new)
         known = self.known
         return [b"".join([known[p] for p in ps]) for ps in parts]
 
@@ -108,8 +142,10 @@ def train_dictionary(tokens: DataFrame) -> bytes:
 
         return step
 
-    chosen = tokens.select("doc_id", "crc", "z").orderBy(F.xxhash64("doc_id", "crc"), "crc").limit(SAMPLES)
-    pieces = [bytes(r.piece) for r in map_batches(chosen, make, "crc bigint, piece binary").orderBy("crc", "piece").collect()]
+    order = F.xxhash64("doc_id", "crc")
+    last = tokens.select(order.alias("h")).orderBy("h").limit(SAMPLES).agg(F.max("h")).first()[0]
+    chosen = tokens.where(order <= F.lit(last)).select("crc", "z") if last is not None else tokens.select("crc", "z").limit(0)
+    pieces = [bytes(r.piece) for r in map_batches(chosen, make, "crc bigint, piece binary").distinct().orderBy("crc", "piece").limit(SAMPLES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
