@@ -47,7 +47,6 @@ class WordMemo:
     A string of letters and then a mark from TRAIL is cut between the two, which ends a piece anyway.
     """
 
-    SPACES = re.compile("[ \n]+")
     TRAIL = re.compile(r"([^\W\d_]+)([,.!*&$#%|].*)", re.DOTALL)
 
     def __init__(self, path: str, suffix: str = "</w>"):
@@ -67,8 +66,9 @@ class WordMemo:
     def learn(self, new: set[str]) -> None:
         cut = {p: m.groups() for p in new if not p.isalpha() and (m := self.TRAIL.fullmatch(p)) and self.letters(m[1])}
         need = {q for p in new for q in cut.get(p, (p,))} - self.known.keys()
-        words = [w for w in need if self.letters(w)]
-        alone = [w for w in need if not self.letters(w)]
+        words, alone = [], []
+        for w in need:
+            (words if self.letters(w) else alone).append(w)
         for i in range(0, len(words), 2048):
             some = words[i : i + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -87,15 +87,14 @@ class WordMemo:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
-        parts = [self.SPACES.split(t or "") for t in texts]
-        wanted = {p for ps in parts for p in ps}
+        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        wanted = set().union(*parts)
         new = wanted - self.known.keys()
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
             new = wanted
         self.learn(new)
-        known = self.known
-        return [b"".join([known[p] for p in ps]) for ps in parts]
+        return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
