@@ -101,9 +101,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, crc, z): ids with ``end_id`` appended, compressed; a null text is empty."""
 
     def make():
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(1_000_000)  # lists of words hold no cycles; searching them for some costs a third of the time
         memo, pack = WordMemo(path), zstandard.ZstdCompressor(level=1)
         end, dtype = np.array([end_id], "<u4").tobytes(), _dtype(memo.tokenizer.get_vocab_size())
 
@@ -214,12 +216,12 @@ def read_token_files(spark: SparkSession, path: str, doc_id: int | None = None)
             for i in range(len(c["payload"])):
                 if c["dict_hash"][i].as_py() != digest:
                     raise ValueError("a block was written with another dictionary")
-                payload, at, base = c["payload"][i].as_py(), c["offsets"][i].as_py(), c["base"][i].as_py()
+                payload, at, base, starts = (c[k][i].as_py() for k in ("payload", "offsets", "base", "starts"))
                 dtype = "<u2" if c["width"][i].as_py() == 2 else "<u4"
                 for j, d in enumerate(c["doc_ids"][i].as_py()):
                     if doc_id is None or d == doc_id:
                         ids = np.frombuffer(unpack.decompress(payload[at[j] : at[j + 1]]), dtype).astype("<u4")
-                        for k, v in (("doc_id", d), ("start", base + c["starts"][i][j].as_py()), ("n_tokens", len(ids)), ("ids", ids.tobytes())):
+                        for k, v in (("doc_id", d), ("start", base + starts[j]), ("n_tokens", len(ids)), ("ids", ids.tobytes())):
                             out[k].append(v)
             return out
 
