@@ -255,7 +255,7 @@ def clean(docs: DataFrame, length: int = 35) -> DataFrame:
 
     A text that loses words becomes its kept words joined by one space; any other is left as it is.
     """
-    keyed = _keyed(docs)
+    keyed, others = _keyed(docs), [n for n in docs.columns if n != "text"]
 
     def make():
         def step(c: dict) -> dict:
@@ -264,7 +264,7 @@ def clean(docs: DataFrame, length: int = 35) -> DataFrame:
                 if ranges:
                     words = WORD.findall(texts[i])
                     texts[i] = b" ".join([words[k] for k in np.flatnonzero(keep_mask(len(words), ranges))])
-            return {n: c[n] for n in docs.columns if n != "text"} | {"text": pa.array(texts, pa.binary())}
+            return {n: c[n] for n in others} | {"text": pa.array(texts, pa.binary())}
 
         return step
 

@@ -105,7 +105,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.set_threshold(1_000_000)  # lists of words hold no cycles; searching them for some costs a third of the time
+        gc.set_threshold(1_000_000)  # lists of words hold no cycles
         memo, pack = WordMemo(path), zstandard.ZstdCompressor(level=1)
         end, dtype = np.array([end_id], "<u4").tobytes(), _dtype(memo.tokenizer.get_vocab_size())
 
