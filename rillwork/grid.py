@@ -48,6 +48,9 @@ def embedding_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_item_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lineitem table as a point cloud."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return as_points(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def as_points(t: DataFrame) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 1).otherwise(6)
     return t.select(F.col("l_partkey").cast("double").alias("x"), F.col("l_suppkey").cast("double").alias("y"), F.col("l_extendedprice").alias("z"), kind.alias("classification"))

@@ -21,8 +21,8 @@ def seeds(cells: DataFrame, grid: GridMeta) -> DataFrame:
     return window3(cells).select("r", "c", (F.col("z").isNotNull() & (border | beside)).alias("seed"))
 
 
-def _flood(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lowers w to the minimax level reachable in one tile, from its own cells and the ring around it."""
+def _flood(pdf: pd.DataFrame, epsilon: float) -> pd.DataFrame:
+    """Lowers w to the least level reachable in one tile, from its own cells and the ring around it."""
     at = {(r, c): i for i, (r, c) in enumerate(zip(pdf.r, pdf.c, strict=True))}
     z, w, own = pdf.z.to_numpy(), pdf.w.to_numpy().copy(), pdf.own.to_numpy()
     heap = [(v, i) for i, v in enumerate(w) if np.isfinite(v)]
@@ -34,14 +34,14 @@ def _flood(pdf: pd.DataFrame) -> pd.DataFrame:
             continue
         for dr, dc in zip(DR, DC, strict=True):
             j = at.get((rows[i] + dr, cols[i] + dc))
-            if j is not None and own[j] and (level := max(z[j], v)) < w[j]:
+            if j is not None and own[j] and (level := max(z[j], v + epsilon)) < w[j]:
                 w[j] = level
                 heapq.heappush(heap, (level, j))
-    return pdf.assign(w=w)[own][["r", "c", "z", "w"]]
+    return pdf.assign(moved=w < pdf.w.to_numpy(), w=w)[own][["r", "c", "z", "w", "moved"]]
 
 
-def fill_depressions(cells: DataFrame, grid: GridMeta, tile: int = 256) -> DataFrame:
-    """(r, c, z): each cell raised to the lowest level over which it drains to a seed.
+def fill_depressions(cells: DataFrame, grid: GridMeta, tile: int = 256, epsilon: float = 0.0) -> DataFrame:
+    """(r, c, z): each cell raised to the lowest level over which it drains to a seed, ``epsilon`` higher with each step.
 
     Tiles are flooded alone, with the levels of the ring around them, until no level changes: the
     levels only fall and the result is unique, whatever the order. A round moves levels across one tile.
@@ -49,19 +49,25 @@ def fill_depressions(cells: DataFrame, grid: GridMeta, tile: int = 256) -> DataF
     z = cells.where("z is not null")
     # out of a cell without data w stays infinite; such cells are no rows here
     start = z.join(seeds(cells, grid), ["r", "c"]).select("r", "c", "z", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf"))).alias("w"))
-    state, before = settle(start, "fill"), None
+    state = settle(start, "fill")
     while True:
         reach = F.array_distinct(F.flatten(F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda i: F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda j: F.struct(F.floor((F.col("r") + i) / tile).alias("tr"), F.floor((F.col("c") + j) / tile).alias("tc"))))))
         rows = state.withColumn("t", F.explode(reach)).withColumn("own", (F.col("t.tr") == F.floor(F.col("r") / tile)) & (F.col("t.tc") == F.floor(F.col("c") / tile)))
-        flooded = rows.select("t.tr", "t.tc", "r", "c", "z", "w", "own").groupBy("tr", "tc").applyInPandas(lambda pdf: _flood(pdf.drop(columns=["tr", "tc"])), "r int, c int, z double, w double")
+        flooded = rows.select("t.tr", "t.tc", "r", "c", "z", "w", "own").groupBy("tr", "tc").applyInPandas(lambda pdf: _flood(pdf.drop(columns=["tr", "tc"]), epsilon), "r int, c int, z double, w double, moved boolean")
         state = settle(flooded, "fill")
-        now = tuple(state.agg(F.sum(F.when(F.col("w") < float("inf"), F.col("w"))), F.sum((F.col("w") < float("inf")).cast("int"))).first())
-        if now == before or grid.rows <= tile and grid.cols <= tile:
+        if grid.rows <= tile and grid.cols <= tile or state.where("moved").isEmpty():
             break
-        before = now
+        state = state.drop("moved")
     return cells.select("r", "c").join(state.select("r", "c", F.col("w").alias("z")), ["r", "c"], "left")
 
 
+def planchon_darboux(cells: DataFrame, grid: GridMeta, epsilon: float, tile: int = 256) -> DataFrame:
+    """(r, c, z): the surface on which each raised cell lies ``epsilon`` above the neighbour that it drains to."""
+    if epsilon <= 0:
+        raise ValueError("epsilon must be positive")
+    return fill_depressions(cells, grid, tile, epsilon)
+
+
 def subgrid_bathymetry(cells: DataFrame, grid: GridMeta, factor: int, bins: int) -> DataFrame:
     """(r, c, z_min, z_max, frac_below_1..bins) of blocks; remainders and empty blocks are left out, flat blocks give 1."""
     whole = cells.where((F.col("r") < grid.rows // factor * factor) & (F.col("c") < grid.cols // factor * factor) & F.col("z").isNotNull())

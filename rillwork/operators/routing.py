@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rillwork.grid import DC, DR, GridMeta
 from rillwork.operators.terrain import slopes
-from rillwork.plans.doubling import downstream, upstream_length, upstream_sum
+from rillwork.plans.doubling import downstream, pass_down, upstream_length, upstream_sum
+from rillwork.plans.stencil import window3
 
 
 def flow_direction_d8(cells: DataFrame, grid: GridMeta, forced: DataFrame | None = None) -> DataFrame:
@@ -29,6 +30,74 @@ def flow_direction_mfd(cells: DataFrame, grid: GridMeta, exponent: float = 1.1,
     return w.select("r", "c", F.array(*(F.when(F.col("t") > 0, F.col(f"w{k}") / F.col("t")).otherwise(0.0) for k in range(8))).alias("fractions"))
 
 
+def flow_direction_rho8(cells: DataFrame, grid: GridMeta, seed: int = 0) -> DataFrame:
+    """(r, c, dir): D8 with each side's drop divided by 2 - u, corners as they are; u is uniform by hash of seed, cell and side."""
+    chance = lambda k: F.pmod(F.xxhash64(F.lit(seed), "r", "c", F.lit(k)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    drop = lambda k: F.col(f"s{k}") / (2 - chance(k)) if k % 2 == 0 else F.col(f"s{k}")
+    best = F.greatest(*(F.struct(F.coalesce(drop(k), F.lit(float("-inf"))).alias("s"), F.lit(-k).alias("k")) for k in range(8)))
+    return slopes(cells, grid).select("r", "c", best.alias("b")).select("r", "c", F.when(F.col("b.s") > 0, -F.col("b.k")).alias("dir"))
+
+
+def flow_direction_dinf(cells: DataFrame, grid: GridMeta) -> DataFrame:
+    """(r, c, angle, magnitude): the steepest descent over eight facets, radians from east; angle -1 and magnitude 0 where there is none.
+
+    Facet i lies between i and i + 1 eighths of a turn; its side neighbour is at the even end, its corner at the odd one.
+    """
+    side_length, turn = abs(grid.dx), math.pi / 4
+    facets = []
+    for i in range(8):
+        side, corner = (i, i + 1) if i % 2 == 0 else (i + 1, i)
+        e1, e2 = (F.col(f"n{(6 - a) % 8}") for a in (side, corner))
+        s1, s2, diagonal = (F.col("z") - e1) / side_length, (e1 - e2) / side_length, (F.col("z") - e2) / (side_length * math.sqrt(2))
+        lean = F.atan2(s2, s1)
+        s = F.when(lean < 0, s1).when(lean > turn, diagonal).otherwise(F.sqrt(s1 * s1 + s2 * s2))
+        r = F.least(F.greatest(lean, F.lit(0.0)), F.lit(turn))
+        angle = side * turn + (r if i % 2 == 0 else -r)
+        facets.append(F.struct(F.when(e1.isNotNull() & e2.isNotNull() & (s > 0), s).otherwise(F.lit(float("-inf"))).alias("s"), F.lit(-i).alias("i"), angle.alias("a")))
+    found = F.col("b.s") > 0
+    whole = F.when(F.col("b.a") >= 2 * math.pi, F.col("b.a") - 2 * math.pi).otherwise(F.col("b.a"))
+    return window3(cells).select("r", "c", F.greatest(*facets).alias("b")).select("r", "c", F.when(found, whole).otherwise(-1.0).alias("angle"), F.when(found, F.col("b.s")).otherwise(0.0).alias("magnitude"))
+
+
+def dinf_edges(directions: DataFrame, grid: GridMeta) -> DataFrame:
+    """(node, to, p): the two receivers of each angle; cells without an angle receive nothing. Shares within 1e-6 of 0 or 1 are snapped."""
+    eighths = F.col("angle") / (math.pi / 4)
+    whole, rest = F.floor(eighths), eighths - F.floor(eighths)
+    share = F.when(rest < 1e-6, 0.0).when(rest > 1 - 1e-6, 1.0).otherwise(rest)
+    out = directions.where("angle >= 0").select("r", "c", F.explode(F.array(F.struct(F.pmod(6 - whole, F.lit(8)).cast("int").alias("dir"), (1 - share).alias("p")), F.struct(F.pmod(5 - whole, F.lit(8)).cast("int").alias("dir"), share.alias("p")))).alias("e"))
+    edges = out.select("r", "c", "e.dir", "e.p").select(grid.node(F.col("r"), F.col("c")).alias("node"), receiver(grid).alias("to"), "p").where("to is not null and p > 0")
+    valid = directions.where("angle >= 0").select(grid.node(F.col("r"), F.col("c")).alias("to"))
+    return edges.join(valid, "to", "left_semi").select("node", "to", "p")
+
+
+def mfd_edges(directions: DataFrame, grid: GridMeta) -> DataFrame:
+    """(node, to, p) from (r, c, fractions)."""
+    e = directions.select("r", "c", F.posexplode("fractions").alias("dir", "p")).where("p > 0")
+    return e.select(grid.node(F.col("r"), F.col("c")).alias("node"), receiver(grid).alias("to"), "p").where("to is not null")
+
+
+def accumulate_edges(cells: DataFrame, edges: DataFrame, grid: GridMeta, weight: str | None = None) -> DataFrame:
+    """(r, c, acc): weights of what lies upstream times the shares on the way."""
+    nodes = cells.select(grid.node(F.col("r"), F.col("c")).alias("node"), "r", "c", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    return nodes.select("node", "r", "c").join(pass_down(nodes.select("node", "w"), edges), "node").select("r", "c", "acc")
+
+
+def snap_pour_points(pour_points: DataFrame, acc: DataFrame, grid: GridMeta, radius: int, streams: DataFrame | None = None) -> DataFrame:
+    """pour_points(id, r, c) -> (id, r, c, acc): the cell of most accumulation within ``radius``, or with ``streams`` the nearest stream cell; the first in row order on ties.
+
+    Points without a cell to snap to stay where they are, with null acc.
+    """
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
+    near = pour_points.select("id", F.col("r").alias("pr"), F.col("c").alias("pc"), F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
+    near = near.select("id", (F.col("pr") + F.col("i")).alias("r"), (F.col("pc") + F.col("j")).alias("c"), (F.col("i") * F.col("i") + F.col("j") * F.col("j")).alias("far"))
+    seen = near.join(acc, ["r", "c"])
+    if streams is not None:
+        seen = seen.join(streams.where("stream").select("r", "c"), ["r", "c"], "left_semi")
+    rank = F.struct((F.col("far").cast("double") if streams is not None else -F.col("acc")).alias("first"), "r", "c", "acc")
+    best = seen.where("acc is not null").groupBy("id").agg(F.min(rank).alias("b"))
+    return pour_points.join(best, "id", "left").select("id", F.coalesce("b.r", "r").alias("r"), F.coalesce("b.c", "c").alias("c"), F.col("b.acc").alias("acc"))
+
+
 def receiver(grid: GridMeta, direction: str = "dir") -> Column:
     """The node that a cell flows to; null off the grid or without direction."""
     d = F.col(direction)
@@ -90,16 +159,6 @@ def hand(cells: DataFrame, directions: DataFrame, stream_cells: DataFrame, grid:
     return nodes.select("node", "r", "c", "z").join(found.select("node", F.col("base.z").alias("zs")), "node").select("r", "c", (F.col("z") - F.col("zs")).alias("hand"))
 
 
-def shreve(directions: DataFrame, stream_cells: DataFrame, grid: GridMeta) -> DataFrame:
-    """(r, c, magnitude) on stream cells: the heads upstream, itself included."""
-    nodes = forest(directions.join(stream_cells.where("stream").select("r", "c"), ["r", "c"]), grid)
-    on = nodes.select(F.col("node").alias("ptr"), F.lit(True).alias("on"))
-    nodes = nodes.join(on, "ptr", "left").withColumn("ptr", F.when(F.col("on"), F.col("ptr"))).drop("on")
-    fed = nodes.where("ptr is not null").select(F.col("ptr").alias("node"), F.lit(0).alias("w")).distinct()
-    nodes = nodes.join(fed, "node", "left").withColumn("w", F.coalesce("w", F.lit(1)))
-    return nodes.select("node", "r", "c").join(upstream_sum(nodes), "node").select("r", "c", F.col("w").cast("bigint").alias("magnitude"))
-
-
 def upscale_dmm(directions: DataFrame, acc: DataFrame, grid: GridMeta, factor: int, weighted: bool = False) -> DataFrame:
     """(r, c, dir) of blocks: each cell votes for the side by which its path leaves the block, with weight 1 or its accumulation."""
     nodes = forest(directions.join(acc, ["r", "c"]), grid, "acc").withColumn("block", F.struct(F.floor(F.col("r") / factor).alias("br"), F.floor(F.col("c") / factor).alias("bc")))

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.grid import GridMeta
-from rillwork.plans.stencil import clamped, focal, window3
+from rillwork.grid import DC, DR, GridMeta
+from rillwork.plans.stencil import clamped, focal, window3, window_sums
 
 
 def slopes(cells: DataFrame, grid: GridMeta) -> DataFrame:
@@ -92,3 +92,63 @@ def index_columns(acc: Column, slope_rad: Column, cell: float) -> dict[str, Colu
     """Wetness, power and transport indices from accumulation and slope; null where not finite."""
     s, sca = F.greatest(slope_rad, F.lit(1e-3)), F.when(acc > 0, acc * abs(cell))
     return {"twi": F.log(sca / F.tan(s)), "spi": acc * abs(cell) * F.tan(s), "sti": F.pow(acc * abs(cell) / 22.13, F.lit(0.6)) * F.pow(F.sin(s) / 0.0896, F.lit(1.3))}
+
+
+def curvature(cells: DataFrame, grid: GridMeta, kind: str = "total") -> DataFrame:
+    """(r, c, curvature): plan, profile, total, mean or gaussian, from the second-order surface."""
+    d, e, f, g, h = (F.col(x) for x in "defgh")
+    steep = g * g + h * h + 1e-12
+    kinds = {
+        "plan": -2 * (d * h * h + e * g * g - f * g * h) / steep, "profile": 2 * (d * g * g + e * h * h + f * g * h) / steep,
+        "total": 2 * (d + e), "mean": d + e, "gaussian": 4 * d * e - f * f,
+    }
+    if kind not in kinds:
+        raise ValueError(f"kind is one of {[*kinds]}")
+    return curvature_terms(cells, grid).select("r", "c", kinds[kind].alias("curvature"))
+
+
+def normal_vector_deviation(cells: DataFrame, grid: GridMeta, window: int = 3) -> DataFrame:
+    """(r, c, angle): radians between a cell's normal and the mean normal of its window."""
+    gx = (clamped(grid, 6) - clamped(grid, 2)) / (2 * abs(grid.dx))
+    gy = (clamped(grid, 0) - clamped(grid, 4)) / (2 * abs(grid.dx))
+    size = F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    unit = window3(cells).select("r", "c", gx.alias("gx"), gy.alias("gy")).select("r", "c", (-F.col("gx") / size).alias("nx"), (-F.col("gy") / size).alias("ny"), (1 / size).alias("nz"))
+    around = window_sums(unit, grid, window, ["nx", "ny", "nz"]).select("r", "c", *(F.col(x).alias(f"m{x}") for x in ("nx", "ny", "nz")))
+    dot = sum((F.col(x) * F.col(f"m{x}") for x in ("ny", "nz")), F.col("nx") * F.col("mnx"))
+    length = F.sqrt(sum((F.col(f"m{x}") * F.col(f"m{x}") for x in ("ny", "nz")), F.col("mnx") * F.col("mnx")))
+    return unit.join(around, ["r", "c"]).select("r", "c", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (length + 1e-12)))).alias("angle"))
+
+
+def horizons(cells: DataFrame, grid: GridMeta, radius: int) -> DataFrame:
+    """(r, c, h0..h7): the highest angle above level up to ``radius`` cells away in each direction; no-data is 0."""
+    z = cells.select("r", "c", F.coalesce("z", F.lit(0.0)).alias("z"))
+    steps = F.array(*(F.struct(F.lit(-DR[k] * s).alias("dr"), F.lit(-DC[k] * s).alias("dc"), F.lit(k).alias("k"), F.lit(grid.step(k) * s).alias("d")) for k in range(8) for s in range(1, radius + 1)))
+    sent = z.withColumn("o", F.explode(steps)).select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "o.k", "o.d", F.col("z").alias("zn"))
+    angle = F.atan2(F.col("zn") - F.col("z"), F.col("d"))
+    seen = z.join(sent, ["r", "c"], "left").groupBy("r", "c")
+    return seen.agg(*(F.greatest(F.lit(0.0), F.max(F.when(F.col("k") == k, angle))).alias(f"h{k}") for k in range(8)))
+
+
+def openness(cells: DataFrame, grid: GridMeta, radius: int = 10, kind: str = "positive") -> DataFrame:
+    """(r, c, openness): mean over eight directions of the angle between the zenith and the horizon."""
+    if kind not in ("positive", "negative"):
+        raise ValueError("kind is positive or negative")
+    facing = cells if kind == "positive" else cells.withColumn("z", -F.col("z"))
+    return horizons(facing, grid, radius).select("r", "c", (math.pi / 2 - sum((F.col(f"h{k}") for k in range(1, 8)), F.col("h0")) / 8).alias("openness"))
+
+
+def sky_view_factor(cells: DataFrame, grid: GridMeta, radius: int = 10) -> DataFrame:
+    return horizons(cells, grid, radius).select("r", "c", (1 - sum((F.sin(f"h{k}") for k in range(1, 8)), F.sin("h0")) / 8).alias("svf"))
+
+
+def color_relief(cells: DataFrame, palette: list[tuple[float, int, int, int]]) -> DataFrame:
+    """(r, c, red, green, blue): colours between the palette's stops, which are few, by linear interpolation; beyond them the end stops'."""
+    stops = sorted(palette)
+    out = []
+    for i, name in enumerate(("red", "green", "blue"), 1):
+        v = F.lit(float(stops[-1][i]))
+        for a, b in reversed([*zip(stops, stops[1:], strict=False)]):
+            v = F.when(F.col("z") < b[0], a[i] + (F.col("z") - a[0]) / (b[0] - a[0]) * (b[i] - a[i])).otherwise(v)
+        v = F.when(F.col("z") <= stops[0][0], float(stops[0][i])).otherwise(v)
+        out.append(F.when(F.col("z").isNotNull(), F.floor(v + 0.5)).alias(name))
+    return cells.select("r", "c", *out)

@@ -57,3 +57,23 @@ def upstream_length(nodes: DataFrame) -> DataFrame:
         return s.join(above, "node", "left").join(nxt, "ptr", "left").select("node", F.col("next").alias("ptr"), (F.col("d") + F.coalesce("next_d", F.lit(0.0))).alias("d"), F.greatest("length", "more").alias("length"))
 
     return _rounds(nodes.select("node", "ptr", "d", F.lit(0.0).alias("length")), step).select("node", "length")
+
+
+def pass_down(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes(node, w), edges(node, to, p) -> (node, acc): what arrives at each node when all pass on p of (own + arrived).
+
+    Nodes pass on once all their inflows have, so a round is one step of the longest path; done nodes
+    leave the working table. Nodes on cycles never pass anything on.
+    """
+    need = edges.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("need"))
+    state = settle(nodes.join(need, "node", "left").select("node", "w", F.coalesce("need", F.lit(0)).alias("need"), F.lit(0.0).alias("acc")), "waiting")
+    done = []
+    while not (ready := state.where("need = 0")).isEmpty():
+        done.append(ready)
+        sent = ready.join(edges, "node").groupBy(F.col("to").alias("node")).agg(F.count("*").alias("came"), F.sum((F.col("w") + F.col("acc")) * F.col("p")).alias("more"))
+        left = state.where("need > 0").join(sent, "node", "left")
+        state = settle(left.select("node", "w", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), (F.col("acc") + F.coalesce("more", F.lit(0.0))).alias("acc")), "waiting")
+    out = state
+    for part in done:
+        out = out.unionByName(part)
+    return out.select("node", "acc")

@@ -27,12 +27,8 @@ def clamped(grid: GridMeta, k: int, value: str = "z") -> Column:
     return F.coalesce(v, F.lit(0.0))
 
 
-def focal(cells: DataFrame, grid: GridMeta, window: int, edge: str = "reflect") -> DataFrame:
-    """(r, c, z, m, sd): mean and population deviation of the valid cells of a window; ``edge`` reflects or wraps.
-
-    Even windows reach one cell further back than ahead. The window's rows and columns are summed
-    one after the other, so a cell is sent 2 * window times, not window squared.
-    """
+def window_sums(cells: DataFrame, grid: GridMeta, window: int, columns: list[str], edge: str = "reflect") -> DataFrame:
+    """(r, c, columns): each column summed over the window, rows and columns of it one after the other."""
     lo, hi = -(window // 2), window - window // 2 - 1
 
     def positions(col: str, size: int) -> Column:
@@ -41,10 +37,19 @@ def focal(cells: DataFrame, grid: GridMeta, window: int, edge: str = "reflect")
         mirrored = F.array(p, -p - 1, F.lit(2 * size - 1) - p) if edge == "reflect" else F.array(p, p - size, p + size)
         return F.flatten(F.transform(mirrored, lambda q: F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda d: q - d)))
 
-    sums = [F.sum(x).alias(x) for x in ("n", "s", "q")]
+    sums = [F.sum(x).alias(x) for x in columns]
+    across = cells.withColumn("c", F.explode(positions("c", grid.cols))).where(f"c between 0 and {grid.cols - 1}").groupBy("r", "c").agg(*sums)
+    return across.withColumn("r", F.explode(positions("r", grid.rows))).where(f"r between 0 and {grid.rows - 1}").groupBy("r", "c").agg(*sums)
+
+
+def focal(cells: DataFrame, grid: GridMeta, window: int, edge: str = "reflect") -> DataFrame:
+    """(r, c, z, m, sd): mean and population deviation of the valid cells of a window; ``edge`` reflects or wraps.
+
+    Even windows reach one cell further back than ahead. The window's rows and columns are summed
+    one after the other, so a cell is sent 2 * window times, not window squared.
+    """
     base = cells.select("r", "c", F.col("z").isNotNull().cast("bigint").alias("n"), F.coalesce("z", F.lit(0.0)).alias("s"), F.coalesce(F.col("z") * F.col("z"), F.lit(0.0)).alias("q"))
-    across = base.withColumn("c", F.explode(positions("c", grid.cols))).where(f"c between 0 and {grid.cols - 1}").groupBy("r", "c").agg(*sums)
-    down = across.withColumn("r", F.explode(positions("r", grid.rows))).where(f"r between 0 and {grid.rows - 1}").groupBy("r", "c").agg(*sums)
+    down = window_sums(base, grid, window, ["n", "s", "q"], edge)
     m = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
     out = down.withColumn("m", m).withColumn("sd", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.col("m") * F.col("m"), F.lit(0.0))))
     return cells.select("r", "c", "z").join(out.select("r", "c", "m", "sd"), ["r", "c"])

@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.grid import GridMeta, embedding_dem, grid_of, line_item_points
-from rillwork.operators import conditioning, points, routing, terrain, zonal
+from rillwork.grid import GridMeta, as_points, embedding_dem, grid_of, line_item_points
+from rillwork.operators import conditioning, points, routing, streams, terrain, zonal
 from rillwork.plans.store import settle
+from rillwork.streaming import gridding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,6 +67,16 @@ def with_(body: str, recursive: bool = False) -> str:
     return ("with recursive " if recursive else "with ") + body
 
 
+def stream_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GridMeta]:
+    _, d8, grid = routed(spark, sf_dir)
+    return streams.stream_forest(d8, routing.streams(routing.accumulate(d8, grid), 3.0), grid), grid
+
+
+def on_streams(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    nodes, _ = stream_nodes(spark, sf_dir)
+    return ints(nodes.select("node", "r", "c").join(operator(nodes), "node").drop("node"))
+
+
 @query("dem_slope", with_(DEM) + " select r, c, round(max(s), 6) as slope from drop8 group by r, c")
 def _(spark, sf_dir):
     return ints(rounded(terrain.slope(*dem(spark, sf_dir)), "r", "c"))
@@ -219,9 +230,7 @@ def _(spark, sf_dir):
 heads as (select node from st where node not in (select ptr from st where ptr is not null)), x as (select node, down from reach union all select node, node from d8)
 select st.r, st.c, count(*)::bigint as magnitude from st join x on x.down = st.node join heads on heads.node = x.node group by st.r, st.c""")
 def _(spark, sf_dir):
-    _, d8, grid = routed(spark, sf_dir)
-    wet = settle(routing.streams(routing.accumulate(d8, grid), 3.0), "streams")
-    return ints(routing.shreve(d8, wet, grid))
+    return on_streams(spark, sf_dir, streams.shreve)
 
 
 def _upscale_sql(weight: str) -> str:
@@ -292,3 +301,162 @@ for _blend, _rule in {"max": "greatest(t, b)", "min": "least(t, b)", "topo_above
     query(f"fuse_{_blend}", with_(DEM) + f" select r, c, round({_rule}, 6) as z from (select a.r, a.c, a.z as t, -b.z as b from dem a join dem b on b.r = a.r and b.c = 63 - a.c)")(
         lambda spark, sf_dir, blend=_blend: (lambda d: ints(rounded(zonal.fuse(d, d.select("r", (63 - F.col("c")).alias("c"), (-F.col("z")).alias("z")), blend), "r", "c")))(embedding_dem(spark, sf_dir))
     )
+
+
+CURVES = {
+    "plan": "-2 * (d * h * h + e * g * g - f * g * h) / (g * g + h * h + 1e-12::double)", "profile": "2 * (d * g * g + e * h * h + f * g * h) / (g * g + h * h + 1e-12::double)",
+    "total": "2 * (d + e)", "mean": "d + e", "gaussian": "4 * d * e - f * f",
+}
+for _kind, _rule in CURVES.items():
+    query(f"curvature_{_kind}", with_(PATCH) + f" select r, c, round({_rule}, 6) as curvature from (select r, c, (n2 + n6) / 2 - z as d, (n4 + n0) / 2 - z as e, (n5 + n1 - n3 - n7) / 4 as f, (n6 - n2) / 2 as g, (n4 - n0) / 2 as h from p)")(
+        lambda spark, sf_dir, kind=_kind: ints(rounded(terrain.curvature(*dem(spark, sf_dir), kind), "r", "c"))
+    )
+
+
+@query("normal_vector_deviation", with_(PATCH) + """, u as (select r, c, (n2 - n6) / 2 / sqrt(1 + pow((n6 - n2) / 2, 2) + pow((n0 - n4) / 2, 2)) as x, (n4 - n0) / 2 / sqrt(1 + pow((n6 - n2) / 2, 2) + pow((n0 - n4) / 2, 2)) as y,
+  1 / sqrt(1 + pow((n6 - n2) / 2, 2) + pow((n0 - n4) / 2, 2)) as w from p),
+m as (select a.r, a.c, a.x, a.y, a.w, sum(b.x) as mx, sum(b.y) as my, sum(b.w) as mw from u a, size s, range(-1, 2) i(i), range(-1, 2) j(j) join u b on true
+  where b.r = greatest(0, least(s.nr - 1, a.r + i)) and b.c = greatest(0, least(s.nc - 1, a.c + j)) group by a.r, a.c, a.x, a.y, a.w)
+select r, c, round(acos(greatest(-1, least(1, (x * mx + y * my + w * mw) / (sqrt(mx * mx + my * my + mw * mw) + 1e-12::double)))), 6) as angle from m""")
+def _(spark, sf_dir):
+    return ints(rounded(terrain.normal_vector_deviation(*dem(spark, sf_dir)), "r", "c"))
+
+
+HORIZONS = DEM + """, far as (select a.r, a.c, k, max(atan2(b.z - a.z, t * (case when k % 2 = 0 then 1.0::double else 1.4142135623730951::double end))) as h from dem a, offs, range(1, 5) t(t) join dem b on true
+  where b.r = a.r + t * dr and b.c = a.c + t * dc group by a.r, a.c, k)"""
+
+
+@query("openness_positive", with_(HORIZONS) + " select r, c, round(pi() / 2 - sum(greatest(0, h)) / 8, 6) as openness from far group by r, c")
+def _(spark, sf_dir):
+    return ints(rounded(terrain.openness(*dem(spark, sf_dir), 4), "r", "c"))
+
+
+@query("openness_negative", with_(HORIZONS.replace("b.z - a.z", "a.z - b.z")) + " select r, c, round(pi() / 2 - sum(greatest(0, h)) / 8, 6) as openness from far group by r, c")
+def _(spark, sf_dir):
+    return ints(rounded(terrain.openness(*dem(spark, sf_dir), 4, "negative"), "r", "c"))
+
+
+@query("sky_view_factor", with_(HORIZONS) + " select r, c, round(1 - sum(sin(greatest(0, h))) / 8, 6) as svf from far group by r, c")
+def _(spark, sf_dir):
+    return ints(rounded(terrain.sky_view_factor(*dem(spark, sf_dir), 4), "r", "c"))
+
+
+PALETTE = [(-0.2, 0, 0, 200), (0.0, 40, 160, 40), (0.2, 240, 240, 200)]
+
+
+@query("color_relief", with_(DEM) + " select r, c, " + ", ".join(
+    f"floor(0.5 + case when z <= -0.2::double then {lo} when z < 0 then {lo} + (z + 0.2::double) / 0.2::double * {mid - lo} when z < 0.2::double then {mid} + z / 0.2::double * {hi - mid} else {hi} end)::bigint as {name}"
+    for name, lo, mid, hi in zip(("red", "green", "blue"), *(p[1:] for p in PALETTE), strict=True)) + " from dem")
+def _(spark, sf_dir):
+    return ints(terrain.color_relief(embedding_dem(spark, sf_dir), PALETTE))
+
+
+#: The facets between neighbouring eighths of a turn, and the steepest of them.
+DINF = DEM + """, ns as (select r, c, z, list_value(""" + ", ".join(f"max(zn) filter (where k = {k})" for k in range(8)) + """) as n from drop8 group by r, c, z),
+facet as (select r, c, z, i, case when i % 2 = 0 then i else i + 1 end as side, n[(14 - (case when i % 2 = 0 then i else i + 1 end)) % 8 + 1] as e1, n[(14 - (case when i % 2 = 0 then i + 1 else i end)) % 8 + 1] as e2 from ns, range(0, 8) t(i)),
+lean as (select *, z - e1 as s1, e1 - e2 as s2, atan2(e1 - e2, z - e1) as q from facet where e1 is not null and e2 is not null),
+fs as (select r, c, i, case when q < 0 then s1 when q > pi() / 4 then (z - e2) / sqrt(2) else sqrt(s1 * s1 + s2 * s2) end as s, side * (pi() / 4) + (case when i % 2 = 0 then 1 else -1 end) * least(greatest(q, 0), pi() / 4) as a from lean),
+steep as (select r, c, s, case when a >= 2 * pi() then a - 2 * pi() else a end as a from fs where s > 0 qualify row_number() over (partition by r, c order by s desc, i) = 1)"""
+
+
+@query("flow_direction_dinf", with_(DINF) + " select d.r, d.c, round(coalesce(a, -1), 6) as angle, round(coalesce(s, 0), 6) as magnitude from dem d left join steep x on x.r = d.r and x.c = d.c")
+def _(spark, sf_dir):
+    return ints(rounded(routing.flow_direction_dinf(*dem(spark, sf_dir)), "r", "c"))
+
+
+FLOWING = """, edge as ({edges}), lvl(node, m, i) as (select r * 64 + c, 1.0::double, 0 from dem union all select e.dst, sum(m * p), i + 1 from lvl join edge e on e.src = lvl.node group by e.dst, i)
+select d.r, d.c, round(coalesce(x.acc, 0), 6) as acc from dem d left join (select node, sum(m) as acc from lvl where i > 0 group by node) x on x.node = d.r * 64 + d.c"""
+
+
+@query("accumulate_mfd", with_(DEM + """, w as (select r, c, nr, nc, pow(s, 1.1) * (case when k % 2 = 0 then 0.5 else 1 / (2 * sqrt(2)) end) as w from drop8 where s > 0)""", True)
+  + FLOWING.format(edges="select r * 64 + c as src, nr * 64 + nc as dst, w / sum(w) over (partition by r, c) as p from w"))
+def _(spark, sf_dir):
+    cells, grid = dem(spark, sf_dir)
+    edges = settle(routing.mfd_edges(routing.flow_direction_mfd(cells, grid), grid), "edges")
+    return ints(rounded(routing.accumulate_edges(cells, edges, grid), "r", "c"))
+
+
+@query("accumulate_dinf", with_(DINF + """, part as (select r, c, floor(a / (pi() / 4)) as q, a / (pi() / 4) - floor(a / (pi() / 4)) as f from steep), snapped as (select r, c, q::bigint as q, case when f < 1e-6::double then 0 when f > 1 - 1e-6::double then 1 else f end as f from part),
+both_ as (select r, c, (14 - q) % 8 as k, 1 - f as p from snapped union all select r, c, (13 - q) % 8, f from snapped)""", True)
+  + FLOWING.format(edges="select b.r * 64 + b.c as src, s.r * 64 + s.c as dst, p from both_ b join offs o on o.k = b.k join steep s on s.r = b.r + o.dr and s.c = b.c + o.dc where p > 0"))
+def _(spark, sf_dir):
+    cells, grid = dem(spark, sf_dir)
+    edges = settle(routing.dinf_edges(settle(routing.flow_direction_dinf(cells, grid), "directions"), grid), "edges")
+    return ints(rounded(routing.accumulate_edges(cells, edges, grid), "r", "c"))
+
+
+@query("flow_direction_rho8")
+def _(spark, sf_dir):
+    return ints(routing.flow_direction_rho8(*dem(spark, sf_dir), seed=7))
+
+
+ST = D8 + ", " + REACH + """, a as (select down, count(*) as n from reach group by down), wet as (select d8.* from d8 join a on a.down = d8.node where a.n >= 3),
+st as (select w.node, w.r, w.c, w.dir, x.node as ptr from wet w left join wet x on x.node = w.ptr),
+sreach(node, down, hops) as (select node, ptr, 1 from st where ptr is not null union all select s.node, st.ptr, hops + 1 from sreach s join st on st.node = s.down where st.ptr is not null),
+below as (select node, down from sreach union all select node, node from st),
+len as (select st.node, st.ptr, coalesce(max(hops), 0) as len from st left join sreach s on s.down = st.node group by st.node, st.ptr),
+stem as (select node, ptr, len, ptr is not null and row_number() over (partition by ptr order by len desc, node) = 1 as stem from len)"""
+STRAHLER = """, so(node, o) using key (node) as (select node, 1::bigint from st
+  union select q.ptr, q.m + (case when q.t >= 2 then 1 else 0 end) from (select st.ptr, max(x.o) as m, count(*) filter (where x.o = y.m) as t from st join recurring.so x on x.node = st.node
+    join (select st.ptr, max(x.o) as m from st join recurring.so x on x.node = st.node where st.ptr is not null group by st.ptr) y on y.ptr = st.ptr group by st.ptr) q
+  join recurring.so z on z.node = q.ptr where q.m + (case when q.t >= 2 then 1 else 0 end) > z.o and exists (select 1 from so))"""
+STEM_ROOT = """, sdown(node, down, hops) as (select node, ptr, 1 from stem where stem union all select s.node, t.ptr, hops + 1 from sdown s join stem t on t.node = s.down where t.stem),
+sroot as (select node, last(down order by hops) as root from (select node, down, hops from sdown union all select node, node, 0 from st) group by node)"""
+
+
+@query("stream_order_strahler", with_(ST + STRAHLER, True) + " select st.r, st.c, so.o as strahler from st join so on so.node = st.node")
+def _(spark, sf_dir):
+    return on_streams(spark, sf_dir, streams.strahler)
+
+
+@query("stream_order_hack", with_(ST, True) + " select st.r, st.c, (1 + count(*) filter (where s.ptr is not null and not s.stem))::bigint as hack from st join below b on b.node = st.node join stem s on s.node = b.down group by st.r, st.c")
+def _(spark, sf_dir):
+    return on_streams(spark, sf_dir, streams.hack)
+
+
+@query("stream_order_horton", with_(ST + STRAHLER + STEM_ROOT, True) + " select st.r, st.c, so.o as horton from st join sroot on sroot.node = st.node join so on so.node = sroot.root")
+def _(spark, sf_dir):
+    return on_streams(spark, sf_dir, streams.horton)
+
+
+@query("main_stem", with_(ST + STEM_ROOT, True) + " select st.r, st.c from st join sroot on sroot.node = st.node where sroot.root = (select node from stem where ptr is null order by len desc, node limit 1)")
+def _(spark, sf_dir):
+    return on_streams(spark, sf_dir, streams.main_stem)
+
+
+@query("prune_short", with_(ST, True) + """, conf as (select ptr as node from st where ptr is not null group by ptr having count(*) >= 2), inner_ as (select distinct b.down as node from below b join conf on conf.node = b.node),
+heads as (select node from st where node not in (select ptr from st where ptr is not null)), chain as (select b.node as head, b.down as node from below b join heads h on h.node = b.node where b.down not in (select node from inner_)),
+long as (select head from chain join st on st.node = chain.node group by head having sum(case when ptr is null then 0.0::double when dir % 2 = 0 then 1.0::double else 1.4142135623730951::double end) >= 2)
+select st.r, st.c from st where node in (select node from inner_) or node in (select chain.node from chain join long on long.head = chain.head)""")
+def _(spark, sf_dir):
+    nodes, grid = stream_nodes(spark, sf_dir)
+    return ints(nodes.join(streams.prune_short(nodes, grid, 2.0), "node", "left_semi").select("r", "c"))
+
+
+SNAP = D8 + ", " + REACH + """, acc as (select d8.r, d8.c, count(reach.down)::double as acc from d8 left join reach on reach.down = d8.node group by d8.r, d8.c),
+pour(id, pr, pc) as (values """ + ", ".join(map(str, POUR)) + """), near as (select id, r, c, acc, (r - pr) * (r - pr) + (c - pc) * (c - pc) as far from pour join acc on abs(r - pr) <= 3 and abs(c - pc) <= 3)"""
+
+
+@query("snap_pour_points", with_(SNAP, True) + " select id::bigint as id, r, c, acc from near qualify row_number() over (partition by id order by acc desc, r, c) = 1")
+def _(spark, sf_dir):
+    _, d8, grid = routed(spark, sf_dir)
+    return ints(routing.snap_pour_points(spark.createDataFrame(POUR, "id int, r int, c int"), routing.accumulate(d8, grid), grid, 3))
+
+
+@query("snap_pour_points_to_streams", with_(SNAP, True) + " select id::bigint as id, r, c, acc from near where acc >= 3 qualify row_number() over (partition by id order by far, r, c) = 1")
+def _(spark, sf_dir):
+    _, d8, grid = routed(spark, sf_dir)
+    acc = settle(routing.accumulate(d8, grid), "accumulation")
+    return ints(routing.snap_pour_points(spark.createDataFrame(POUR, "id int, r int, c int"), acc, grid, 3, routing.streams(acc, 3.0)))
+
+
+@query("planchon_darboux", SQL["fill_depressions"].replace("greatest(n.z, w.v)", "greatest(n.z, w.v + 0.01::double)"))
+def _(spark, sf_dir):
+    return ints(rounded(conditioning.planchon_darboux(*dem(spark, sf_dir), 0.01), "r", "c"))
+
+
+@query("stream_grid_points", with_(PLACED) + " select r, c, min(z) as low, max(z) as high, round(avg(z), 4) as mean, count(*) as n from p group by r, c")
+def _(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    feed = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    return ints(gridding.run_available(gridding.grid_stream(as_points(feed), BINS)).withColumn("mean", F.round("mean", 4)))
