@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.grid import DC, DR, GridMeta
@@ -21,7 +22,7 @@ def seeds(cells: DataFrame, grid: GridMeta) -> DataFrame:
     return window3(cells).select("r", "c", (F.col("z").isNotNull() & (border | beside)).alias("seed"))
 
 
-def _flood(pdf: pd.DataFrame, epsilon: float) -> pd.DataFrame:
+def _relax(pdf: pd.DataFrame, rule: Callable[[float, float, float], float], steps: list[tuple[int, int]]) -> pd.DataFrame:
     """Lowers w to the least level reachable in one tile, from its own cells and the ring around it."""
     at = {(r, c): i for i, (r, c) in enumerate(zip(pdf.r, pdf.c, strict=True))}
     z, w, own = pdf.z.to_numpy(), pdf.w.to_numpy().copy(), pdf.own.to_numpy()
@@ -32,35 +33,83 @@ def _flood(pdf: pd.DataFrame, epsilon: float) -> pd.DataFrame:
         v, i = heapq.heappop(heap)
         if v > w[i]:
             continue
-        for dr, dc in zip(DR, DC, strict=True):
+        for dr, dc in steps:
             j = at.get((rows[i] + dr, cols[i] + dc))
-            if j is not None and own[j] and (level := max(z[j], v + epsilon)) < w[j]:
+            if j is not None and own[j] and (level := rule(z[i], z[j], v)) < w[j]:
                 w[j] = level
                 heapq.heappush(heap, (level, j))
-    return pdf.assign(moved=w < pdf.w.to_numpy(), w=w)[own][["r", "c", "z", "w", "moved"]]
+    return pdf.assign(moved=w < pdf.w.to_numpy(), w=w)[own][["run", "r", "c", "z", "w", "moved"]]
 
 
-def fill_depressions(cells: DataFrame, grid: GridMeta, tile: int = 256, epsilon: float = 0.0) -> DataFrame:
-    """(r, c, z): each cell raised to the lowest level over which it drains to a seed, ``epsilon`` higher with each step.
+def least_levels(start: DataFrame, grid: GridMeta, rule: Callable[[float, float, float], float], tile: int = 256, sides_only: bool = False) -> DataFrame:
+    """start(run, r, c, z, w) with w lowered until no cell can be lowered from a neighbour.
 
-    Tiles are flooded alone, with the levels of the ring around them, until no level changes: the
-    levels only fall and the result is unique, whatever the order. A round moves levels across one tile.
+    ``rule(z here, z there, w here)`` is the level that a neighbour gets; it never falls along a path. Tiles are
+    worked on alone, with the levels of the ring around them, until none changes: levels only fall and the result is
+    unique, whatever the order. A round moves levels across one tile.
     """
-    z = cells.where("z is not null")
-    # out of a cell without data w stays infinite; such cells are no rows here
-    start = z.join(seeds(cells, grid), ["r", "c"]).select("r", "c", "z", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf"))).alias("w"))
-    state = settle(start, "fill")
+    steps = [(dr, dc) for k, (dr, dc) in enumerate(zip(DR, DC, strict=True)) if k % 2 == 0 or not sides_only]
+    near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
+    reach = F.array_distinct(F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.struct(F.floor((F.col("r") + i) / tile).alias("tr"), F.floor((F.col("c") + j) / tile).alias("tc"))))))
+    own = (F.col("t.tr") == F.floor(F.col("r") / tile)) & (F.col("t.tc") == F.floor(F.col("c") / tile))
+    state = settle(start.select("run", "r", "c", "z", "w"), "levels")
     while True:
-        reach = F.array_distinct(F.flatten(F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda i: F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda j: F.struct(F.floor((F.col("r") + i) / tile).alias("tr"), F.floor((F.col("c") + j) / tile).alias("tc"))))))
-        rows = state.withColumn("t", F.explode(reach)).withColumn("own", (F.col("t.tr") == F.floor(F.col("r") / tile)) & (F.col("t.tc") == F.floor(F.col("c") / tile)))
-        flooded = rows.select("t.tr", "t.tc", "r", "c", "z", "w", "own").groupBy("tr", "tc").applyInPandas(lambda pdf: _flood(pdf.drop(columns=["tr", "tc"]), epsilon), "r int, c int, z double, w double, moved boolean")
-        state = settle(flooded, "fill")
+        rows = state.select("run", "r", "c", "z", "w", F.explode(reach).alias("t")).withColumn("own", own)
+        lowered = rows.select("t.tr", "t.tc", "run", "r", "c", "z", "w", "own").groupBy("run", "tr", "tc").applyInPandas(lambda pdf: _relax(pdf, rule, steps), "run int, r int, c int, z double, w double, moved boolean")
+        state = settle(lowered, "levels")
         if grid.rows <= tile and grid.cols <= tile or state.where("moved").isEmpty():
-            break
+            return state.drop("moved")
         state = state.drop("moved")
+
+
+def fill_depressions(cells: DataFrame, grid: GridMeta, tile: int = 256, epsilon: float = 0.0) -> DataFrame:
+    """(r, c, z): each cell raised to the lowest level over which it drains to a seed, ``epsilon`` higher with each step."""
+    z = cells.where("z is not null")
+    # out of a cell without data w stays infinite; such cells are no rows here
+    start = z.join(seeds(cells, grid), ["r", "c"]).select(F.lit(0).alias("run"), "r", "c", "z", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf"))).alias("w"))
+    state = least_levels(start, grid, lambda _, there, v: max(there, v + epsilon), tile)
     return cells.select("r", "c").join(state.select("r", "c", F.col("w").alias("z")), ["r", "c"], "left")
 
 
+def stochastic_depressions(cells: DataFrame, grid: GridMeta, sigma: float, runs: int, seed: int = 0, tile: int = 256) -> DataFrame:
+    """(r, c, p): the share of runs with normal noise in which filling raises the cell. The noise is a hash of seed, run and cell, whatever the partitions."""
+    chance = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "run", "r", "c", F.lit(k)), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
+    noise = F.sqrt(-2 * F.log(chance(0))) * F.cos(2 * np.pi * chance(1))
+    noisy = cells.where("z is not null").join(seeds(cells, grid), ["r", "c"]).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("z", F.col("z") + sigma * noise)
+    filled = least_levels(noisy.withColumn("w", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf")))), grid, lambda _, there, v: max(there, v), tile)
+    share = filled.groupBy("r", "c").agg(F.avg((F.col("w") > F.col("z")).cast("double")).alias("p"))
+    return cells.select("r", "c").join(share, ["r", "c"], "left")
+
+
+def resolve_flats(cells: DataFrame, grid: GridMeta, epsilon: float = 1e-5, connectivity: int = 8, tile: int = 256) -> DataFrame:
+    """(r, c, z): plateaus that have a way down lifted so that they drain to it; their cells beside lower ground stay.
+
+    A plateau is a connected group of two or more cells of one level. A cell rises by ``epsilon`` times its steps
+    from the low rim plus twice its steps short of the farthest from the high rim; rims count as 1.
+    """
+    if connectivity not in (4, 8):
+        raise ValueError("connectivity is 4 or 8")
+    around = [F.col(f"n{k}") for k in range(8)]
+    steps = [n for k, n in enumerate(around) if k % 2 == 0 or connectivity == 8]
+    have = lambda columns, test: F.greatest(*(F.coalesce(test(n), F.lit(False)) for n in columns))
+    seen = window3(cells).where("z is not null").where(have(steps, lambda n: n == F.col("z")))
+    flat = settle(seen.select(F.lit(0).alias("run"), "r", "c", "z", have(around, lambda n: n < F.col("z")).alias("low"), have(around, lambda n: n > F.col("z")).alias("high")), "flats")
+    inf = F.lit(float("inf"))
+
+    def levels(start: Column, step: int, name: str) -> DataFrame:
+        out = least_levels(flat.withColumn("w", start), grid, lambda here, there, v: v + step if here == there else np.inf, tile, connectivity == 4)
+        return out.select("r", "c", F.col("w").alias(name))
+
+    parts = [levels(grid.node(F.col("r"), F.col("c")).cast("double"), 0, "plateau"), levels(F.when(F.col("low"), 1.0).otherwise(inf), 1, "from_low"), levels(F.when(F.col("high"), 1.0).otherwise(inf), 1, "from_high")]
+    known = flat.drop("z")
+    for part in parts:
+        known = known.join(part, ["r", "c"])
+    reached = F.when(F.col("from_high") < inf, F.col("from_high"))
+    deepest = known.groupBy("plateau").agg(F.max("low").alias("drains"), F.max(reached).alias("deepest"))
+    lifted = known.join(deepest, "plateau").where("drains and not low").select("r", "c", (epsilon * (2 * F.coalesce(F.col("deepest") - reached, F.lit(0.0)) + F.col("from_low"))).alias("lift"))
+    return cells.join(lifted, ["r", "c"], "left").select("r", "c", (F.col("z") + F.coalesce("lift", F.lit(0.0))).alias("z"))
+
+
 def planchon_darboux(cells: DataFrame, grid: GridMeta, epsilon: float, tile: int = 256) -> DataFrame:
     """(r, c, z): the surface on which each raised cell lies ``epsilon`` above the neighbour that it drains to."""
     if epsilon <= 0:

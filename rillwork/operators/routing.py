@@ -11,6 +11,7 @@ from rillwork.grid import DC, DR, GridMeta
 from rillwork.operators.terrain import slopes
 from rillwork.plans.doubling import downstream, pass_down, upstream_length, upstream_sum
 from rillwork.plans.stencil import window3
+from rillwork.plans.store import settle
 
 
 def flow_direction_d8(cells: DataFrame, grid: GridMeta, forced: DataFrame | None = None) -> DataFrame:
@@ -126,18 +127,52 @@ def streams(acc: DataFrame, threshold: float) -> DataFrame:
     return acc.select("r", "c", F.coalesce(F.col("acc") >= threshold, F.lit(False)).alias("stream"))
 
 
-def basins(directions: DataFrame, grid: GridMeta) -> DataFrame:
-    """(r, c, basin_id): every cell without a direction is an outlet, numbered row by row from 1.
+def numbered(cells: DataFrame, name: str) -> DataFrame:
+    """cells(r, c, ...) with ``name``: their number row by row from 1.
 
-    Outlets are numbered by their count in the rows before (one row of the grid a task), plus their place in the row.
+    A number is the count in the rows before (one row of the grid is one row here), plus the place in the row.
     """
-    nodes = forest(directions, grid)
-    sinks = nodes.where("dir is null or not dir between 0 and 7")
-    per_row = sinks.groupBy("r").count()
+    per_row = cells.groupBy("r").count()
     before = per_row.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("r", "before")
-    numbered = sinks.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("c"))).join(before, "r").select(F.col("node").alias("root"), (F.col("before") + F.col("k")).alias("basin_id"))
+    placed = cells.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("c"))).join(before, "r")
+    return placed.withColumn(name, F.col("before") + F.col("k")).drop("before", "k")
+
+
+def basins(directions: DataFrame, grid: GridMeta) -> DataFrame:
+    """(r, c, basin_id): every cell without a direction is an outlet, numbered row by row from 1."""
+    nodes = forest(directions, grid)
+    sinks = numbered(nodes.where("dir is null or not dir between 0 and 7"), "basin_id").select(F.col("node").alias("root"), "basin_id")
     roots = downstream(nodes.withColumn("root", F.col("node")), {"root": lambda mine, below: F.coalesce(below, mine)})
-    return nodes.select("node", "r", "c").join(roots.select("node", "root"), "node").join(numbered, "root", "left").select("r", "c", F.coalesce("basin_id", F.lit(0)).alias("basin_id"))
+    return nodes.select("node", "r", "c").join(roots.select("node", "root"), "node").join(sinks, "root", "left").select("r", "c", F.coalesce("basin_id", F.lit(0)).alias("basin_id"))
+
+
+def merge_small(labels: DataFrame, grid: GridMeta, min_cells: int, into_neighbour: bool = False) -> DataFrame:
+    """(r, c, basin_id): basins of fewer cells become 0, or part of the largest basin that touches them and is not small itself (the lower id on ties)."""
+    sizes = labels.where("basin_id <> 0").groupBy("basin_id").agg(F.count("*").alias("n"))
+    small = settle(sizes.where(F.col("n") < min_cells).select("basin_id", F.lit(True).alias("small")), "small-basins")
+    marked = labels.join(small, "basin_id", "left")
+    if not into_neighbour:
+        return marked.select("r", "c", F.when(F.col("small"), F.lit(0)).otherwise(F.col("basin_id")).alias("basin_id"))
+    around = F.array(*(F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in zip(DR, DC, strict=True)))
+    rim = marked.where("small").select("basin_id", F.explode(around).alias("t")).select("basin_id", "t.r", "t.c").distinct()
+    beside = marked.where("small is null and basin_id <> 0").select("r", "c", F.col("basin_id").alias("other"))
+    pairs = rim.join(beside, ["r", "c"]).select("basin_id", "other").distinct().join(sizes.withColumnRenamed("basin_id", "other"), "other")
+    best = pairs.groupBy("basin_id").agg(F.max(F.struct("n", (-F.col("other")).alias("other"))).alias("b")).select("basin_id", (-F.col("b.other")).alias("into"))
+    return marked.join(best, "basin_id", "left").select("r", "c", F.when(F.col("small"), F.coalesce("into", F.lit(0))).otherwise(F.col("basin_id")).alias("basin_id"))
+
+
+def isobasins(directions: DataFrame, acc: DataFrame, stream_cells: DataFrame, grid: GridMeta, target_km2: float) -> DataFrame:
+    """(r, c, basin_id): basins of about the target's size, from stream cells where accumulation passes one more multiple of it than on any inflow.
+
+    Heads have no inflow, so each is an outlet; where paths pass several outlets the first in row order counts.
+    """
+    if target_km2 <= 0:
+        raise ValueError("the target area must be positive")
+    size = max(1, round(target_km2 / (abs(grid.dx * grid.dy) / 1e6)))
+    wet = settle(forest(directions.join(acc, ["r", "c"]).join(stream_cells.where("stream").select("r", "c"), ["r", "c"]), grid, "acc").withColumn("q", F.floor(F.col("acc") / size)), "stream-cells")
+    above = wet.groupBy(F.col("ptr").alias("node")).agg(F.max("q").alias("above"))
+    seeds = wet.join(above, "node", "left").where(F.col("q") > F.coalesce("above", F.lit(-1)))
+    return watershed(directions, grid, settle(numbered(seeds.select("r", "c"), "id"), "outlets"), require_unique=True)
 
 
 def watershed(directions: DataFrame, grid: GridMeta, pour_points: DataFrame, require_unique: bool = False) -> DataFrame:
@@ -159,16 +194,32 @@ def hand(cells: DataFrame, directions: DataFrame, stream_cells: DataFrame, grid:
     return nodes.select("node", "r", "c", "z").join(found.select("node", F.col("base.z").alias("zs")), "node").select("r", "c", (F.col("z") - F.col("zs")).alias("hand"))
 
 
-def upscale_dmm(directions: DataFrame, acc: DataFrame, grid: GridMeta, factor: int, weighted: bool = False) -> DataFrame:
-    """(r, c, dir) of blocks: each cell votes for the side by which its path leaves the block, with weight 1 or its accumulation."""
+def _exits(directions: DataFrame, acc: DataFrame, grid: GridMeta, factor: int) -> DataFrame:
+    """(node, block, acc, exit) of cells in whole blocks: the side by which a cell's path leaves its block."""
     nodes = forest(directions.join(acc, ["r", "c"]), grid, "acc").withColumn("block", F.struct(F.floor(F.col("r") / factor).alias("br"), F.floor(F.col("c") / factor).alias("bc")))
-    to = nodes.select(F.col("node").alias("ptr"), F.col("block").alias("to"))
-    nodes = nodes.join(to, "ptr", "left")
+    nodes = settle(nodes.join(nodes.select(F.col("node").alias("ptr"), F.col("block").alias("to")), "ptr", "left"), "blocks")
     code = F.lit(None).cast("int")
     for k in range(8):
         code = F.when((F.col("to.br") - F.col("block.br") == DR[k]) & (F.col("to.bc") - F.col("block.bc") == DC[k]), F.lit(k)).otherwise(code)
     inside = nodes.withColumn("exit", code).withColumn("ptr", F.when(F.col("to") == F.col("block"), F.col("ptr")))
-    votes = downstream(inside, {"exit": lambda mine, below: F.coalesce(mine, below)}).select("node", "exit").join(nodes.select("node", "block", "acc"), "node")
+    found = downstream(inside, {"exit": lambda mine, below: F.coalesce(mine, below)}).select("node", "exit")
+    whole = (F.col("block.br") < grid.rows // factor) & (F.col("block.bc") < grid.cols // factor)
+    return nodes.where(whole).select("node", "block", "acc").join(found, "node")
+
+
+def _coarse(blocks: DataFrame, direction: Column) -> DataFrame:
+    return blocks.select(F.col("block.br").cast("int").alias("r"), F.col("block.bc").cast("int").alias("c"), direction.cast("int").alias("dir"))
+
+
+def upscale_dmm(directions: DataFrame, acc: DataFrame, grid: GridMeta, factor: int, weighted: bool = False) -> DataFrame:
+    """(r, c, dir) of whole blocks: each cell votes for the side by which its path leaves the block, with weight 1 or its accumulation."""
+    votes = _exits(directions, acc, grid, factor)
     tally = votes.where("exit is not null").groupBy("block", "exit").agg(F.sum(F.col("acc") if weighted else F.lit(1.0)).alias("v"))
     best = tally.groupBy("block").agg(F.max(F.struct("v", (-F.col("exit")).alias("k"))).alias("b"))
-    return votes.select("block").distinct().join(best, "block", "left").select(F.col("block.br").cast("int").alias("r"), F.col("block.bc").cast("int").alias("c"), F.when(F.col("b.v") > 0, -F.col("b.k")).alias("dir"))
+    return _coarse(votes.select("block").distinct().join(best, "block", "left"), F.when(F.col("b.v") > 0, -F.col("b.k")))
+
+
+def upscale_cotat(directions: DataFrame, acc: DataFrame, grid: GridMeta, factor: int) -> DataFrame:
+    """(r, c, dir) of whole blocks: the side by which the path of the block's cell of most accumulation leaves it, the first cell in row order on ties."""
+    top = _exits(directions, acc, grid, factor).groupBy("block").agg(F.max(F.struct("acc", (-F.col("node")).alias("node"), "exit")).alias("b"))
+    return _coarse(top, F.col("b.exit"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.grid import GridMeta
-from rillwork.operators.routing import forest
+from rillwork.operators.routing import forest, numbered
 from rillwork.plans.doubling import downstream, upstream_length, upstream_sum
 from rillwork.plans.store import settle
 
@@ -87,3 +87,42 @@ def prune_short(nodes: DataFrame, grid: GridMeta, min_length: float) -> DataFram
     chain = settle(head.join(on, "ptr", "left").select("node", F.when(F.col("on"), F.col("ptr")).alias("ptr"), "d"), "links")
     total = downstream(chain, {"d": lambda mine, below: mine + below}).join(upstream_length(chain).withColumnRenamed("length", "above"), "node")
     return links.where("w > 0").select("node").unionByName(total.where(F.col("d") + F.col("above") >= min_length).select("node"))
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """(node, link_id): stretches from a head or confluence to the next confluence, numbered row by row of their first cells."""
+    fed = nodes.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.count("*").alias("inflow"), F.max("node").alias("up"))
+    up = settle(nodes.join(fed, "node", "left").select("node", "r", "c", F.when(F.col("inflow") == 1, F.col("up")).alias("ptr"), F.col("node").alias("first")), "links")
+    found = downstream(up, {"first": lambda mine, above: F.coalesce(above, mine)}).select("node", "first")
+    starts = numbered(up.where("ptr is null").select("node", "r", "c"), "link_id").select(F.col("node").alias("first"), "link_id")
+    return found.join(starts, "first").select("node", "link_id")
+
+
+def link_basins(directions: DataFrame, nodes: DataFrame, grid: GridMeta) -> DataFrame:
+    """(r, c, basin_id): the link that a cell drains to first, 0 without one."""
+    every = forest(directions, grid).join(links(nodes), "node", "left")
+    found = downstream(every, {"link_id": lambda mine, below: F.coalesce(mine, below)}).select("node", F.coalesce("link_id", F.lit(0)).alias("basin_id"))
+    return every.select("node", "r", "c").join(found, "node").select("r", "c", "basin_id")
+
+
+def link_lines(nodes: DataFrame, grid: GridMeta, cells: DataFrame) -> DataFrame:
+    """One row a link of two cells or more: from_node and to_node (grid node ids), length, drop, mean slope, sinuosity and its path as WKT.
+
+    The path ends in the confluence below. A link's cells come together in one row, as its line does.
+    """
+    linked = settle(nodes.join(links(nodes), "node").join(cells, ["r", "c"]), "linked")
+    below = linked.select(F.col("node").alias("ptr"), F.col("link_id").alias("next_link"), F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("z").alias("nz"))
+    step = F.when(F.col("ptr").isNull(), 0.0).when(F.col("dir") % 2 == 0, grid.step(0)).otherwise(grid.step(1))
+    stepped = settle(linked.join(below, "ptr", "left").withColumn("d", step).withColumn("last", F.col("ptr").isNull() | (F.col("next_link") != F.col("link_id"))), "link-steps")
+    # what is left of the link below a cell orders its cells
+    togo = downstream(stepped.select("node", F.when(~F.col("last"), F.col("ptr")).alias("ptr"), F.lit(1).cast("bigint").alias("hops")), {"hops": lambda mine, rest: mine + rest})
+    spot = lambda node, r, c, z: F.struct(F.col(node).alias("node"), (grid.x0 + (F.col(c) + 0.5) * grid.dx).alias("x"), (grid.y0 + (F.col(r) + 0.5) * grid.dy).alias("y"), F.col(z).alias("z"))
+    rows = stepped.join(togo.select("node", "hops"), "node").groupBy("link_id").agg(
+        F.sum("d").alias("length_m"), F.max(F.when(F.col("last") & F.col("ptr").isNotNull(), spot("ptr", "nr", "nc", "nz"))).alias("end"),
+        F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), spot("node", "r", "c", "z").alias("p")))).alias("cells"),
+    )
+    path = F.concat(F.transform("cells", lambda s: s["p"]), F.when(F.col("end").isNotNull(), F.array("end")).otherwise(F.array().cast("array<struct<node:bigint,x:double,y:double,z:double>>")))
+    rows = rows.withColumn("path", path).where("size(path) > 1").withColumn("a", F.element_at("path", 1)).withColumn("b", F.element_at("path", -1))
+    rows = rows.withColumn("drop_m", F.greatest(F.col("a.z") - F.col("b.z"), F.lit(0.0))).withColumn("straight", F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")))
+    wkt = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("path", lambda p: F.concat_ws(" ", p["x"], p["y"])), ", "), F.lit(")"))
+    return rows.select("link_id", F.col("a.node").alias("from_node"), F.col("b.node").alias("to_node"), "length_m", "drop_m", (F.col("drop_m") / F.col("length_m")).alias("mean_slope"), F.when(F.col("straight") > 0, F.col("length_m") / F.col("straight")).otherwise(1.0).alias("sinuosity"), wkt.alias("line"))

@@ -29,3 +29,11 @@ def basin_statistics(labels: DataFrame, cells: DataFrame, grid: GridMeta) -> Dat
     )
     spread = F.col("max_elev") - F.col("min_elev")
     return out.withColumn("hypsometric_integral", F.when(spread == 0, 0.0).otherwise((F.col("mean_elev") - F.col("min_elev")) / spread))
+
+
+def basin_hydrology(labels: DataFrame, slope: DataFrame, lengths: DataFrame, stream_cells: DataFrame, directions: DataFrame, grid: GridMeta) -> DataFrame:
+    """One row per basin (0 is none): mean slope, longest flow path, and stream length over area; a stream cell is as long as its step."""
+    rows = labels.where("basin_id <> 0").join(slope, ["r", "c"]).join(lengths, ["r", "c"]).join(stream_cells, ["r", "c"]).join(directions, ["r", "c"])
+    step = F.when(F.col("stream"), F.when(F.coalesce(F.col("dir") % 2, F.lit(0)) == 0, grid.step(0)).otherwise(grid.step(1))).otherwise(0.0)
+    area = F.count("*") * abs(grid.dx * grid.dy) / 1e6
+    return rows.groupBy("basin_id").agg(F.avg("slope").alias("mean_slope"), F.max("length").alias("longest_flow_path_m"), (F.sum(step) / 1000 / area).alias("drainage_density_km_per_km2"))
