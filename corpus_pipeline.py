@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import bpe, mixing, quality, simhash, substrings
+from rillwork.llm import bpe, jaccard, mixing, quality, substrings
 from rillwork.llm._shared import materialize, read_table
 
 #: Documents with a lower calibrated probability of good quality go. Lower than the classifier's own
@@ -20,15 +20,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id.
+    """One document of each component of pairs with a 5-word Jaccard similarity of 0.8 or more stays.
 
-    Rows without a doc_id belong to no component and stay; of rows that share a doc_id one stays.
+    It is the row with the least (doc_id, hash of the text), so that of rows that share a doc_id each component
+    keeps its own. Rows without a doc_id belong to no component and stay; of rows equal in both one stays.
     """
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(materialize(groups, "kept-ids"), "doc_id", "left_semi")
-    again = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = docs.withColumn("__row", F.xxhash64(F.col("text").cast("string")))
+    ids = rows.select("doc_id", F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
+    kept = rows.join(materialize(jaccard.first_of_components(ids).withColumnRenamed("row", "__row"), "kept-rows"), ["doc_id", "__row"], "left_semi")
+    again = materialize(rows.where("doc_id is not null").groupBy("doc_id", "__row").count().where("count > 1").select("doc_id", "__row"), "repeated-rows")
+    once = kept.join(again, ["doc_id", "__row"], "left_anti")
+    repeated = kept.join(again, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
+    return once.unionByName(repeated).unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
