@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from rillwork.llm import bpe, jaccard, mixing, quality, substrings
 from rillwork.llm._shared import materialize, read_table
 
-#: Documents with a lower calibrated probability of good quality go. Lower than the classifier's own
-#: cut, since a filter should leave clean documents alone.
-LEAST_QUALITY = 0.5
+#: Documents with a lower calibrated probability of good quality go: the cut of op1's own ``predicted``.
+LEAST_QUALITY = 0.7
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
