@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000) -> tuple[
     """Word vectors of all of ``docs``, and the network fitted on labelled rows outside the held-out fold.
 
     ``max_labelled`` bounds the labelled rows (those smallest by a hash of doc_id are taken). A
-    doc_id with several labels counts with its largest; null labels are not used.
+    doc_id with several labels counts with its largest, one with several texts with the one whose pooled vector is
+    least; null labels are not used. So at most ``max_labelled`` rows of DIM numbers reach the driver.
     """
     table = word_table(docs)
     rows = with_default_columns(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality is not null").where(~held_out("doc_id"))
@@ -167,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000) -> tuple[
     def make():
         return lambda c: {"doc_id": c["doc_id"], "quality": c["quality"], "x": list(pooled(c["text"].to_pylist(), shared.value))}
 
-    got = map_batches(texts, make, "doc_id bigint, quality int, x array<float>").orderBy("doc_id", "x").collect()
+    pooled_rows = map_batches(texts, make, "doc_id bigint, quality int, x array<float>")
+    got = pooled_rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in got], np.float64).reshape(-1, DIM)
     return table, train(x, np.array([min(1, max(0, r.quality)) for r in got], np.float64))
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from rillwork.llm import mixing
 
@@ -34,13 +35,66 @@ def test_projected_gradient_equals_numpy(spark):
     n = rng.integers(1, 50, 300)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n int, p array<double>")
     weights = {"a": 0.6, "b": 0.3, "c": 0.1}
-    history = mixing.fit_rates(rows, weights)
+    fit = mixing.fit_rates(rows, weights)
     r = np.ones(300)
-    for h in history:
+    for h in fit.history:
         r = np.maximum(0, r - p @ h)
     assert np.allclose(((r * n)[:, None] * p).sum(axis=0), np.array([0.6, 0.3, 0.1]) * n.sum(), atol=1.001 * mixing.TOLERANCE * n.sum())
 
 
+def test_targets_out_of_reach_are_reported(spark):
+    """All documents lie between two domains: no rates can give the third one its share."""
+    rows = spark.createDataFrame([(10, [0.5, 0.5, 0.0]), (10, [0.25, 0.75, 0.0])] * 20, "n int, p array<double>")
+    with pytest.warns(UserWarning, match="missed"):
+        fit = mixing.fit_rates(rows, {"a": 0.3, "b": 0.3, "c": 0.4})
+    assert not fit.met and 0.39 < fit.missed < 0.41
+
+
+def test_the_miss_reported_is_that_of_the_rates(spark, monkeypatch):
+    """Rates at their bound make rounds slow: the last miss is that of the rates returned, and is less than at first."""
+    monkeypatch.setattr(mixing, "ROUNDS", 12)
+    rng = np.random.default_rng(8)
+    p, n = rng.dirichlet([0.5, 0.5, 0.5], 200), rng.integers(1, 50, 200)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n int, p array<double>")
+    with pytest.warns(UserWarning, match="missed"):
+        fit = mixing.fit_rates(rows, {"a": 0.96, "b": 0.02, "c": 0.02})
+    r = np.ones(200)
+    for h in fit.history:
+        r = np.maximum(0, r - p @ h)
+    miss = ((r * n)[:, None] * p).sum(axis=0) - np.array([0.96, 0.02, 0.02]) * n.sum()
+    assert (r == 0).any() and abs(np.abs(miss).max() / n.sum() - fit.missed) < 1e-9 and fit.missed < 0.3
+
+
+def test_held_out_accuracy(spark):
+    """Fitted on the labelled documents outside the held-out quarter, measured on all others."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labelled = mixing.labelled_part(docs, spark.read.parquet(f"{sf}/labels.parquet"), "lang")
+    assert 0 < labelled.count() < docs.count()
+    named = list(mixing.TARGETS)
+    got = mixing.op4_mixing(spark, sf).where("n_tokens > 0").toPandas()
+    assert len(got) > 500 and got.missed.nunique() == 1 and got.missed[0] <= mixing.TOLERANCE
+    best = np.array(named)[got[[f"p_{d}" for d in named]].to_numpy().argmax(axis=1)]
+    assert np.mean(best == got.lang) > 0.9
+
+
+def test_posteriors_are_a_plain_naive_bayes(spark):
+    docs = spark.createDataFrame([(i, t, d) for i, t, d in corpus()[:60]], "doc_id long, text string, lang string")
+    labelled = docs.limit(40).selectExpr("text", "lang as domain")
+    named = list(mixing.TARGETS)
+    bucket = {r.w: r.b for r in docs.selectExpr(f"explode(split(text, ' ')) as w").selectExpr("w", f"cast(pmod(hash(w), {mixing.BUCKETS}) as int) as b").distinct().collect()}
+    counts = np.ones((4, mixing.BUCKETS))
+    for r in labelled.collect():
+        for w in r.text.split():
+            counts[named.index(r.domain), bucket[w]] += 1
+    total = counts.sum(axis=1)
+    for r in mixing.mix(docs, labelled, mixing.TARGETS).join(docs, "doc_id").collect():
+        words = r.text.split()
+        score = sum(np.log(counts[:, bucket[w]] / total) for w in words) * min(len(words), mixing.EVIDENCE) / len(words) + np.log(total / total.sum())
+        e = np.exp(score - score.max())
+        assert np.allclose(r.p, e / e.sum(), atol=1e-9)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "en"), (2, "", "de"), (None, "the of", None), (3, "the " * 50000, "en"), (3, "the", "xx"), (3, "the", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
