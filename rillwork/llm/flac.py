@@ -1,8 +1,9 @@
 """FLAC media columns: 8-bit mono streams with Rice-coded residuals of linear predictors.
 
 Frames are coded and decoded side by side: each step handles one sample (or one bit field) of all
-frames of a batch. The seek table has a point for each frame, which is where the decoder gets the
-frames' places from; streams whose table is incomplete are decoded frame after frame.
+frames of a batch. The seek table has a point for each frame, or for each second, fourth and so on where that would
+pass the format's limit on its size: frames at points are decoded side by side, those between them after
+the one before. Streams without such a table are decoded frame after frame.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillwork.llm._shared import map_batches, read_table, utf8, with_default_columns
+from rillwork.llm._shared import map_batches, materialize, pa_schema, read_table, utf8, with_default_columns
 
 BLOCK, RATE = 576, 8000
 #: Fixed predictors by order: the weights of the samples before.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 LPC_ORDER, PRECISION = 4, 12
-#: Frames handled at once.
-BATCH = 2048
+#: Frames handled at once; frames of a row of PCM; bytes that a seek table stays below.
+BATCH, PCM_FRAMES, TABLE_BYTES = 2048, 64, 1 << 24
+POINT = [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -161,22 +165,21 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         packed = RATE << 44 | 0 << 41 | 7 << 36 | n * BLOCK  # 1 channel, 8 bits
         pcm = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
         info = BLOCK.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + packed.to_bytes(8, "big") + hashlib.md5(pcm, usedforsecurity=False).digest()
-        seek = np.zeros(n, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-        seek["sample"], seek["offset"], seek["n"] = np.arange(n) * BLOCK, np.cumsum([0, *sizes[:-1]]), BLOCK
-        head = b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info
-        if seek.nbytes < 1 << 24:
-            head += b"\x83" + seek.nbytes.to_bytes(3, "big") + seek.tobytes()
-        else:
-            head = b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info
+        step = 1
+        while 18 * -(-n // step) >= TABLE_BYTES:
+            step *= 2
+        seek = np.zeros(-(-n // step), dtype=POINT)
+        seek["sample"], seek["offset"], seek["n"] = np.arange(0, n, step) * BLOCK, np.cumsum([0, *sizes[:-1]])[::step], BLOCK
+        head = b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + seek.nbytes.to_bytes(3, "big") + seek.tobytes()
         out.append(head + b"".join(own))
     return out
 
 
-def _metadata(stream: bytes) -> tuple[int, int, bytes, np.ndarray]:
-    """Place of the first frame, samples, MD5, and the frames' offsets (empty without a full seek table)."""
+def _metadata(stream: bytes) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
+    """Place of the first frame, samples, MD5, and the seek points' samples and offsets (the start alone without a usable table)."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    p, last, total, digest, offsets = 4, False, 0, b"", np.zeros(0, np.int64)
+    p, last, total, digest, points = 4, False, 0, b"", np.zeros(1, POINT)
     while not last:
         last, kind, size = stream[p] >> 7, stream[p] & 127, int.from_bytes(stream[p + 1 : p + 4], "big")
         body = stream[p + 4 : p + 4 + size]
@@ -186,11 +189,12 @@ def _metadata(stream: bytes) -> tuple[int, int, bytes, np.ndarray]:
             if packed >> 36 & 31 != 7 or packed >> 41 & 7:
                 raise ValueError("only mono streams of 8 bits are read")
         elif kind == 3:
-            seek = np.frombuffer(body, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-            if seek["n"].sum() == total:
-                offsets = seek["offset"].astype(np.int64)
+            seek = np.frombuffer(body, dtype=POINT)
+            seek = seek[seek["sample"] < np.uint64((1 << 64) - 1)]  # places kept free
+            if len(seek) and seek["sample"][0] == 0 and (np.diff(seek["sample"].astype(np.int64)) > 0).all():
+                points = seek
         p += 4 + size
-    return p, total, digest, offsets
+    return p, total, digest, points["sample"].astype(np.int64), points["offset"].astype(np.int64)
 
 
 def decode_frames(data: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -297,27 +301,41 @@ def _read_residuals(rows, at, order, size, x, one, get, signed) -> None:
 
 def decode(streams: list[bytes]) -> list[np.ndarray]:
     """The samples of each stream (int64, -128..127); MD5, frame and header checksums are verified."""
-    out: list = [[] for _ in streams]
+    out: list = [{} for _ in streams]
     queue, meta = [], [_metadata(s) for s in streams]
-    for i, (p, _, _, offsets) in enumerate(meta):
-        begins = (p + offsets).tolist()
-        queue += zip([i] * len(begins), begins, [*begins[1:], len(streams[i])], strict=False)
-    for s in range(0, len(queue), BATCH):
-        some = queue[s : s + BATCH]
-        sizes = np.array([e - b for _, b, e in some])
-        data = np.frombuffer(b"".join(streams[i][b:e] for i, b, e in some), np.uint8)
-        frames, _ = decode_frames(data, np.cumsum(sizes) - sizes)
-        for (i, _, _), x in zip(some, frames, strict=True):
-            out[i].append(x)
-    for i, (p, total, digest, offsets) in enumerate(meta):
-        while not len(offsets) and sum(map(len, out[i])) < total:
-            frames, end = decode_frames(np.frombuffer(streams[i][p:], np.uint8), np.array([0]))
-            out[i] += frames
-            p += int(end[0])
-        out[i] = np.concatenate(out[i])[:total] if out[i] else np.zeros(0, np.int64)
-        if any(digest) and hashlib.md5(out[i].astype(np.int8).tobytes(), usedforsecurity=False).digest() != digest:
-            raise ValueError("a stream's samples do not match its MD5")
-    return out
+    for i, (p, total, _, samples, offsets) in enumerate(meta):
+        limits, places = [*samples[1:].tolist(), total], (offsets + p).tolist()
+        queue += [(i, b, stop, s, e) for b, stop, s, e in zip(places, [*places[1:], len(streams[i])], samples.tolist(), limits, strict=True) if s < e]
+    while queue:  # the next frame of each point that has not reached the one after it
+        further = []
+        for q in range(0, len(queue), BATCH):
+            some = queue[q : q + BATCH]
+            # the last frame before a point ends there; others are of unknown size: read on if one did not fit
+            cuts = [stop if e - s <= BLOCK else min(b + 4 * BLOCK, stop) for _, b, stop, s, e in some]
+            while True:
+                parts = [streams[i][b:cut] for (i, b, *_), cut in zip(some, cuts, strict=True)]
+                sizes = np.array([len(x) for x in parts])
+                starts = np.cumsum(sizes) - sizes
+                try:
+                    frames, ends = decode_frames(np.frombuffer(b"".join(parts), np.uint8), starts)
+                except (ValueError, IndexError):
+                    if all(cut == stop for (_, _, stop, _, _), cut in zip(some, cuts, strict=True)):
+                        raise
+                    cuts = [min(b + 16 * (cut - b), stop) for (_, b, stop, _, _), cut in zip(some, cuts, strict=True)]
+                    continue
+                break
+            for (i, b, stop, s, e), x, end, start in zip(some, frames, ends.tolist(), starts.tolist(), strict=True):
+                out[i][s] = x
+                if s + len(x) < e:
+                    further.append((i, b + end - start, stop, s + len(x), e))
+        queue = further
+    whole = []
+    for parts, (_, total, digest, _, _) in zip(out, meta, strict=True):
+        x = np.concatenate([parts[s] for s in sorted(parts)])[:total] if parts else np.zeros(0, np.int64)
+        if len(x) < total or any(digest) and hashlib.md5(x.astype(np.int8).tobytes(), usedforsecurity=False).digest() != digest:
+            raise ValueError("a stream's samples do not match its length and MD5")
+        whole.append(x)
+    return whole
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -335,44 +353,81 @@ def to_media(docs: DataFrame) -> DataFrame:
     return map_batches(with_default_columns(docs, doc_id="bigint", text="string"), make, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, media) -> (doc_id, sample, pcm): the decoded blocks (unsigned bytes) with the offset of their first sample."""
+def pcm_blocks(media: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, media, keep) -> (doc_id, keep, sample, pcm): the decoded samples as unsigned bytes, in blocks of PCM_FRAMES frames.
+
+    ``sample`` is the offset of a block's first sample, so a reader seeks by it. A stream's blocks follow one another.
+    """
+    kept = ["doc_id", *keep]
 
     def make():
         def step(c: dict) -> dict:
-            ids, samples, pcm = [], [], []
-            for d, x in zip(c["doc_id"].to_pylist(), decode(c["media"].to_pylist()), strict=True):
-                data = (x + 128).astype(np.uint8).tobytes()
-                for s in range(0, len(data), BLOCK):
-                    ids.append(d), samples.append(s), pcm.append(data[s : s + BLOCK])
-            return {"doc_id": ids, "sample": samples, "pcm": pcm}
+            at, samples, pcm, media = [], [], [], c["media"].to_pylist()
+            for s in range(0, len(media), 500):
+                for i, x in enumerate(decode(media[s : s + 500]), s):
+                    data = (x + 128).astype(np.uint8).tobytes()
+                    for b in range(0, len(data), BLOCK * PCM_FRAMES):
+                        at.append(i), samples.append(b), pcm.append(data[b : b + BLOCK * PCM_FRAMES])
+            return {n: c[n].take(pa.array(at, pa.int64())) for n in kept} | {"sample": samples, "pcm": pcm}
 
         return step
 
-    return map_batches(media.select("doc_id", "media"), make, "doc_id bigint, sample bigint, pcm binary")
+    fields = [f"`{n}` {media.schema[n].dataType.simpleString()}" for n in kept]
+    return map_batches(media.select(*kept, "media"), make, ", ".join([*fields, "sample bigint", "pcm binary"]))
 
 
-def feature(x: np.ndarray) -> str:
-    """Peak, mean size, zero crossings and energy of the samples, as integers."""
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"peak={int(np.abs(x).max())};mean={int(np.abs(x).sum()) // len(x)};crossings={crossings};energy={int((x * x).sum())}"
+class Features:
+    """Payload digests and peak, mean size, zero crossings and energy of the samples, block by block."""
 
+    def __init__(self) -> None:
+        self.sha, self.n, self.tail, self.last = hashlib.sha256(), 0, b"", None
+        self.peak = self.size = self.crossings = self.energy = 0
 
-def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make():
-        def step(c: dict) -> dict:
-            out: dict = {"doc_id": c["doc_id"], "n_bytes": c["n_bytes"]} | {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "feature")}
-            media = c["media"].to_pylist()
-            for s in range(0, len(media), 500):
-                for x in decode(media[s : s + 500]):
-                    data = (x + 128).astype(np.uint8).tobytes()
-                    out["payload_bytes"].append(len(data))
-                    out["payload_sha256"].append(hashlib.sha256(data).hexdigest())
-                    out["tail_crc32"].append(zlib.crc32(data[-32:]))
-                    out["feature"].append(feature(x))
-            return out | {"media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media]}
+    def add(self, pcm: bytes) -> None:
+        self.sha.update(pcm)
+        self.n, self.tail = self.n + len(pcm), (self.tail + pcm[-32:])[-32:]
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        size, below = np.abs(x), x < 0
+        self.peak, self.size, self.energy = max(self.peak, int(size.max())), self.size + int(size.sum()), self.energy + int((x * x).sum())
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.last is not None and self.last != bool(below[0]))
+        self.last = bool(below[-1])
+
+    def text(self) -> str:
+        return f"peak={self.peak};mean={self.size // self.n};crossings={self.crossings};energy={self.energy}"
 
-        return step
 
+def digests(docs: DataFrame) -> DataFrame:
+    """op8's columns: the texts as FLAC are written to the shared folder and read back, and PCM blocks of what was read are digested."""
+    stored = materialize(to_media(docs), "flac")
+    stored = stored.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_batches(to_media(read_table(spark, sf_dir, "documents")), make, schema)
+    target = pa_schema(docs.sparkSession, schema)
+
+    def fold(batches):
+        """Blocks of a stream follow one another, the first at sample 0; a batch may end within a stream."""
+        held, now = [], None
+
+        def rows() -> pa.RecordBatch:
+            out = [(d, n, f.n, f.sha.hexdigest(), zlib.crc32(f.tail), m, h, f.text()) for (d, n, m, h), f in held]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+        for batch in batches:
+            names = [batch.column(i).to_pylist() for i in range(6)]
+            for d, n, m, h, sample, pcm in zip(*names, strict=True):
+                if sample == 0:
+                    if now:
+                        held.append(now)
+                    now = ((d, n, m, h), Features())
+                now[1].add(pcm)
+            if len(held) >= 1000:
+                yield rows()
+        if now:
+            held.append(now)
+            yield rows()
+
+    return pcm_blocks(stored, "n_bytes", "media_bytes", "media_sha256").mapInArrow(fold, schema)
+
+
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read_table(spark, sf_dir, "documents"))

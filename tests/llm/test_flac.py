@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -10,18 +11,22 @@ def padded(t):
     return t + b"\xff" * ((-len(t)) % 576 or (0 if t else 576))
 
 
-PAYLOADS = [padded(x) for x in (b"", b"hello world " * 99, bytes(range(256)) * 9, np.random.default_rng(1).integers(0, 256, 3000, dtype=np.uint8).tobytes(), b"\x80" * 576, (128 + 90 * np.sin(np.arange(5760) / 9)).astype(np.uint8).tobytes(), b"ab" * 80000)]
+PAYLOADS = [padded(x) for x in (b"", b"hello world " * 99, bytes(range(256)) * 9, np.random.default_rng(1).integers(0, 256, 3000, dtype=np.uint8).tobytes(), b"\x80" * 576, (128 + 90 * np.sin(np.arange(5760) / 9)).astype(np.uint8).tobytes(), b"ab" * 12000)]
 
 
 def without_seek_table(stream):
-    first, _, _, _ = flac._metadata(stream)
+    first, *_ = flac._metadata(stream)
     return stream[:4] + b"\x80" + stream[5:42] + stream[first:]
 
 
-@pytest.mark.parametrize("batch", [2048, 3])
-def test_round_trip(monkeypatch, batch):
+@pytest.mark.parametrize(("batch", "table"), [(2048, 1 << 24), (3, 1 << 24), (2048, 100), (3, 40)])
+def test_round_trip(monkeypatch, batch, table):
+    """Also with seek tables whose limit leaves a point for every few frames only."""
     monkeypatch.setattr(flac, "BATCH", batch)
+    monkeypatch.setattr(flac, "TABLE_BYTES", table)
     media = flac.encode(PAYLOADS)
+    assert all(len(flac._metadata(m)[3]) * 18 < table for m in media)
+    assert len(flac._metadata(media[6])[3]) > 1
     for streams in (media, [without_seek_table(m) for m in media]):
         assert [(x + 128).astype(np.uint8).tobytes() for x in flac.decode(streams)] == PAYLOADS
 
@@ -65,6 +70,21 @@ def test_documents(spark):
     assert got == sorted((i or -1, len((t or "").encode())) for i, t in rows)
     assert len({bytes(r.media) for r in media.where("n_bytes = 1").collect()}) == 1
     blocks = flac.pcm_blocks(media.where("doc_id = 4")).orderBy("sample").collect()
-    assert [r.sample for r in blocks] == [576 * i for i in range(len(blocks))]
+    assert [r.sample for r in blocks] == [576 * flac.PCM_FRAMES * i for i in range(len(blocks))] and len(blocks) > 3
     assert hashlib.md5(b"".join(bytes(r.pcm) for r in blocks)).digest() == hashlib.md5(padded(("é" * 90000).encode())).digest()
     assert flac.to_media(docs.limit(0)).count() == 0
+
+
+def test_digests_are_those_of_the_payload(spark):
+    texts = ["x", None, "", "é" * 90000, "the rill runs " * 500]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])] + [(None, "x")], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in flac.digests(docs).collect()}
+    assert len(got) == 11
+    for i, t in enumerate([*texts, *texts]):
+        p, r = padded((t or "").encode()), got[i]
+        x = np.frombuffer(p, np.uint8).astype(int) - 128
+        crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(p[-32:]) and (r.media_bytes, r.media_sha256) == (got[i % 5].media_bytes, got[i % 5].media_sha256)
+        assert r.feature == f"peak={np.abs(x).max()};mean={np.abs(x).sum() // len(x)};crossings={crossings};energy={(x * x).sum()}"
+    assert flac.digests(docs.limit(0)).count() == 0
