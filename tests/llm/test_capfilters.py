@@ -41,12 +41,38 @@ def test_links_against_brute_force(spark, monkeypatch, cell):
 
 def test_list_decoding_is_complete():
     x = capfilters.unit_vectors(np.random.default_rng(2).normal(size=(20, 64)))
-    n = capfilters.SIZE**2
+    size, alpha = 64, capfilters.threshold_for(64, 64, 0.93)
     row, f = capfilters.list_decode(x)
-    for t, (rotation, codes) in enumerate(capfilters.product_codes()):
-        direction = np.concatenate([np.repeat(codes[0], capfilters.SIZE, 0), np.tile(codes[1], (capfilters.SIZE, 1))], axis=1) / np.sqrt(2)
-        expected = set(zip(*(v.tolist() for v in np.nonzero(x @ rotation @ direction.T >= capfilters.ALPHA)), strict=True))
-        assert {(r, g - t * n) for r, g in zip(row.tolist(), f.tolist(), strict=True) if g // n == t} == expected
+    for t, (rotation, codes) in enumerate(capfilters.product_codes(64, size)):
+        direction = np.concatenate([np.repeat(codes[0], size, 0), np.tile(codes[1], (size, 1))], axis=1) / np.sqrt(2)
+        expected = set(zip(*(v.tolist() for v in np.nonzero(x @ rotation @ direction.T >= alpha)), strict=True))
+        assert {(r, g - t * size**2) for r, g in zip(row.tolist(), f.tolist(), strict=True) if g // size**2 == t} == expected
+
+
+@pytest.mark.parametrize(("dim", "size"), [(2, 64), (7, 64), (32, 64), (64, 64), (64, 128), (256, 64)])
+def test_recall_of_pairs_just_at_the_threshold(dim, size):
+    """Pairs at a cosine of 0.93 exactly, the hardest to find: at least 0.97 of them share a filter."""
+    rng = np.random.default_rng(dim)
+    x = capfilters.unit_vectors(rng.normal(size=(1000, dim)))
+    across = rng.normal(size=x.shape)
+    across = capfilters.unit_vectors(across - (across * x).sum(axis=1, keepdims=True) * x)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * across
+    lists = []
+    for v in (x, y):
+        row, f = capfilters.list_decode(capfilters.padded(v), size)
+        lists.append(set(zip(row.tolist(), f.tolist(), strict=True)))
+        assert len(row) < 120 * len(x)
+    assert len({r for r, _ in lists[0] & lists[1]}) >= 0.97 * len(x)
+
+
+def test_dimensions_come_from_the_data(spark):
+    rows = [(1, [0.5] * 32, 1), (2, [1.0] * 32, 1), (3, [1.0] * 33, 1), (4, [2.0] * 33, 1), (5, [1.0], 1), (6, [-1.0], 1), (7, [3.0], 1), (8, [], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilters.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (0, 6), 7: (1, 5), 8: (0, 8)}
+
+
+def test_more_rows_take_more_codes():
+    assert [capfilters.codes_for(n) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 20)] == [64, 64, 128, 256]
 
 
 def test_empty_table(spark):
