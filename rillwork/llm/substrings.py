@@ -4,10 +4,13 @@ A window is ``length`` consecutive words. Only some suffixes need to enter a tre
 smallest hash of its 8-word prefixes marks an anchor (the leftmost on ties), so equal windows have
 equal anchors at equal offsets. Consecutive windows with one anchor form a segment. Segments of
 an anchor that occurs once hold nothing repeated and go no further; segments of equal content are
-all repeated. What remains is partitioned by prefix: all distinct segments of one anchor (an 8-word
-prefix) make a group if they fit in memory (``GROUP``), otherwise their windows are partitioned by
-the longest prefix, all words of the window. In each group a suffix tree is built top down, an edge
-being seven words; nodes at the window's depth with two or more leaves are the repeats.
+all repeated. What remains is partitioned by prefixes of varying length, so that a group fits in memory: all
+distinct segments of one anchor (an 8-word prefix) make a group if there are at most ``GROUP``, and a suffix
+tree is built of it top down, an edge being seven words; nodes at the window's depth with two or
+more leaves are the repeats. Suffixes of a more frequent anchor are partitioned by the longest prefix, all words of
+the window: then a group is one node at that depth, and its leaves are counted before they are shuffled.
+
+Equal segments are known by two independent hashes of 64 bits (anchor and digest), equal windows by their words.
 """
 
 from __future__ import annotations
@@ -139,14 +142,14 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The text of each wanted segment, or, where its anchor is ``hot``, the digests of its windows."""
-    schema = "anchor bigint, digest bigint, count bigint, off int, w1 bigint, w2 bigint, text binary"
+    """The text of each wanted segment, or, where its anchor is ``hot``, each of its windows with its hash."""
+    schema = "anchor bigint, digest bigint, count bigint, off int, prefix bigint, text binary"
 
     def make():
         unpack = zstandard.ZstdDecompressor()
 
         def step(c: dict) -> dict:
-            out: dict = {k: [] for k in ("anchor", "digest", "count", "off", "w1", "w2", "text")}
+            out: dict = {k: [] for k in ("anchor", "digest", "count", "off", "prefix", "text")}
             want = [{(s["anchor"], s["digest"]): (s["count"], s["hot"]) for s in x} for x in c["segments"].to_pylist()]
             data = c["z"].to_pylist()
             for s, e in _slices(len(data), 200):
@@ -157,12 +160,8 @@ def _wanted(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         continue
                     words = t.split(b" ") if hot else []
                     for o in range(n) if hot else [0]:
-                        window = b" ".join(words[o : o + length]) if hot else None
-                        for k, v in (
-                            ("anchor", a), ("digest", g), ("count", count), ("off", o), ("text", None if hot else t),
-                            ("w1", xxhash.xxh3_64_intdigest(window, 1) - (1 << 63) if hot else None),
-                            ("w2", xxhash.xxh3_64_intdigest(window, 2) - (1 << 63) if hot else None),
-                        ):
+                        prefix = xxhash.xxh3_64_intdigest(b" ".join(words[o : o + length])) - (1 << 63) if hot else None
+                        for k, v in (("anchor", a), ("digest", g), ("count", count), ("off", o), ("prefix", prefix), ("text", b" ".join(words[o : o + length]) if hot else t)):
                             out[k].append(v)
             return out
 
@@ -190,6 +189,17 @@ def _trees(length: int):
     return step
 
 
+def _hot_repeats(windows: DataFrame) -> DataFrame:
+    """windows(anchor, digest, count, off, prefix, text) of frequent anchors -> (anchor, digest, off) of the repeated ones.
+
+    Only windows whose hash occurs twice go on; those are grouped, and counted before the shuffle, by their words.
+    """
+    shared = windows.groupBy("prefix").agg(F.count("*").alias("k")).where("k > 1").select("prefix")
+    kept = materialize(windows.join(shared, "prefix", "left_semi"), "long-prefixes")
+    found = materialize(kept.groupBy("prefix", "text").agg(F.count("*").alias("k")).where("k > 1").select("prefix", "text"), "repeated-windows")
+    return kept.where("count = 1").join(found, ["prefix", "text"], "left_semi").select("anchor", "digest", "off")
+
+
 def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
     """(id, h, ranges): for each document with repeats, the word ranges [s, e) that repeated windows cover."""
     if length < PREFIX:
@@ -202,11 +212,9 @@ def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
     mixed = materialize(mixed.where("k > 1 and single = 1").select("anchor", (F.col("k") > GROUP).alias("hot")), "mixed-anchors")
     wanted = classes.join(mixed, "anchor").groupBy("rep.id", "rep.h").agg(F.collect_list(F.struct("anchor", "digest", "count", "hot")).alias("segments"))
     texts = materialize(_wanted(_packed(docs), materialize(wanted, "wanted"), length), "segment-texts")
-    trees = texts.where("text is not null").select("anchor", "digest", "count", "text").repartition("anchor").sortWithinPartitions("anchor")
+    trees = texts.where("prefix is null").select("anchor", "digest", "count", "text").repartition("anchor").sortWithinPartitions("anchor")
     from_trees = map_groups(trees, ["anchor"], _trees(length), "anchor bigint, digest bigint, off int, len int")
-    windows = texts.where("text is null")
-    twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2"), "long-prefixes")
-    from_long = windows.where("count = 1").join(twice, ["w1", "w2"], "left_semi").select("anchor", "digest", "off", F.lit(1).alias("len"))
+    from_long = _hot_repeats(texts.where("prefix is not null")).withColumn("len", F.lit(1))
     copies = classes.where("count > 1").select("anchor", "digest", F.lit(0).alias("off"), F.lit(None).cast("int").alias("len"))
     repeats = materialize(copies.unionByName(from_trees).unionByName(from_long), "repeats")
     at = segments.join(repeats, ["anchor", "digest"]).select("id", "h", (F.col("lo") + F.col("off")).alias("s"), (F.col("lo") + F.col("off") + F.coalesce("len", "n") - 1 + length).alias("e"))
