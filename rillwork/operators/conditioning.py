@@ -6,11 +6,12 @@ import heapq
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.grid import DC, DR, GridMeta
+from rillwork.grid import GridMeta
+from rillwork.operators.filling import filled
+from rillwork.plans.blocks import Block, arrow_schema, as_table, block_of, in_tiles, steps
 from rillwork.plans.stencil import window3
 from rillwork.plans.store import settle
 
@@ -22,23 +23,29 @@ def seeds(cells: DataFrame, grid: GridMeta) -> DataFrame:
     return window3(cells).select("r", "c", (F.col("z").isNotNull() & (border | beside)).alias("seed"))
 
 
-def _relax(pdf: pd.DataFrame, rule: Callable[[float, float, float], float], steps: list[tuple[int, int]]) -> pd.DataFrame:
+def _relax(block: Block, rule: Callable[[float, float, float], float], connectivity: int) -> dict:
     """Lowers w to the least level reachable in one tile, from its own cells and the ring around it."""
-    at = {(r, c): i for i, (r, c) in enumerate(zip(pdf.r, pdf.c, strict=True))}
-    z, w, own = pdf.z.to_numpy(), pdf.w.to_numpy().copy(), pdf.own.to_numpy()
-    heap = [(v, i) for i, v in enumerate(w) if np.isfinite(v)]
+    side = block.tile + 2
+    offsets = [dr * side + dc for _, dr, dc in steps(connectivity)]
+    mine = np.zeros((side, side), bool)
+    mine[1:-1, 1:-1] = block.own(block.have)
+    pad = side + 1  # steps off the last row end here; those off the others end on the ring, which is not the tile's own
+    own = [*mine.ravel().tolist(), *[False] * pad]
+    z, w = block.arrays["z"].ravel().tolist(), np.where(block.have, block.arrays["w"], np.inf).ravel().tolist()
+    heap = [(v, i) for i, v in enumerate(w) if v < np.inf]
     heapq.heapify(heap)
-    rows, cols = pdf.r.to_numpy(), pdf.c.to_numpy()
     while heap:
         v, i = heapq.heappop(heap)
         if v > w[i]:
             continue
-        for dr, dc in steps:
-            j = at.get((rows[i] + dr, cols[i] + dc))
-            if j is not None and own[j] and (level := rule(z[i], z[j], v)) < w[j]:
+        for o in offsets:
+            j = i + o
+            if own[j] and (level := rule(z[i], z[j], v)) < w[j]:
                 w[j] = level
                 heapq.heappush(heap, (level, j))
-    return pdf.assign(moved=w < pdf.w.to_numpy(), w=w)[own][["run", "r", "c", "z", "w", "moved"]]
+    level = np.array(w).reshape(side, side)[1:-1, 1:-1]
+    rows = block.rows(block.own(block.have), z=block.own(block.arrays["z"]), w=level, moved=level < block.own(block.arrays["w"]))
+    return {"run": [block.keys["run"]] * len(rows["r"])} | rows
 
 
 def least_levels(start: DataFrame, grid: GridMeta, rule: Callable[[float, float, float], float], tile: int = 256, sides_only: bool = False) -> DataFrame:
@@ -46,41 +53,52 @@ def least_levels(start: DataFrame, grid: GridMeta, rule: Callable[[float, float,
 
     ``rule(z here, z there, w here)`` is the level that a neighbour gets; it never falls along a path. Tiles are
     worked on alone, with the levels of the ring around them, until none changes: levels only fall and the result is
-    unique, whatever the order. A round moves levels across one tile.
+    unique, whatever the order. A round moves levels across one tile, and works only on tiles whose ring has changed.
     """
-    steps = [(dr, dc) for k, (dr, dc) in enumerate(zip(DR, DC, strict=True)) if k % 2 == 0 or not sides_only]
-    near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    reach = F.array_distinct(F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.struct(F.floor((F.col("r") + i) / tile).alias("tr"), F.floor((F.col("c") + j) / tile).alias("tc"))))))
-    own = (F.col("t.tr") == F.floor(F.col("r") / tile)) & (F.col("t.tc") == F.floor(F.col("c") / tile))
+    schema, keys = "run int, r int, c int, z double, w double, moved boolean", ["run", "tr", "tc"]
+    target = arrow_schema(schema)
+    own = [F.floor(F.col(x) / tile).cast("int").alias(f"t{x}") for x in "rc"]
     state = settle(start.select("run", "r", "c", "z", "w"), "levels")
+    active = None
     while True:
-        rows = state.select("run", "r", "c", "z", "w", F.explode(reach).alias("t")).withColumn("own", own)
-        lowered = rows.select("t.tr", "t.tc", "run", "r", "c", "z", "w", "own").groupBy("run", "tr", "tc").applyInPandas(lambda pdf: _relax(pdf, rule, steps), "run int, r int, c int, z double, w double, moved boolean")
-        state = settle(lowered, "levels")
-        if grid.rows <= tile and grid.cols <= tile or state.where("moved").isEmpty():
-            return state.drop("moved")
-        state = state.drop("moved")
+        rows = in_tiles(state, grid, tile, 1)
+        rows = rows if active is None else rows.join(active, keys, "left_semi")
+        run = lambda t: as_table(_relax(block_of(t, tile, 1, ("z", "w"), ("run",)), rule, 4 if sides_only else 8), target)
+        lowered = settle(rows.groupBy(*keys).applyInArrow(run, schema), "levels")
+        rest = None if active is None else state.select("*", *own).join(active, keys, "left_anti").select("run", "r", "c", "z", "w")
+        state = lowered.drop("moved") if rest is None else settle(lowered.drop("moved").unionByName(rest), "levels")
+        if grid.rows <= tile and grid.cols <= tile:
+            return state
+        touched = in_tiles(lowered.where("moved"), grid, tile, 1).where((F.col("tr") != F.floor(F.col("r") / tile)) | (F.col("tc") != F.floor(F.col("c") / tile)))
+        active = settle(touched.select(*keys).distinct(), "active-tiles")
+        if active.isEmpty():
+            return state
 
 
 def fill_depressions(cells: DataFrame, grid: GridMeta, tile: int = 256, epsilon: float = 0.0) -> DataFrame:
     """(r, c, z): each cell raised to the lowest level over which it drains to a seed, ``epsilon`` higher with each step."""
     z = cells.where("z is not null")
-    # out of a cell without data w stays infinite; such cells are no rows here
-    start = z.join(seeds(cells, grid), ["r", "c"]).select(F.lit(0).alias("run"), "r", "c", "z", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf"))).alias("w"))
-    state = least_levels(start, grid, lambda _, there, v: max(there, v + epsilon), tile)
+    if epsilon == 0:
+        state = filled(z.select(F.lit(0).alias("run"), "r", "c", "z"), grid, tile)
+    else:  # out of a cell without data w stays infinite; such cells are no rows here
+        start = z.join(seeds(cells, grid), ["r", "c"]).select(F.lit(0).alias("run"), "r", "c", "z", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf"))).alias("w"))
+        state = least_levels(start, grid, lambda _, there, v: max(there, v + epsilon), tile)
     return cells.select("r", "c").join(state.select("r", "c", F.col("w").alias("z")), ["r", "c"], "left")
 
 
 def stochastic_depressions(cells: DataFrame, grid: GridMeta, sigma: float, runs: int, seed: int = 0, tile: int = 256) -> DataFrame:
     """(r, c, p): the share of runs with normal noise in which filling raises the cell. The noise is a hash of seed, run and cell, whatever the partitions."""
-    chance = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "run", "r", "c", F.lit(k)), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
-    noise = F.sqrt(-2 * F.log(chance(0))) * F.cos(2 * np.pi * chance(1))
-    noisy = cells.where("z is not null").join(seeds(cells, grid), ["r", "c"]).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("z", F.col("z") + sigma * noise)
-    filled = least_levels(noisy.withColumn("w", F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf")))), grid, lambda _, there, v: max(there, v), tile)
-    share = filled.groupBy("r", "c").agg(F.avg((F.col("w") > F.col("z")).cast("double")).alias("p"))
+    noisy = cells.where("z is not null").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).select("run", "r", "c", (F.col("z") + sigma * noise(seed)).alias("z"))
+    share = filled(noisy, grid, tile).groupBy("r", "c").agg(F.avg((F.col("w") > F.col("z")).cast("double")).alias("p"))
     return cells.select("r", "c").join(share, ["r", "c"], "left")
 
 
+def noise(seed: int) -> Column:
+    """Standard normal noise of (run, r, c)."""
+    chance = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "run", "r", "c", F.lit(k)), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
+    return F.sqrt(-2 * F.log(chance(0))) * F.cos(2 * np.pi * chance(1))
+
+
 def resolve_flats(cells: DataFrame, grid: GridMeta, epsilon: float = 1e-5, connectivity: int = 8, tile: int = 256) -> DataFrame:
     """(r, c, z): plateaus that have a way down lifted so that they drain to it; their cells beside lower ground stay.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rillwork.grid import DC, DR, GridMeta
 from rillwork.operators.terrain import slopes
-from rillwork.plans.doubling import downstream, pass_down, upstream_length, upstream_sum
+from rillwork.plans.doubling import downstream
+from rillwork.plans.drainage import along_paths, passed_down, upstream_lengths, upstream_totals
 from rillwork.plans.stencil import window3
 from rillwork.plans.store import settle
 
@@ -79,8 +80,7 @@ def mfd_edges(directions: DataFrame, grid: GridMeta) -> DataFrame:
 
 def accumulate_edges(cells: DataFrame, edges: DataFrame, grid: GridMeta, weight: str | None = None) -> DataFrame:
     """(r, c, acc): weights of what lies upstream times the shares on the way."""
-    nodes = cells.select(grid.node(F.col("r"), F.col("c")).alias("node"), "r", "c", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    return nodes.select("node", "r", "c").join(pass_down(nodes.select("node", "w"), edges), "node").select("r", "c", "acc")
+    return passed_down(cells.select("r", "c", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")), edges, grid)
 
 
 def snap_pour_points(pour_points: DataFrame, acc: DataFrame, grid: GridMeta, radius: int, streams: DataFrame | None = None) -> DataFrame:
@@ -113,14 +113,11 @@ def forest(directions: DataFrame, grid: GridMeta, *more: str) -> DataFrame:
 
 def accumulate(directions: DataFrame, grid: GridMeta, weight: str | None = None) -> DataFrame:
     """(r, c, acc): the weights of all cells strictly upstream; each weighs 1 by default."""
-    nodes = forest(directions, grid, *([weight] if weight else [])).withColumn("w", F.col(weight) if weight else F.lit(1.0))
-    total = upstream_sum(nodes)
-    return nodes.withColumnRenamed("w", "own").join(total, "node").select("r", "c", (F.col("w") - F.col("own")).alias("acc"))
+    return upstream_totals(directions.select("r", "c", "dir", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")), grid)
 
 
 def upslope_length(directions: DataFrame, grid: GridMeta) -> DataFrame:
-    nodes = forest(directions, grid).withColumn("d", F.when(F.col("ptr").isNull(), 0.0).when(F.col("dir") % 2 == 0, grid.step(0)).otherwise(grid.step(1)))
-    return nodes.select("node", "r", "c").join(upstream_length(nodes), "node").select("r", "c", "length")
+    return upstream_lengths(directions.select("r", "c", "dir"), grid)
 
 
 def streams(acc: DataFrame, threshold: float) -> DataFrame:
@@ -140,10 +137,9 @@ def numbered(cells: DataFrame, name: str) -> DataFrame:
 
 def basins(directions: DataFrame, grid: GridMeta) -> DataFrame:
     """(r, c, basin_id): every cell without a direction is an outlet, numbered row by row from 1."""
-    nodes = forest(directions, grid)
-    sinks = numbered(nodes.where("dir is null or not dir between 0 and 7"), "basin_id").select(F.col("node").alias("root"), "basin_id")
-    roots = downstream(nodes.withColumn("root", F.col("node")), {"root": lambda mine, below: F.coalesce(below, mine)})
-    return nodes.select("node", "r", "c").join(roots.select("node", "root"), "node").join(sinks, "root", "left").select("r", "c", F.coalesce("basin_id", F.lit(0)).alias("basin_id"))
+    sinks = numbered(directions.where("dir is null or not dir between 0 and 7").select("r", "c"), "v").select("r", "c", "v")
+    marked = directions.join(sinks, ["r", "c"], "left").select("r", "c", "dir", "v")
+    return along_paths(marked, grid).select("r", "c", F.coalesce(F.col("v").cast("bigint"), F.lit(0).cast("bigint")).alias("basin_id"))
 
 
 def merge_small(labels: DataFrame, grid: GridMeta, min_cells: int, into_neighbour: bool = False) -> DataFrame:
@@ -181,17 +177,16 @@ def watershed(directions: DataFrame, grid: GridMeta, pour_points: DataFrame, req
     The rank is the order of ids, or the reverse where basins need not be unique.
     """
     rank = F.col("id") if require_unique else -F.col("id")
-    seeds = pour_points.select("r", "c", "id", rank.alias("rank")).groupBy("r", "c").agg(F.min(F.struct("rank", "id")).alias("seed"))
-    nodes = forest(directions, grid).join(seeds, ["r", "c"], "left")
-    found = downstream(nodes, {"seed": lambda mine, below: F.least(mine, below)})
-    return nodes.select("node", "r", "c").join(found.select("node", F.coalesce("seed.id", F.lit(0)).alias("basin_id")), "node").select("r", "c", "basin_id")
+    seeds = pour_points.groupBy("r", "c").agg(F.min(rank).alias("v"))
+    found = along_paths(directions.join(seeds, ["r", "c"], "left").select("r", "c", "dir", "v"), grid, least=True)
+    return found.select("r", "c", F.coalesce(F.abs("v"), F.lit(0.0)).cast("bigint").alias("basin_id"))
 
 
 def hand(cells: DataFrame, directions: DataFrame, stream_cells: DataFrame, grid: GridMeta) -> DataFrame:
     """(r, c, hand): height above the first stream cell downstream; null without one."""
-    nodes = forest(directions.join(cells, ["r", "c"]).join(stream_cells, ["r", "c"]), grid, "z", "stream").withColumn("base", F.when(F.col("stream"), F.struct("z")))
-    found = downstream(nodes, {"base": lambda mine, below: F.coalesce(mine, below)})
-    return nodes.select("node", "r", "c", "z").join(found.select("node", F.col("base.z").alias("zs")), "node").select("r", "c", (F.col("z") - F.col("zs")).alias("hand"))
+    nodes = directions.join(cells, ["r", "c"]).join(stream_cells, ["r", "c"])
+    found = along_paths(nodes.select("r", "c", "dir", F.when(F.col("stream"), F.col("z")).alias("v")), grid)
+    return found.join(cells, ["r", "c"]).select("r", "c", (F.col("z") - F.col("v")).alias("hand"))
 
 
 def _exits(directions: DataFrame, acc: DataFrame, grid: GridMeta, factor: int) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.grid import DC, DR, GridMeta
+from rillwork.plans.blocks import Block, tile_map
 from rillwork.plans.stencil import clamped, focal, window3, window_sums
 
 
@@ -45,10 +47,24 @@ def ruggedness(cells: DataFrame, grid: GridMeta, window: int = 3) -> DataFrame:
     h = window // 2
     if h == 0:
         return cells.select("r", "c", F.lit(None).cast("double").alias("ruggedness"))
-    z = cells.select("r", "c", F.coalesce("z", F.lit(0.0)).alias("z"))
-    offsets = F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-h, h + 1) for j in range(-h, h + 1) if (i, j) != (0, 0)))
-    sent = z.withColumn("o", F.explode(offsets)).select(F.pmod(F.col("r") + F.col("o.dr"), F.lit(grid.rows)).alias("r"), F.pmod(F.col("c") + F.col("o.dc"), F.lit(grid.cols)).alias("c"), F.col("z").alias("zn"))
-    return z.join(sent, ["r", "c"]).groupBy("r", "c").agg(F.avg(F.abs(F.col("z") - F.col("zn"))).alias("ruggedness"))
+    near = lambda x, size: F.filter(F.array(F.col(x), F.col(x) - size, F.col(x) + size), lambda p: p.between(-h, size - 1 + h))
+    # the grid's far sides once more beyond its edges: a tile's ring then holds what is wrapped around
+    wrapped = cells.select(F.explode(near("r", grid.rows)).alias("r"), "c", F.coalesce("z", F.lit(0.0)).alias("z")).select("r", F.explode(near("c", grid.cols)).alias("c"), "z")
+
+    def kernel(block: Block) -> dict:
+        z, total, n = block.arrays["z"], 0.0, 0
+        own = block.own(z)
+        for dr in range(-h, h + 1):
+            for dc in range(-h, h + 1):
+                if dr or dc:
+                    size = np.abs(own - block.shifted(z, dr, dc))
+                    seen = ~np.isnan(size)
+                    total, n = total + np.where(seen, size, 0.0), n + seen
+        r, c = np.ogrid[: block.tile, : block.tile]
+        inside = block.own(block.have) & (r + block.r0 < grid.rows) & (c + block.c0 < grid.cols)
+        return block.rows(inside, ruggedness=np.where(n > 0, total / np.maximum(n, 1), np.nan))
+
+    return tile_map(wrapped, grid, kernel, "r int, c int, ruggedness double", halo=h)
 
 
 def _gradient(cells: DataFrame, grid: GridMeta) -> DataFrame:
@@ -121,12 +137,19 @@ def normal_vector_deviation(cells: DataFrame, grid: GridMeta, window: int = 3) -
 
 def horizons(cells: DataFrame, grid: GridMeta, radius: int) -> DataFrame:
     """(r, c, h0..h7): the highest angle above level up to ``radius`` cells away in each direction; no-data is 0."""
-    z = cells.select("r", "c", F.coalesce("z", F.lit(0.0)).alias("z"))
-    steps = F.array(*(F.struct(F.lit(-DR[k] * s).alias("dr"), F.lit(-DC[k] * s).alias("dc"), F.lit(k).alias("k"), F.lit(grid.step(k) * s).alias("d")) for k in range(8) for s in range(1, radius + 1)))
-    sent = z.withColumn("o", F.explode(steps)).select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "o.k", "o.d", F.col("z").alias("zn"))
-    angle = F.atan2(F.col("zn") - F.col("z"), F.col("d"))
-    seen = z.join(sent, ["r", "c"], "left").groupBy("r", "c")
-    return seen.agg(*(F.greatest(F.lit(0.0), F.max(F.when(F.col("k") == k, angle))).alias(f"h{k}") for k in range(8)))
+
+    def kernel(block: Block) -> dict:
+        z = np.where(block.have, np.nan_to_num(block.arrays["z"]), np.nan)
+        own = block.own(z)
+        out = {}
+        for k, (dr, dc) in enumerate(zip(DR, DC, strict=True)):
+            high = np.zeros_like(own)
+            for s in range(1, radius + 1):
+                high = np.fmax(high, np.arctan2(block.shifted(z, dr * s, dc * s) - own, grid.step(k) * s))
+            out[f"h{k}"] = high
+        return block.rows(block.own(block.have), **out)
+
+    return tile_map(cells, grid, kernel, "r int, c int, " + ", ".join(f"h{k} double" for k in range(8)), halo=radius)
 
 
 def openness(cells: DataFrame, grid: GridMeta, radius: int = 10, kind: str = "positive") -> DataFrame:

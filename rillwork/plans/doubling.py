@@ -1,7 +1,8 @@
 """Pointer doubling over a forest: each node has one receiver (``ptr``) or none.
 
 A round joins a node with what lies as far below it as it has looked so far, so the rounds are the
-logarithm of the longest path, whatever its length.
+logarithm of the longest path, whatever its length. Nodes without a receiver left are done: they are
+looked up by others, but take no part in joins themselves, so no null keys gather in one partition.
 """
 
 from __future__ import annotations
@@ -13,50 +14,76 @@ from pyspark.sql import functions as F
 
 from rillwork.plans.store import settle
 
-MAX_ROUNDS = 64
 
+class Cycle(ValueError):
+    """The receivers hold a cycle, so some paths have no end."""
 
-def _rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def _turns(state: DataFrame) -> range:
+    """As many rounds as the longest path can take, if it ends."""
+    return range(state.where("ptr is not null").count().bit_length() + 1)
+
+
+def cycle_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes(node, ptr) -> (node) of those on cycles: after so many steps every path without an end is on its cycle."""
+    state = settle(nodes.where("ptr is not null").select("node", "ptr"), "paths")
+    for _ in _turns(state):
+        state = settle(state.join(state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr").select("node", F.col("next").alias("ptr")), "paths")
+    return state.select(F.col("ptr").alias("node")).distinct()
+
+
+def _rounds(state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``step``(nodes on their way, all nodes) gives the former anew; all nodes where none is on its way."""
     state = settle(state, "paths")
-    for _ in range(MAX_ROUNDS):
-        if state.where("ptr is not null").isEmpty():
+    for _ in _turns(state):
+        moving = state.where("ptr is not null")
+        if moving.isEmpty():
             return state
-        state = settle(step(state), "paths")
-    raise ValueError("the flow directions hold a cycle")
+        state = settle(step(moving, state).unionByName(state.where("ptr is null")), "paths")
+    raise Cycle("the flow directions hold a cycle")
 
 
 def downstream(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """nodes(node, ptr, values): each value combined with those of the whole path below it, nearest first."""
 
-    def step(s: DataFrame) -> DataFrame:
-        below = s.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), *(F.col(v).alias(f"below_{v}") for v in combine))
-        joined = s.join(below, "ptr", "left")
-        kept = [F.when(F.col("ptr").isNull(), F.col(v)).otherwise(f(F.col(v), F.col(f"below_{v}"))).alias(v) for v, f in combine.items()]
-        return joined.select("node", F.col("next").alias("ptr"), *kept)
+    def step(moving: DataFrame, every: DataFrame) -> DataFrame:
+        below = every.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), *(F.col(v).alias(f"below_{v}") for v in combine))
+        return moving.join(below, "ptr", "left").select("node", F.col("next").alias("ptr"), *(f(F.col(v), F.col(f"below_{v}")).alias(v) for v, f in combine.items()))
 
     return _rounds(nodes.select("node", "ptr", *combine), step)
 
 
-def upstream_sum(nodes: DataFrame) -> DataFrame:
-    """nodes(node, ptr, w) -> (node, w): w summed over a node and all that lies above it."""
+def _with_above(state: DataFrame, value: str, more: Column, merge: Callable[[Column, Column], Column], gather: Callable[[Column], Column]) -> DataFrame:
+    """state with ``value`` merged with what the nodes that point at a node have gathered."""
+    above = state.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(gather(more).alias("more"))
+    return state.join(above, "node", "left").withColumn(value, merge(F.col(value), F.col("more"))).drop("more")
 
-    def step(s: DataFrame) -> DataFrame:
-        above = s.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.sum("w").alias("more"))
-        nxt = s.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
-        return s.join(above, "node", "left").join(nxt, "ptr", "left").select("node", F.col("next").alias("ptr"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
 
-    return _rounds(nodes.select("node", "ptr", "w"), step).select("node", "w")
+def _upstream(nodes: DataFrame, value: str, more: Column, merge: Callable[[Column, Column], Column], gather: Callable[[Column], Column], ways: tuple[str, ...] = ()) -> DataFrame:
+    """Rounds in which each node takes what points at it, then points as far again; ``ways`` add up along."""
+    state = settle(nodes, "paths")
+    for _ in _turns(state):
+        if state.where("ptr is not null").isEmpty():
+            return state
+        taken = _with_above(state, value, more, merge, gather)
+        nxt = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), *(F.col(w).alias(f"next_{w}") for w in ways))
+        moving = taken.where("ptr is not null").join(nxt, "ptr", "left")
+        moved = moving.select("node", F.col("next").alias("ptr"), value, *((F.col(w) + F.coalesce(f"next_{w}", F.lit(0.0))).alias(w) for w in ways))
+        state = settle(moved.unionByName(taken.where("ptr is null").select("node", "ptr", value, *ways)), "paths")
+    raise Cycle("the flow directions hold a cycle")
 
 
-def upstream_length(nodes: DataFrame) -> DataFrame:
-    """nodes(node, ptr, d: length of the step to ptr) -> (node, length): the longest path from above."""
+def upstream_sum(nodes: DataFrame) -> DataFrame:
+    """nodes(node, ptr, w) -> (node, w): w summed over a node and all that lies above it."""
+    merge = lambda mine, more: mine + F.coalesce(more, F.lit(0))
+    return _upstream(nodes.select("node", "ptr", "w"), "w", F.col("w"), merge, F.sum).select("node", "w")
 
-    def step(s: DataFrame) -> DataFrame:
-        above = s.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.max(F.col("d") + F.col("length")).alias("more"))
-        nxt = s.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("d").alias("next_d"))
-        return s.join(above, "node", "left").join(nxt, "ptr", "left").select("node", F.col("next").alias("ptr"), (F.col("d") + F.coalesce("next_d", F.lit(0.0))).alias("d"), F.greatest("length", "more").alias("length"))
 
-    return _rounds(nodes.select("node", "ptr", "d", F.lit(0.0).alias("length")), step).select("node", "length")
+def upstream_length(nodes: DataFrame) -> DataFrame:
+    """nodes(node, ptr, d: length of the step to ptr, and length to start from, or 0) -> (node, length): the longest path from above."""
+    start = F.col("length") if "length" in nodes.columns else F.lit(0.0)
+    rows = nodes.select("node", "ptr", start.alias("length"), "d")
+    return _upstream(rows, "length", F.col("d") + F.col("length"), lambda mine, more: F.greatest(mine, more), F.max, ("d",)).select("node", "length")
 
 
 def pass_down(nodes: DataFrame, edges: DataFrame) -> DataFrame:

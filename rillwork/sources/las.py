@@ -1,4 +1,4 @@
-"""LAS point files as tables."""
+"""LAS point files as tables, and tables as LAS files."""
 
 from __future__ import annotations
 
@@ -7,39 +7,137 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Byte offsets of the public LAS header and of the fields of a point record.
 OFFSET_TO_POINTS, FORMAT, RECORD_LENGTH, LEGACY_COUNT, SCALES, COUNT_14 = 96, 104, 105, 107, 131, 247
-POINTS_A_BATCH = 100_000
+# The record that holds a coordinate system as text.
+WKT_USER, WKT_RECORD = b"LASF_Projection", 2112
+#: Points that a task's batch, and a row of work, hold.
+POINTS_A_BATCH, POINTS_A_RANGE = 100_000, 1_000_000
+HEADER_14, RECORD_6 = 375, 30
 
 
-def _points(content: bytes):
-    if content[:4] != b"LASF":
+def _open(path: str):
+    """A random-access file on any store that pyarrow reads."""
+    from pyarrow import fs
+
+    if "://" in path:
+        system, name = fs.FileSystem.from_uri(path)
+        return system.open_input_file(name)
+    return fs.LocalFileSystem().open_input_file(path.removeprefix("file:"))
+
+
+def _layout(path: str) -> tuple[int, int, int, int, tuple[float, ...]]:
+    """Offset of the first record, its length, its format, the number of points, and scales and offsets."""
+    with _open(path) as f:
+        head = f.read(HEADER_14)
+    if head[:4] != b"LASF":
         raise ValueError("not a LAS file")
-    (start,), kind = struct.unpack_from("<I", content, OFFSET_TO_POINTS), content[FORMAT]
+    (start,), kind = struct.unpack_from("<I", head, OFFSET_TO_POINTS), head[FORMAT]
     if kind & 0x80:
         raise ValueError("compressed point records (LAZ) are not read")
-    (length,), (count,) = struct.unpack_from("<H", content, RECORD_LENGTH), struct.unpack_from("<I", content, LEGACY_COUNT)
-    if content[25] >= 4:
-        (count,) = struct.unpack_from("<Q", content, COUNT_14)
-    sx, sy, sz, ox, oy, oz = struct.unpack_from("<6d", content, SCALES)
+    (length,), (count,) = struct.unpack_from("<H", head, RECORD_LENGTH), struct.unpack_from("<I", head, LEGACY_COUNT)
+    if head[25] >= 4:
+        (count,) = struct.unpack_from("<Q", head, COUNT_14)
+    return start, length, kind, count, struct.unpack_from("<6d", head, SCALES)
+
+
+def _points(path: str, first: int, last: int):
+    start, length, kind, _, (sx, sy, sz, ox, oy, oz) = _layout(path)
     new = kind >= 6
     record = np.dtype({"names": ["x", "y", "z", "intensity", "returns", "classification"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1", "u1"], "offsets": [0, 4, 8, 12, 14, 16 if new else 15], "itemsize": length})
-    for first in range(0, count, POINTS_A_BATCH):
-        p = np.frombuffer(content, record, min(POINTS_A_BATCH, count - first), start + first * length)
-        yield pd.DataFrame({
-            "x": p["x"] * sx + ox, "y": p["y"] * sy + oy, "z": p["z"] * sz + oz, "intensity": p["intensity"].astype("i4"),
-            "classification": (p["classification"] & (0xFF if new else 0x1F)).astype("i2"), "return_number": (p["returns"] & (0x0F if new else 0x07)).astype("i2"),
-        })
+    with _open(path) as f:
+        f.seek(start + first * length)
+        for at in range(first, last, POINTS_A_BATCH):
+            n = min(POINTS_A_BATCH, last - at)
+            p = np.frombuffer(f.read(n * length), record, n)
+            yield pd.DataFrame({
+                "x": p["x"] * sx + ox, "y": p["y"] * sy + oy, "z": p["z"] * sz + oz, "intensity": p["intensity"].astype("i4"),
+                "classification": (p["classification"] & (0xFF if new else 0x1F)).astype("i2"), "return_number": (p["returns"] & (0x0F if new else 0x07)).astype("i2"),
+            })
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """points(x, y, z, intensity, classification, return_number) of all LAS files under a path; one file a task, in batches."""
+    """points(x, y, z, intensity, classification, return_number) of all LAS files under a path.
+
+    Headers give ranges of POINTS_A_RANGE records; a task seeks to its ranges, so a file of any size is split.
+    """
+
+    def ranges(frames):
+        for pdf in frames:
+            for p in pdf.path:
+                count = _layout(p)[3]
+                first = np.arange(0, count, POINTS_A_RANGE)
+                yield pd.DataFrame({"path": p, "first": first, "last": np.minimum(first + POINTS_A_RANGE, count)})
 
     def parse(frames):
         for pdf in frames:
-            for content in pdf.content:
-                yield from _points(content)
+            for p, first, last in zip(pdf.path, pdf["first"], pdf["last"], strict=True):
+                yield from _points(p, first, last)
+
+    # only the paths are read here, not the files
+    work = spark.read.format("binaryFile").load(path).select("path").mapInPandas(ranges, "path string, first bigint, last bigint")
+    return work.repartition(F.col("path"), F.col("first")).mapInPandas(parse, "x double, y double, z double, intensity int, classification short, return_number short")
+
+
+def las_crs(path: str) -> str | None:
+    """The coordinate system that a file's header names as text, if it does."""
+    with _open(path) as f:
+        head = f.read(HEADER_14)
+        (size,), (n,) = struct.unpack_from("<H", head, 94), struct.unpack_from("<I", head, 100)
+        f.seek(size)
+        for _ in range(n):
+            record = f.read(54)
+            (kind, length) = struct.unpack_from("<HH", record, 18)
+            body = f.read(length)
+            if record[2:18].rstrip(b"\\0") == WKT_USER and kind == WKT_RECORD:
+                return body.rstrip(b"\\0").decode()
+    return None
+
+
+def write_las(points: DataFrame, path: str, scale: float = 0.001) -> None:
+    """points(x, y, z and, if there, intensity, classification, return_number) as LAS 1.4 files of format 6, one a partition."""
+    from pyspark import TaskContext
+
+    optional = [c for c in ("intensity", "classification", "return_number") if c in points.columns]
+
+    def write(frames):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        system.create_dir(folder, recursive=True)
+        name, attempt = f"{folder}/part-{TaskContext.get().partitionId():06d}.las", TaskContext.get().taskAttemptId()
+        record = np.dtype({"names": ["x", "y", "z", "intensity", "return_number", "classification"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1", "u1"], "offsets": [0, 4, 8, 12, 14, 16], "itemsize": RECORD_6})
+        count, low, high, returns, origin = 0, np.full(3, np.inf), np.full(3, -np.inf), np.zeros(16, np.int64), None
+        body = f"{name}.{attempt}.body"
+        with system.open_output_stream(body) as f:
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                xyz = pdf[["x", "y", "z"]].to_numpy()
+                origin = np.floor(xyz[0]) if origin is None else origin
+                p = np.zeros(len(pdf), record)
+                for i, k in enumerate("xyz"):
+                    p[k] = np.rint((xyz[:, i] - origin[i]) / scale)
+                for k in optional:
+                    p[k] = pdf[k].fillna(0)
+                count, low, high = count + len(pdf), np.minimum(low, xyz.min(0)), np.maximum(high, xyz.max(0))
+                returns += np.bincount(p["return_number"] & 15, minlength=16)
+                f.write(p.tobytes())
+        if count:
+            head = bytearray(HEADER_14)
+            head[:4], head[24], head[25], head[FORMAT] = b"LASF", 1, 4, 6
+            struct.pack_into("<HII", head, 94, HEADER_14, HEADER_14, 0)
+            struct.pack_into("<H", head, RECORD_LENGTH, RECORD_6)
+            struct.pack_into("<12d", head, SCALES, scale, scale, scale, *origin, *(v for pair in zip(high, low, strict=True) for v in pair))
+            struct.pack_into("<Q15Q", head, COUNT_14, count, *returns[1:].tolist())
+            with system.open_output_stream(f"{name}.{attempt}") as f, system.open_input_stream(body) as g:
+                f.write(bytes(head))
+                while part := g.read(1 << 22):
+                    f.write(part)
+            system.move(f"{name}.{attempt}", name)
+        system.delete_file(body)
+        yield pd.DataFrame({"points": [count]})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(parse, "x double, y double, z double, intensity int, classification short, return_number short")
+    points.select("x", "y", "z", *optional).mapInPandas(write, "points bigint").agg(F.sum("points")).collect()

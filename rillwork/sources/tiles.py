@@ -46,14 +46,78 @@ def float_rows(cells: DataFrame, no_data: float = NO_DATA) -> DataFrame:
     return row_arrays(cells, no_data).mapInPandas(pack, "r int, content binary, mask binary")
 
 
-def export_rows(cells: DataFrame, grid: GridMeta, target: str) -> DataFrame:
-    """The rows of a target's grid file. lisflood_fp takes no grid with interior sinks."""
+def export_rows(cells: DataFrame, grid: GridMeta, target: str, validate: bool = True) -> DataFrame:
+    """The rows of a target's grid file. lisflood_fp takes no grid with interior sinks, unless ``validate`` is off."""
     from rillwork.operators.terrain import local_minima
 
     if target in ("lisflood_fp", "iber"):
-        if target == "lisflood_fp" and not local_minima(cells, grid).isEmpty():
+        if target == "lisflood_fp" and validate and not local_minima(cells, grid).isEmpty():
             raise ValueError("the grid has sinks; fill depressions first")
         return ascii_rows(cells)
     if target in ("tuflow", "sfincs"):
         return float_rows(cells)
     raise ValueError("target is one of lisflood_fp, iber, tuflow, sfincs")
+
+
+def gmsh_script(grid: GridMeta) -> str:
+    """The grid's bounds as a rectangle to mesh, with cells' size as the length of its elements."""
+    x, y = (grid.x0, grid.x0 + grid.cols * grid.dx), (grid.y0 + grid.rows * grid.dy, grid.y0)
+    corners = [(x[0], y[0]), (x[1], y[0]), (x[1], y[1]), (x[0], y[1])]
+    lines = [f"cl = {abs(grid.dx)};", *(f"Point({i}) = {{{a}, {b}, 0, cl}};" for i, (a, b) in enumerate(corners, 1))]
+    lines += [f"Line({i}) = {{{i}, {i % 4 + 1}}};" for i in range(1, 5)]
+    return "\n".join([*lines, "Line Loop(1) = {1, 2, 3, 4};", "Plane Surface(1) = {1};"]) + "\n"
+
+
+def header(grid: GridMeta, target: str, no_data: float = NO_DATA) -> str:
+    """The text before (or, for tuflow, beside) the rows of a target's file; empty for sfincs."""
+    text = ascii_header(grid, no_data)
+    if target == "tuflow":
+        return text + "byteorder LSBFIRST\n"
+    if target == "iber":
+        return "# Iber mesh boundary (auto-generated)\n" + text.upper().replace("NODATA_VALUE", "NODATA")
+    return text if target == "lisflood_fp" else ""
+
+
+def export(cells: DataFrame, grid: GridMeta, path: str, target: str, validate: bool = True) -> dict[str, str]:
+    """Writes a target's files as folders of parts, to be read (or joined) in the order of their names; returns the folders.
+
+    Headers are folders of their own, since a grid's rows are written by many tasks.
+    """
+    spark, out = cells.sparkSession, {}
+    text = lambda name, content: spark.createDataFrame([(content.rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/{name}") or f"{path}/{name}"
+    if target == "gmsh":
+        return {"geo": text("geo", gmsh_script(grid))}
+    rows = export_rows(cells, grid, target, validate)
+    if head := header(grid, target):
+        out["header"] = text("header", head)
+    ordered = rows.repartitionByRange("r").sortWithinPartitions("r")
+    if target in ("lisflood_fp", "iber"):
+        ordered.select(F.col("line").alias("value")).write.text(f"{path}/rows")
+        return out | {"rows": f"{path}/rows"}
+    for name, column in {"tuflow": {"flt": "content"}, "sfincs": {"dep": "content", "msk": "mask"}}[target].items():
+        write_parts(ordered.select(column), f"{path}/{name}")
+        out[name] = f"{path}/{name}"
+    return out
+
+
+def write_parts(rows: DataFrame, path: str) -> None:
+    """Writes the one binary column, one file a partition; a task that is repeated writes the same file again."""
+    from pyspark import TaskContext
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        system.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{TaskContext.get().partitionId():06d}"
+        done, attempt = 0, f"{name}.{TaskContext.get().taskAttemptId()}"
+        with system.open_output_stream(attempt) as f:
+            for batch in batches:
+                for x in batch.column(0).to_pylist():
+                    f.write(x)
+                    done += len(x)
+        system.move(attempt, name)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["bytes"])
+
+    rows.mapInArrow(write, "bytes bigint").agg(F.sum("bytes")).collect()
