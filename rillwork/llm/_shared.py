@@ -38,19 +38,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+#: A step gets at most so many bytes of Arrow data at once (or one row, if that is larger).
+STEP_BYTES = 2 << 20
+
+
+def pieces(batch: pa.RecordBatch, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows of at most ``limit`` bytes, or one row: bounds what a step holds at once."""
+    if batch.num_rows > 1 and batch.nbytes > limit:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half), limit)
+        yield from pieces(batch.slice(half), limit)
+    elif batch.num_rows:
+        yield batch
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, limit: int = STEP_BYTES) -> DataFrame:
     """Apply a function of columns to columns over Arrow batches.
 
     ``make`` runs once per task (load models there) and returns the function; it gets a dict of
     Arrow arrays and returns a dict of lists, arrays or Arrow arrays, one per field of ``schema``.
+    A batch comes in pieces of ``limit`` bytes, whose results leave before the next piece is begun.
     """
     target = pa_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield as_batch(step({n: batch.column(i) for i, n in enumerate(batch.schema.names)}), target)
+            for part in pieces(batch, limit):
+                yield as_batch(step({n: part.column(i) for i, n in enumerate(part.schema.names)}), target)
 
     return df.mapInArrow(run, schema)
 

@@ -14,13 +14,14 @@ its commit protocol makes the files whole after lost executors:
 from __future__ import annotations
 
 import hashlib
-import re
-import unicodedata
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,99 +33,129 @@ from rillwork.llm._shared import map_batches, materialize, pa_schema, read_table
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 1 << 16
 #: A block ends after so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
-#: Encodings of space-free strings that a task keeps.
-MEMO = 500_000
+#: Encodings of space-free strings that a worker keeps.
+MEMO = 700_000
 BLOCKS = "shard int, block int, first_id bigint, last_id bigint, dict_hash string, width int, doc_ids array<bigint>, starts array<bigint>, sizes array<bigint>, offsets array<int>, payload binary"
 
 
 class WordMemo:
     """Encodes texts by the space-free strings in them, for tokenizers that split at white space and
     drop it, and whose normalizers work character by character or on white space only (composition
-    never crosses a space). Each new string goes through the tokenizer; known ones are looked up.
+    never crosses a space). Arrow splits texts and numbers their strings; each new string goes through the library
+    once, and texts are put together from the known strings' ids by numpy.
 
-    New words of letters go through it together, joined by spaces: each is one piece of the pre-tokenizer, and
-    an id with the end-of-word suffix closes a piece. If the pieces do not add up, words go one by one.
-    A string of letters and then a mark from TRAIL is cut between the two, which ends a piece anyway.
+    A space is put between a Latin letter or digit and a mark of CUT, since a piece ends there anyway: what is left
+    is mostly words. New words of letters go through the library together, joined by spaces, normalized by it
+    (ASCII: lower-cased) and then by its model alone: each is one piece, and an id with the end-of-word suffix closes
+    a piece. If the pieces do not add up, and for strings that are no words, the whole tokenizer is used.
     """
 
-    TRAIL = re.compile(r"([^\W\d_]+)([,.!*&$#%|].*)", re.DOTALL)
+    CUT = "([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([,.!*&$#%|])"
 
     def __init__(self, path: str, suffix: str = "</w>"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-
-    @staticmethod
-    def letters(word: str) -> bool:
-        """Whether the word is letters, also when composed and lower-cased."""
-        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
-
-    def learn(self, new: set[str]) -> None:
-        cut = {p: m.groups() for p in new if not p.isalpha() and (m := self.TRAIL.fullmatch(p)) and self.letters(m[1])}
-        need = {q for p in new for q in cut.get(p, (p,))} - self.known.keys()
-        words, alone = [], []
-        for w in need:
-            (words if self.letters(w) else alone).append(w)
-        for i in range(0, len(words), 2048):
-            some = words[i : i + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        self.known: dict[str, int] = {}  # place in the pool << 24 | ids
+        self.pool, self.used = np.empty(1 << 16, "<u4"), 0
+
+    def keep(self, strings: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(self.pool) + len(ids), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        starts = np.append(0, ends[:-1])
+        self.known.update(zip(strings, ((self.used + starts) << 24 | (ends - starts)).tolist(), strict=True))
+        self.used += len(ids)
+
+    def learn(self, new: list[str]) -> None:
+        plain, accented, alone = [], [], []
+        for w in new:
+            (alone if not w.isalpha() else plain if w.isascii() else accented).append(w)
+        normal = [w.lower() for w in plain]
+        if accented:
+            some = self.tokenizer.normalizer.normalize_str(" ".join(accented)).split(" ")
+            if len(some) == len(accented):
+                for w, n in zip(accented, some, strict=True):
+                    if n.isalpha():
+                        plain.append(w), normal.append(n)
+                    else:
+                        alone.append(w)
+            else:
+                alone += accented
+        for i in range(0, len(plain), 1024):
+            some = plain[i : i + 1024]
+            ids = np.array(self.model.encode_batch_fast([" ".join(normal[i : i + 1024])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                data, stops = ids.tobytes(), (ends * 4).tolist()
-                self.known.update(zip(some, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+                self.keep(some, ids, ends)
             else:
                 alone += some
-        for i in range(0, len(alone), 2048):
-            some = alone[i : i + 2048]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        for p, (a, b) in cut.items():
-            self.known[p] = self.known[a] + self.known[b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian uint32."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*parts)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > MEMO:
+        for i in range(0, len(alone), 1024):
+            some = alone[i : i + 1024]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.keep(some, np.array([x for ids in lists for x in ids], "<u4"), np.cumsum([len(ids) for ids in lists]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's end."""
+        spaced = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        parts = pc.split_pattern(pc.replace_substring_regex(spaced, self.CUT, r"\1 \2"), " ")
+        strings = parts.flatten().dictionary_encode()
+        unique = strings.dictionary.to_pylist()
+        new = [w for w in unique if w not in self.known]
+        if len(self.known) + len(new) > MEMO and self.known:
             self.known.clear()
-            new = wanted
+            self.used, new = 0, unique
         self.learn(new)
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
+        code = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[np.asarray(strings.indices)]
+        start, size = code >> 24, code & 0xFFFFFF
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(start - (ends - size), size) + np.arange(total)]
+        return ids, np.append(0, ends)[np.cumsum(parts.value_lengths().to_numpy())]
+
+
+@lru_cache(1)
+def word_memo(path: str) -> WordMemo:
+    """One for all tasks of a worker, so that a word is learnt once by a worker while it stays in memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordMemo(path)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, crc, z): ids with ``end_id`` appended, compressed; a null text is empty."""
 
-    def make():
-        import gc
-        import os
+    dtype = f"<u{id_width(path)}"
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.set_threshold(1_000_000)  # lists of words hold no cycles
-        memo, pack = WordMemo(path), zstandard.ZstdCompressor(level=1)
-        end, dtype = np.array([end_id], "<u4").tobytes(), _dtype(memo.tokenizer.get_vocab_size())
+    def make():
+        memo, pack = word_memo(path), zstandard.ZstdCompressor(level=1)
 
         def step(c: dict) -> dict:
-            crc, z = [], []
-            texts = c["text"]
-            for s in range(0, len(texts), 256):
-                for ids in memo.encode(texts.slice(s, 256).to_pylist()):
-                    crc.append(zlib.crc32(ids + end))
-                    z.append(pack.compress(np.frombuffer(ids + end, "<u4").astype(dtype).tobytes()))
+            ids, ends = memo.encode(c["text"])
+            every = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            wide, narrow = every.tobytes(), every.astype(dtype).tobytes()
+            width, crc, z, s = len(narrow) // max(1, len(every)), [], [], 0
+            for e in ends.tolist():
+                crc.append(zlib.crc32(memoryview(wide)[4 * s : 4 * e]))
+                z.append(pack.compress(memoryview(narrow)[width * s : width * e]))
+                s = e
             return {"doc_id": c["doc_id"], "crc": crc, "z": z}
 
         return step
 
-    return map_batches(with_default_columns(docs, doc_id="bigint", text="string"), make, "doc_id bigint, crc bigint, z binary")
+    return map_batches(with_default_columns(docs, doc_id="bigint", text="string"), make, "doc_id bigint, crc bigint, z binary", 8 << 20)
+
 
+def id_width(path: str) -> int:
+    """Bytes of an id in files: 2 if the vocabulary's ids fit, else 4."""
+    from tokenizers import Tokenizer
 
-def _dtype(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+    return 2 if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
 
 
 def train_dictionary(tokens: DataFrame) -> bytes:
@@ -233,7 +264,7 @@ def read_token_files(spark: SparkSession, path: str, doc_id: int | None = None)
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = scratch(spark, "token-files")
-    tokens = materialize(tokenize(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1), "tokens")
-    write_token_files(tokens, path, 2)
+    path, tokenizer = scratch(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json")
+    tokens = materialize(tokenize(read_table(spark, sf_dir, "documents"), tokenizer, 1), "tokens")
+    write_token_files(tokens, path, id_width(tokenizer))
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

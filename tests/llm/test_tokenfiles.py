@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -17,7 +18,19 @@ MEMO = tokenfiles.WordMemo(PATH)
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aAé \n\t́̈　 \x85'sΣς1١!<|>가", max_size=40))
 def test_memo_equals_the_library_on_whole_texts(text):
-    assert np.frombuffer(MEMO.encode([text])[0], "<u4").tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+    ids, ends = MEMO.encode(pa.array([text, None, text]))
+    expected = THEIRS.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == expected * 2 and ends.tolist() == [len(expected), len(expected), 2 * len(expected)]
+
+
+def test_memo_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "MEMO", 50)
+    memo = tokenfiles.WordMemo(PATH)
+    for k in range(5):
+        texts = [f"word{i} Straße{i}, été. x.{k} " + "Éa" * i for i in range(k * 7, k * 7 + 20)]
+        ids, ends = memo.encode(pa.array(texts))
+        assert ids.tolist() == [x for t in texts for x in THEIRS.encode(t, add_special_tokens=False).ids]
+        assert len(memo.known) < 200
 
 
 def expected(rows):
@@ -34,7 +47,7 @@ def test_round_trip(spark, monkeypatch):
     rows = [(i * 3, f"the river {i} runs " * (i % 9)) for i in range(200)] + [(1000, None), (1001, ""), (1002, "same"), (None, "null id"), (1003, "long " * 50000)]
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, crc int")
     path = scratch(spark, "test-files")
-    tokenfiles.write_token_files(materialize(tokenfiles.tokenize(docs, PATH, 1), "tokens"), path, 2)
+    tokenfiles.write_token_files(materialize(tokenfiles.tokenize(docs, PATH, 1), "tokens"), path, tokenfiles.id_width(PATH))
     got = tokenfiles.read_token_files(spark, path).collect()
     mine = sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got), key=lambda r: r[1])
     assert mine == expected(rows)
@@ -48,6 +61,6 @@ def test_ties_repeats_and_empty_table(spark):
     for some in (rows, []):
         path = scratch(spark, "test-files")
         docs = spark.createDataFrame(some, "doc_id long, text string")
-        tokenfiles.write_token_files(materialize(tokenfiles.tokenize(docs, PATH, 1), "tokens"), path, 2)
+        tokenfiles.write_token_files(materialize(tokenfiles.tokenize(docs, PATH, 1), "tokens"), path, tokenfiles.id_width(PATH))
         got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfiles.read_token_files(spark, path).collect())
         assert got == [(2 * i, d, 2) for i, d in enumerate(sorted(d for d, _ in some))]
