@@ -80,7 +80,7 @@ def metrics(statistics: DataFrame, names: list[str]) -> DataFrame:
 
 
 def to_polygons(labels: DataFrame, grid: GridMeta) -> DataFrame:
-    """(basin_id, wkt): the outline of each basin, as a MULTIPOLYGON-free list of rings: outer ones run one way, holes the other.
+    """(basin_id, wkt): the outline of each basin as rings: outer ones run one way, holes the other.
 
     Cell sides that two cells of a basin share cancel out, and straight runs become one edge, before a basin's edges
     come together in the row that its outline is. Where cells touch at a corner only, rings are kept apart.
@@ -89,7 +89,8 @@ def to_polygons(labels: DataFrame, grid: GridMeta) -> DataFrame:
     r, c = F.col("r"), F.col("c")
     around = F.array(side(r, c, r, c + 1), side(r, c + 1, r + 1, c + 1), side(r + 1, c + 1, r + 1, c), side(r + 1, c, r, c))
     sides = labels.where("basin_id <> 0").select("basin_id", F.explode(around).alias("s")).select("basin_id", "s.*")
-    low, high = F.least(F.struct("r1", "c1"), F.struct("r2", "c2")), F.greatest(F.struct("r1", "c1"), F.struct("r2", "c2"))
+    ends = [F.struct(F.col(f"r{i}").alias("r"), F.col(f"c{i}").alias("c")) for i in (1, 2)]
+    low, high = F.least(*ends), F.greatest(*ends)
     rim = sides.groupBy("basin_id", low.alias("p"), high.alias("q")).agg(F.count("*").alias("n"), F.first("r1").alias("r1"), F.first("c1").alias("c1"), F.first("r2").alias("r2"), F.first("c2").alias("c2")).where("n = 1")
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:

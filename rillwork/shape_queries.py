@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork.grid import SQRT2, GridMeta, embedding_dem, line_item_points
-from rillwork.operators import conditioning, interpolate, mesh, routing, streams, terrain, vectors, zonal
+from rillwork.operators import basins, breaching, conditioning, interpolate, mesh, routing, streams, terrain, vectors, zonal
 from rillwork.plans.store import settle
 from rillwork.queries import D8, DEM, QUERIES, REACH, ROOTS, SQL, ST, _upscale_sql, dem, ints, query, rounded, routed, stream_nodes, with_
 from rillwork.sources import tiles
@@ -271,3 +271,38 @@ def _(spark, sf_dir):
 @query("export_ascii", with_(DEM) + " select r, string_agg(printf('%.6f', z), ' ' order by c) as line from dem group by r")
 def _(spark, sf_dir):
     return ints(tiles.ascii_rows(embedding_dem(spark, sf_dir)))
+
+
+for _method in breaching.METHODS:
+    query(f"breach_{_method}")(lambda spark, sf_dir, method=_method: (lambda d: ints(rounded(breaching.breach_depressions(*d, method, max_length=4), "r", "c")))(dem(spark, sf_dir)))
+
+
+@query("burn_topological_breach")
+def _(spark, sf_dir):
+    cells, grid = dem(spark, sf_dir)
+    return ints(rounded(breaching.burn_by_breaching(cells, vectors.line_cells(lines_of(spark, LINES), grid), grid, 0.5, max_length=4), "r", "c"))
+
+
+@query("pfafstetter")
+def _(spark, sf_dir):
+    _, d8, grid = routed(spark, sf_dir)
+    acc = settle(routing.accumulate(d8, grid), "accumulation")
+    return ints(basins.pfafstetter(d8, acc, routing.streams(acc, 3.0), grid, 2))
+
+
+@query("lowest_basin", with_(LABELS, True) + " select r, c, case when b = 1 then 1::bigint end as basin_id from l")
+def _(spark, sf_dir):
+    _, d8, grid = routed(spark, sf_dir)
+    return ints(basins.lowest_basin(settle(routing.basins(d8, grid), "basins")))
+
+
+@query("basin_polygons")
+def _(spark, sf_dir):
+    _, d8, grid = routed(spark, sf_dir)
+    return basins.to_polygons(routing.basins(d8, grid), grid)
+
+
+@query("flow_accumulation_int", with_(D8 + ", " + REACH, True) + " select d8.r, d8.c, coalesce(n, 0)::bigint as acc from d8 left join (select down, count(*) as n from reach group by down) a on a.down = d8.node")
+def _(spark, sf_dir):
+    cells, d8, grid = routed(spark, sf_dir)
+    return ints(basins.flow_accumulation(cells, d8, grid))
