@@ -15,6 +15,7 @@ Both halves are encoded recursively. Decoding maps leaves of ids to bytes and co
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from functools import lru_cache
 
@@ -26,8 +27,9 @@ from rillwork.llm._shared import map_batches, read_table, with_default_columns
 
 #: Characters after a match that can decide about it: contractions look two ahead, white space one.
 LOOKAHEAD = 3
-#: Matches kept in a task's memory, and their longest length; parts of matches likewise, in bytes.
-MEMO, MEMO_CHARS, PART_BYTES = 800_000, 64, 8
+#: Matches kept in a task's memory, and their longest length; parts of matches likewise, in bytes. With these
+#: and the pairs and seams below a worker holds about 100 MB at most, whatever the texts.
+MEMO, MEMO_CHARS, PART_BYTES, PAIRS, SEAMS = 300_000, 64, 8, 1 << 17, 1 << 17
 
 
 class TreeBPE:
@@ -38,8 +40,8 @@ class TreeBPE:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.memo: dict[str, bytes] = {}
         self.parts: dict[bytes, list[int]] = {}
-        self.stable = lru_cache(1 << 19)(self._stable)
-        self.seam = lru_cache(1 << 18)(self._scan)
+        self.stable = lru_cache(PAIRS)(self._stable)
+        self.seam = lru_cache(SEAMS)(self._scan)
 
     # --- one match -------------------------------------------------------------------------
 
@@ -188,13 +190,27 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, leaf: int = 1 <<
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encode_documents``, in Spark's own functions."""
-    from pyspark.sql import functions as F
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what ``encode_documents`` gives, digested where it is made.
 
-    coded = encode_documents(docs, path, pattern)
-    return coded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    A text's ids and decoded bytes are dropped before the next text is encoded.
+    """
+
+    def make():
+        coder = TreeBPE(read_ranks(path), pattern)
+
+        def step(c: dict) -> dict:
+            out: dict = {"doc_id": c["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for text in c["text"].to_pylist():
+                ids = coder.encode(text or "")
+                out["n_tokens"].append(len(ids) // 4)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(coder.decode(np.frombuffer(ids, "<u4"))).hexdigest())
+            return out
+
+        return step
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_batches(with_default_columns(docs, doc_id="bigint", text="string"), make, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
     words = WORD.findall(data.lower())  # bytes.lower changes A-Z only
     if not words:
         return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    joined = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
     else:
@@ -38,11 +38,16 @@ def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
         starts = ends - size + 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 if there are none."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 15):
-        bits = np.unpackbits(np.array(hashes[i : i + (1 << 15)], dtype=">u8").view(np.uint8)).reshape(-1, 64)
+    for i in range(0, len(hashes), 1 << 15):
+        bits = np.unpackbits(hashes[i : i + (1 << 15)].astype(">u8").view(np.uint8)).reshape(-1, 64)
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -141,20 +146,34 @@ def near_links(classes: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fingerprint, component_id, n_links).
+    """docs(doc_id, text) -> (doc_id, fingerprint, component_id).
 
     A null text counts as one without words: fingerprint zero, linked like any other. component_id
-    is the smallest doc_id reachable; rows without a doc_id get their fingerprint's component, null
-    if no row of it has a doc_id. Equal fingerprints form one class, so copies are never paired.
+    is the smallest doc_id reachable; rows without a doc_id link like any others and get their component's
+    id, null if no row of it has one. Equal fingerprints form one class, so copies are never paired;
+    repeated rows stay rows. An empty table gives no rows; other columns are ignored, whatever their names.
+    doc_id is cast to a long.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
-    components = connected_components(near_links(classes.where("rep is not null"), distance))
-    named = materialize(
-        classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named-classes"
-    )
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.col("fp"))
+    classes = materialize(classes, "fingerprint-classes")
+    components = connected_components(near_links(classes.select("fp", "rep"), distance)).withColumnRenamed("node", "rep")
+    grouped = classes.join(components, "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("component"))
+    grouped = materialize(grouped, "named-classes")
+    named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def least_of_similar(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs(doc_id, row: long, text) -> (doc_id, row): the least row of each component of similar texts.
+
+    Texts are linked where the Jaccard similarity of their shingle sets is ``percent`` / 100 or more. Fingerprints
+    within the anchors' reach are candidates, completed as ``rillwork.llm.jaccard`` says; each is compared exactly.
+    """
+    from rillwork.llm import jaccard
+
+    return jaccard.first_of_components(docs, shingle, percent)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

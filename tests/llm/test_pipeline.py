@@ -1,8 +1,14 @@
 """Each stage, on its own input, against a brute-force version of its decisions."""
 
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers as P
+import tiktoken
+
 import corpus_pipeline
-from rillwork.llm import quality
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from rillwork.llm import bpe, quality
+from tests.llm.test_jaccard import plain_kept
 from tests.llm.test_substrings import plain
 
 SF = "/root/testdata/sf0.001"
@@ -19,8 +25,8 @@ def test_stages(spark):
 
     rows = docs.collect()
     once = stages["near_dedup"](spark, docs, SF)
-    roots = plain_components([r.doc_id for r in rows], [plain_fingerprint(r.text) for r in rows])
-    assert once.columns == docs.columns and sorted(r.doc_id for r in once.collect()) == sorted(set(roots.values()))
+    assert once.columns == docs.columns
+    assert sorted(r.doc_id for r in once.collect()) == sorted(min(d for d, _ in g) for g in plain_kept([(r.doc_id, r.text) for r in rows]))
 
     clean = stages["substring_dedup"](spark, docs, SF)
     words = {r.doc_id: len((r.text or "").split()) for r in clean.collect()}
@@ -29,7 +35,13 @@ def test_stages(spark):
 
     mixed = stages["mixing"](spark, docs, SF)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == {r.doc_id for r in rows}
-    assert stages["bpe"](spark, docs, SF).count() == len(rows)
+
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    expected = []
+    for r in rows:
+        ids = theirs.encode_ordinary(r.text or "")
+        expected.append((r.doc_id, len(ids), sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, stages["bpe"](spark, docs, SF).collect())) == sorted(expected)
 
 
 def test_edge_rows(spark):

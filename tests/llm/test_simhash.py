@@ -18,20 +18,23 @@ def plain_fingerprint(text):
 
 
 def plain_components(ids, prints, distance=3):
-    parent = {i: i for i in ids if i is not None}
+    """The least id that each id reaches; rows without an id link others too."""
+    parent = list(range(len(ids)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    known = [(i, p) for i, p in zip(ids, prints) if i is not None]
-    for k, (i, p) in enumerate(known):
-        for j, q in known[:k]:
+    for i, p in enumerate(prints):
+        for j, q in enumerate(prints[:i]):
             if (p ^ q).bit_count() <= distance:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return {i: root(i) for i in parent}
+                parent[root(i)] = root(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return {d: least[root(i)] for i, d in enumerate(ids) if d is not None}
 
 
 @settings(max_examples=60, deadline=None)
@@ -87,3 +90,11 @@ def test_chain_is_one_component(spark):
     links = spark.range(1, 400).selectExpr("id as a", "id - 1 as b")
     got = connected_components(links).collect()
     assert len(got) == 400 and {r.component for r in got} == {0}
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    prints = [(1, 0), (None, 7), (3, 63), (None, 0xFFFF << 40)]
+    rows = spark.createDataFrame(prints, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: rows)
+    got = sorted(((r.fingerprint, r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
+    assert got == [(f"{fp:016x}", d, c) for (d, fp), c in zip(prints, (1, 1, 1, None), strict=True)]
