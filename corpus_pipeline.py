@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import bpe, jaccard, mixing, quality, substrings
+from rillwork.llm import bpe, mixing, quality, simhash, substrings
 from rillwork.llm._shared import materialize, read_table
 
 #: Documents with a lower calibrated probability of good quality go: the cut of op1's own ``predicted``.
@@ -26,7 +26,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = docs.withColumn("__row", F.xxhash64(F.col("text").cast("string")))
     ids = rows.select("doc_id", F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
-    kept = rows.join(materialize(jaccard.first_of_components(ids).withColumnRenamed("row", "__row"), "kept-rows"), ["doc_id", "__row"], "left_semi")
+    kept = rows.join(materialize(simhash.least_of_similar(ids).withColumnRenamed("row", "__row"), "kept-rows"), ["doc_id", "__row"], "left_semi")
     again = materialize(rows.where("doc_id is not null").groupBy("doc_id", "__row").count().where("count > 1").select("doc_id", "__row"), "repeated-rows")
     once = kept.join(again, ["doc_id", "__row"], "left_anti")
     repeated = kept.join(again, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
@@ -40,7 +40,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents by their rates, so that expected tokens by language meet the targets; none is dropped."""
-    mixed = mixing.mix(docs, docs.select("text", F.col("lang").alias("domain")), mixing.TARGETS, min_rate=1.0, keys=("doc_id",))
+    labelled = mixing.labelled_part(docs, read_table(spark, sf_dir, "labels"), "lang")
+    mixed = mixing.mix(docs, labelled, mixing.TARGETS, min_rate=1.0, keys=("doc_id",))
     copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     with_copies = docs.join(materialize(copies, "copies"), "doc_id", "left")
     return with_copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1))))).select(*docs.columns)
