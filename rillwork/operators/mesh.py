@@ -14,6 +14,18 @@ def edges(triangles: DataFrame) -> DataFrame:
     return triangles.select(F.explode(sides).alias("e")).groupBy("e.u", "e.v").agg(F.count("*").alias("n"))
 
 
+def problems(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(tid, problem): triangles with a vertex that is null ("null"), not there ("missing") or named twice ("repeated"), a row for each."""
+    lacking = [c for c in ("vid", "x", "y") if c not in vertices.columns] + [c for c in ("tid", "a", "b", "c") if c not in triangles.columns]
+    if lacking:
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
+    corners = triangles.select("tid", F.explode(F.array("a", "b", "c")).alias("vid"))
+    absent = corners.where("vid is not null").join(vertices.select("vid"), "vid", "left_anti").select("tid", F.lit("missing").alias("problem"))
+    null = corners.where("vid is null").select("tid", F.lit("null").alias("problem"))
+    twice = triangles.where("a = b or b = c or a = c").select("tid", F.lit("repeated").alias("problem"))
+    return absent.unionByName(null).unionByName(twice).distinct()
+
+
 def boundary_vertices(triangles: DataFrame) -> DataFrame:
     """(vid) of the vertices on edges that only one triangle has."""
     return edges(triangles).where("n = 1").select(F.explode(F.array("u", "v")).alias("vid")).distinct()

@@ -83,20 +83,33 @@ def accumulate_edges(cells: DataFrame, edges: DataFrame, grid: GridMeta, weight:
     return passed_down(cells.select("r", "c", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")), edges, grid)
 
 
-def snap_pour_points(pour_points: DataFrame, acc: DataFrame, grid: GridMeta, radius: int, streams: DataFrame | None = None) -> DataFrame:
+def snap_pour_points(
+    pour_points: DataFrame, acc: DataFrame, grid: GridMeta, radius: int | None = None, streams: DataFrame | None = None, radius_m: float | None = None, min_acc: float | None = None, report: bool = False
+) -> DataFrame:
     """pour_points(id, r, c) -> (id, r, c, acc): the cell of most accumulation within ``radius``, or with ``streams`` the nearest stream cell; the first in row order on ties.
 
-    Points without a cell to snap to stay where they are, with null acc.
+    The window is square, ``radius`` cells or ``radius_m`` units of the map to each side. Cells below ``min_acc`` are passed over.
+    Points without a cell to snap to stay where they are, with null acc. ``report`` adds from_r, from_c and moved:
+    the distance in units of the map, null for points that stay.
     """
+    if (radius is None) == (radius_m is None):
+        raise ValueError("one of radius and radius_m is given")
+    if radius is None:
+        radius = max(0, round(radius_m / abs(grid.dx)))
     steps = F.sequence(F.lit(-radius), F.lit(radius))
     near = pour_points.select("id", F.col("r").alias("pr"), F.col("c").alias("pc"), F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
     near = near.select("id", (F.col("pr") + F.col("i")).alias("r"), (F.col("pc") + F.col("j")).alias("c"), (F.col("i") * F.col("i") + F.col("j") * F.col("j")).alias("far"))
-    seen = near.join(acc, ["r", "c"])
+    seen = near.join(acc if min_acc is None else acc.where(F.col("acc") >= min_acc), ["r", "c"])
     if streams is not None:
         seen = seen.join(streams.where("stream").select("r", "c"), ["r", "c"], "left_semi")
     rank = F.struct((F.col("far").cast("double") if streams is not None else -F.col("acc")).alias("first"), "r", "c", "acc")
     best = seen.where("acc is not null").groupBy("id").agg(F.min(rank).alias("b"))
-    return pour_points.join(best, "id", "left").select("id", F.coalesce("b.r", "r").alias("r"), F.coalesce("b.c", "c").alias("c"), F.col("b.acc").alias("acc"))
+    found = pour_points.select("id", F.col("r").alias("from_r"), F.col("c").alias("from_c")).join(best, "id", "left")
+    found = found.select("id", F.coalesce("b.r", "from_r").alias("r"), F.coalesce("b.c", "from_c").alias("c"), F.col("b.acc").alias("acc"), "from_r", "from_c")
+    if not report:
+        return found.drop("from_r", "from_c")
+    gone = F.hypot((F.col("r") - F.col("from_r")) * abs(grid.dy), (F.col("c") - F.col("from_c")) * abs(grid.dx))
+    return found.withColumn("moved", F.when(gone > 0, gone))
 
 
 def receiver(grid: GridMeta, direction: str = "dir") -> Column:
@@ -120,8 +133,25 @@ def upslope_length(directions: DataFrame, grid: GridMeta) -> DataFrame:
     return upstream_lengths(directions.select("r", "c", "dir"), grid)
 
 
-def streams(acc: DataFrame, threshold: float) -> DataFrame:
-    return acc.select("r", "c", F.coalesce(F.col("acc") >= threshold, F.lit(False)).alias("stream"))
+def streams(
+    acc: DataFrame, threshold: float, grid: GridMeta | None = None, units: str = "cells", slope: DataFrame | None = None, exponent: float | None = None, envelope: DataFrame | None = None
+) -> DataFrame:
+    """(r, c, stream): cells whose accumulation reaches the threshold, in cells or, by the grid's cells, in m2 or km2.
+
+    With ``slope``(r, c, slope: rise over run) and ``exponent`` the threshold holds for accumulation times slope to the
+    exponent, falling slopes counting as 0. Cells outside ``envelope``(r, c), or in it with a null ``z``, are no streams.
+    """
+    if units not in ("cells", "m2", "km2") or (slope is None) != (exponent is None) or units != "cells" and not grid:
+        raise ValueError("units is cells, m2 or km2, the last two with a grid; slope and exponent come together")
+    least = threshold if units == "cells" else threshold * (1e6 if units == "km2" else 1.0) / abs(grid.dx * grid.dy)
+    support, inside = F.col("acc"), F.lit(True)
+    if slope is not None:
+        acc = acc.join(slope.select("r", "c", F.col("slope").alias("__slope")), ["r", "c"], "left")
+        support = support * F.pow(F.greatest(F.col("__slope"), F.lit(0.0)), F.lit(float(exponent)))
+    if envelope is not None:
+        within = (envelope.where("z is not null") if "z" in envelope.columns else envelope).select("r", "c", F.lit(True).alias("__inside"))
+        acc, inside = acc.join(within, ["r", "c"], "left"), F.col("__inside").isNotNull()
+    return acc.select("r", "c", (F.coalesce(support >= least, F.lit(False)) & inside).alias("stream"))
 
 
 def numbered(cells: DataFrame, name: str) -> DataFrame:
@@ -218,3 +248,11 @@ def upscale_cotat(directions: DataFrame, acc: DataFrame, grid: GridMeta, factor:
     """(r, c, dir) of whole blocks: the side by which the path of the block's cell of most accumulation leaves it, the first cell in row order on ties."""
     top = _exits(directions, acc, grid, factor).groupBy("block").agg(F.max(F.struct("acc", (-F.col("node")).alias("node"), "exit")).alias("b"))
     return _coarse(top, F.col("b.exit"))
+
+
+def coarse_elevation(cells: DataFrame, acc: DataFrame, grid: GridMeta, factor: int) -> DataFrame:
+    """(r, c, z) of whole blocks: the elevation of the cell that ``upscale_cotat`` takes as the block's outlet."""
+    block = [F.floor(F.col(x) / factor).cast("int").alias(f"b{x}") for x in "rc"]
+    whole = cells.join(acc, ["r", "c"]).where((F.col("r") < grid.rows // factor * factor) & (F.col("c") < grid.cols // factor * factor))
+    top = whole.groupBy(*block).agg(F.max(F.struct("acc", (-grid.node(F.col("r"), F.col("c"))).alias("node"), "z")).alias("b"))
+    return top.select(F.col("br").alias("r"), F.col("bc").alias("c"), F.when(~F.isnan("b.z"), F.col("b.z")).alias("z"))

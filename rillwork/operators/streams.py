@@ -70,6 +70,14 @@ def horton(nodes: DataFrame) -> DataFrame:
     return stem_roots(stems(nodes)).join(low, "root").select("node", "horton")
 
 
+def order(nodes: DataFrame, method: str = "strahler") -> DataFrame:
+    """The stream order by name: strahler, shreve, horton or hack."""
+    methods = {"strahler": strahler, "shreve": shreve, "horton": horton, "hack": hack}
+    if method not in methods:
+        raise ValueError(f"method is one of {[*methods]}")
+    return methods[method](nodes)
+
+
 def main_stem(nodes: DataFrame) -> DataFrame:
     """(node) of the stem from the outlet with the longest way from above, the lower node on ties."""
     stemmed = stems(nodes)

@@ -67,32 +67,59 @@ def ruggedness(cells: DataFrame, grid: GridMeta, window: int = 3) -> DataFrame:
     return tile_map(wrapped, grid, kernel, "r int, c int, ruggedness double", halo=h)
 
 
-def _gradient(cells: DataFrame, grid: GridMeta) -> DataFrame:
-    """Horn's gradient with replicated edges: gx to the east, gy to the south, per unit of length."""
-    w = window3(cells)
-    n = {k: clamped(grid, k) for k in range(8)}
-    gx = ((n[5] + 2 * n[6] + n[7]) - (n[3] + 2 * n[2] + n[1])) / (8 * abs(grid.dx))
-    gy = ((n[1] + 2 * n[0] + n[7]) - (n[3] + 2 * n[4] + n[5])) / (8 * abs(grid.dy))
-    return w.select("r", "c", "z", gx.alias("gx"), gy.alias("gy"))
-
-
-def horn_slope(cells: DataFrame, grid: GridMeta, percent: bool = False) -> DataFrame:
+def _gradient(cells: DataFrame, grid: GridMeta, method: str = "horn", scale: float = 1.0) -> DataFrame:
+    """The gradient with replicated edges: gx to the east, gy to the south, per unit of length times ``scale``.
+
+    Horn's weights all eight neighbours, Zevenbergen and Thorne's takes the four beside the cell.
+    """
+    if method not in ("horn", "zevenbergen_thorne"):
+        raise ValueError("method is horn or zevenbergen_thorne")
+    n, dx, dy = {k: clamped(grid, k) for k in range(8)}, abs(grid.dx) * scale, abs(grid.dy) * scale
+    if method == "horn":
+        gx = ((n[5] + 2 * n[6] + n[7]) - (n[3] + 2 * n[2] + n[1])) / (8 * dx)
+        gy = ((n[1] + 2 * n[0] + n[7]) - (n[3] + 2 * n[4] + n[5])) / (8 * dy)
+    else:
+        gx, gy = (n[6] - n[2]) / (2 * dx), (n[0] - n[4]) / (2 * dy)
+    return window3(cells).select("r", "c", "z", gx.alias("gx"), gy.alias("gy"))
+
+
+def horn_slope(cells: DataFrame, grid: GridMeta, percent: bool = False, method: str = "horn", scale: float = 1.0) -> DataFrame:
+    """(r, c, slope): degrees or percent of the steepest rise."""
     rise = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    return _gradient(cells, grid).select("r", "c", (rise * 100 if percent else F.degrees(F.atan(rise))).alias("slope"))
+    return _gradient(cells, grid, method, scale).select("r", "c", (rise * 100 if percent else F.degrees(F.atan(rise))).alias("slope"))
 
 
-def aspect(cells: DataFrame, grid: GridMeta) -> DataFrame:
-    """Degrees clockwise from north that the slope faces; flat cells null."""
+def aspect(cells: DataFrame, grid: GridMeta, method: str = "horn", zero_flat: bool = False) -> DataFrame:
+    """Degrees clockwise from north that the slope faces; flat cells null, or 0 with ``zero_flat``."""
     faced = F.degrees(F.atan2(-F.col("gx"), F.col("gy")))
-    return _gradient(cells, grid).select("r", "c", F.when((F.col("gx") != 0) | (F.col("gy") != 0), F.pmod(faced, F.lit(360.0))).alias("aspect"))
+    flat = F.lit(0.0 if zero_flat else None).cast("double")
+    return _gradient(cells, grid, method).select("r", "c", F.when((F.col("gx") != 0) | (F.col("gy") != 0), F.pmod(faced, F.lit(360.0))).otherwise(flat).alias("aspect"))
 
 
-def hillshade(cells: DataFrame, grid: GridMeta, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    """1 + 254 cos(incidence), at least 0."""
+def _shade(azimuth: float, altitude: float, exaggeration: float = 1.0, scale: float = 1.0) -> Column:
+    """1 + 254 cos(incidence), at least 0, of a row with gx and gy."""
     a, h = math.radians(azimuth), math.radians(altitude)
     east, north, up = math.sin(a) * math.cos(h), math.cos(a) * math.cos(h), math.sin(h)
-    light = (-F.col("gx") * east + F.col("gy") * north + up) / F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    return _gradient(cells, grid).select("r", "c", F.greatest(F.lit(0.0), 1 + 254 * light).alias("shade"))
+    gx, gy = F.col("gx") * (exaggeration / scale), F.col("gy") * (exaggeration / scale)
+    return F.greatest(F.lit(0.0), 1 + 254 * (-gx * east + gy * north + up) / F.sqrt(1 + gx * gx + gy * gy))
+
+
+def hillshade(cells: DataFrame, grid: GridMeta, azimuth: float = 315.0, altitude: float = 45.0, exaggeration: float = 1.0, scale: float = 1.0) -> DataFrame:
+    """1 + 254 cos(incidence), at least 0."""
+    return _gradient(cells, grid).select("r", "c", _shade(azimuth, altitude, exaggeration, scale).alias("shade"))
+
+
+def hillshade_of_lights(cells: DataFrame, grid: GridMeta, lights: list[tuple[float, ...]], weights: list[float] | None = None) -> DataFrame:
+    """(r, c, shade): the weighted mean of the shades of lights (azimuth, altitude, exaggeration = 1, scale = 1), in whole bytes.
+
+    Each light's shade is rounded to a byte first; the mean's fraction goes. All lights see one gather of neighbours.
+    """
+    weights = weights or [1.0] * len(lights)
+    if not lights or len(weights) != len(lights) or sum(weights) == 0:
+        raise ValueError("each light takes one weight, and their sum is not 0")
+    mean = sum((F.floor(_shade(*light) + 0.5) * (w / sum(weights)) for light, w in zip(lights, weights, strict=True)), F.lit(0.0))
+    # shares such as thirds add up to a little less than one: a mean that is whole stays so
+    return _gradient(cells, grid).select("r", "c", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(mean + 1e-9))).cast("int").alias("shade"))
 
 
 def curvature_terms(cells: DataFrame, grid: GridMeta) -> DataFrame:
@@ -164,11 +191,14 @@ def sky_view_factor(cells: DataFrame, grid: GridMeta, radius: int = 10) -> DataF
     return horizons(cells, grid, radius).select("r", "c", (1 - sum((F.sin(f"h{k}") for k in range(1, 8)), F.sin("h0")) / 8).alias("svf"))
 
 
-def color_relief(cells: DataFrame, palette: list[tuple[float, int, int, int]]) -> DataFrame:
-    """(r, c, red, green, blue): colours between the palette's stops, which are few, by linear interpolation; beyond them the end stops'."""
+def color_relief(cells: DataFrame, palette: list[tuple[float, ...]]) -> DataFrame:
+    """(r, c, red, green, blue), and alpha where stops have it: colours between the palette's stops, which are few, by linear interpolation; beyond them the end stops'."""
     stops = sorted(palette)
+    bands = len(stops[0]) - 1
+    if bands not in (3, 4) or any(len(s) != bands + 1 for s in stops):
+        raise ValueError("all stops are (value, red, green, blue) or all (value, red, green, blue, alpha)")
     out = []
-    for i, name in enumerate(("red", "green", "blue"), 1):
+    for i, name in enumerate(("red", "green", "blue", "alpha")[:bands], 1):
         v = F.lit(float(stops[-1][i]))
         for a, b in reversed([*zip(stops, stops[1:], strict=False)]):
             v = F.when(F.col("z") < b[0], a[i] + (F.col("z") - a[0]) / (b[0] - a[0]) * (b[i] - a[i])).otherwise(v)

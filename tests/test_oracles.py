@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rillwork.shape_queries import QUERIES, SQL
+from rillwork.option_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, con, name):
     mine = QUERIES[name](spark, SF).toPandas()
     theirs = con.execute(SQL[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
-    keys = [c for c in ("r", "c", "id", "basin_id", "classification", "n", "vid", "tid", "link_id", "row_off", "col_off", "inside") if c in mine.columns]
+    keys = [c for c in ("r", "c", "id", "basin_id", "classification", "n", "vid", "tid", "link_id", "row_off", "col_off", "inside", "problem") if c in mine.columns]
     mine, theirs = (x.sort_values(keys).reset_index(drop=True)[sorted(mine.columns)] for x in (mine, theirs))
     assert len(mine) == len(theirs)
     for c in mine.columns:
