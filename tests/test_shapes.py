@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwork.grid import GridMeta
-from rillwork.operators import conditioning, interpolate, vectors
+from rillwork.operators import conditioning, interpolate, streams, vectors
 from rillwork.sources import las, tiles
 
 
@@ -90,3 +90,11 @@ def test_polygon_outside_of_the_grid_covers_nothing(spark):
     polygons = spark.createDataFrame([(1, [[(50.0, -50.0), (60.0, -50.0), (55.0, -60.0)]])], "id int, rings array<array<struct<x:double,y:double>>>")
     assert vectors.polygon_cells(polygons, GridMeta(10, 10)).count() == 0
     assert vectors.hydroflatten(cells_of(spark, np.ones((10, 10))), polygons, GridMeta(10, 10)).where(F.col("z") != 1).count() == 0
+
+
+def test_order_by_name(spark):
+    nodes = spark.createDataFrame([(0, 0, 0, 7, 4), (2, 0, 2, 1, 4), (4, 1, 1, None, None)], "node bigint, r int, c int, dir int, ptr bigint")
+    for method in ("shreve", "strahler"):
+        assert {row[-1] for row in streams.order(nodes, method).where("node = 4").collect()} == {2}
+    with pytest.raises(ValueError):
+        streams.order(nodes, "topological")
