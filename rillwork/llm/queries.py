@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import bpe, capfilters, chat, flac, mixing, quality, sharding, simhash, substrings, tokenfiles
+from rillwork.llm import bpe, capfilters, chat, flac, merkle, mixing, quality, sharding, simhash, spelling, substrings, tokenfiles, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,9 @@ QUERIES = {
     "op8_flac": flac.op8_flac,
     "op9_capfilters": capfilters.op9_capfilters,
     "op10_substrings": substrings.op10_substrings,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_spelling": spelling.op13_spelling,
     "pipeline": pipeline,
 }
 
