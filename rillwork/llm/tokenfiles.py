@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +34,10 @@ from rillwork.llm._shared import map_batches, materialize, pa_schema, read_table
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 1 << 16
 #: A block ends after so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
-#: Encodings of space-free strings that a worker keeps.
-MEMO = 700_000
+#: Encodings of space-free strings that a worker keeps, and the characters of these strings.
+MEMO, MEMO_LETTERS = 700_000, 1 << 26
+#: An encoding's place in the pool is kept with its size in the lower bits (a string of 2**31 ids would be over 2 GB of text).
+SIZE_BITS = 31
 BLOCKS = "shard int, block int, first_id bigint, last_id bigint, dict_hash string, width int, doc_ids array<bigint>, starts array<bigint>, sizes array<bigint>, offsets array<int>, payload binary"
 
 
@@ -48,6 +51,7 @@ class WordMemo:
     is mostly words. New words of letters go through the library together, joined by spaces, normalized by it
     (ASCII: lower-cased) and then by its model alone: each is one piece, and an id with the end-of-word suffix closes
     a piece. If the pieces do not add up, and for strings that are no words, the whole tokenizer is used.
+    Texts that hold the content of an added token (in any case) are split at spaces alone, so that the library sees such marks whole.
     """
 
     CUT = "([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([,.!*&$#%|])"
@@ -61,16 +65,18 @@ class WordMemo:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, int] = {}  # place in the pool << 24 | ids
-        self.pool, self.used = np.empty(1 << 16, "<u4"), 0
+        self.marks = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, int] = {}  # place in the pool << SIZE_BITS | ids
+        self.pool, self.used, self.letters = np.empty(1 << 16, "<u4"), 0, 0
 
     def keep(self, strings: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(len(self.pool) + len(ids), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
         starts = np.append(0, ends[:-1])
-        self.known.update(zip(strings, ((self.used + starts) << 24 | (ends - starts)).tolist(), strict=True))
+        self.known.update(zip(strings, ((self.used + starts) << SIZE_BITS | (ends - starts)).tolist(), strict=True))
         self.used += len(ids)
+        self.letters += sum(map(len, strings))
 
     def learn(self, new: list[str]) -> None:
         plain, accented, alone = [], [], []
@@ -103,16 +109,20 @@ class WordMemo:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's end."""
         spaced = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
-        parts = pc.split_pattern(pc.replace_substring_regex(spaced, self.CUT, r"\1 \2"), " ")
+        cut = pc.replace_substring_regex(spaced, self.CUT, r"\1 \2")
+        if self.marks:
+            marked = pc.match_substring_regex(spaced, self.marks, ignore_case=True)
+            cut = pc.if_else(marked, spaced, cut) if pc.any(marked).as_py() else cut
+        parts = pc.split_pattern(cut, " ")
         strings = parts.flatten().dictionary_encode()
         unique = strings.dictionary.to_pylist()
         new = [w for w in unique if w not in self.known]
-        if len(self.known) + len(new) > MEMO and self.known:
+        if self.known and (len(self.known) + len(new) > MEMO or self.letters + sum(map(len, new)) > MEMO_LETTERS):
             self.known.clear()
-            self.used, new = 0, unique
+            self.used, self.letters, new = 0, 0, unique
         self.learn(new)
         code = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[np.asarray(strings.indices)]
-        start, size = code >> 24, code & 0xFFFFFF
+        start, size = code >> SIZE_BITS, code & (1 << SIZE_BITS) - 1
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(start - (ends - size), size) + np.arange(total)]
@@ -127,7 +137,10 @@ def word_memo(path: str) -> WordMemo:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, crc, z): ids with ``end_id`` appended, compressed; a null text is empty."""
+    """docs(doc_id, text) -> (doc_id, crc, z): ids with ``end_id`` appended, compressed.
+
+    A null text is empty; repeated rows stay; an empty table gives none; other columns are ignored.
+    """
 
     dtype = f"<u{id_width(path)}"
 

@@ -23,6 +23,32 @@ def test_memo_equals_the_library_on_whole_texts(text):
     assert ids.tolist() == expected * 2 and ends.tolist() == [len(expected), len(expected), 2 * len(expected)]
 
 
+MARKS = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "a", "Z", "1", " ", "\n", "\t", ".", "|", "<", "é", "e\u0301"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(MARKS, max_size=12), st.lists(MARKS, max_size=12))
+def test_marks_inside_beside_and_between_words(one, other):
+    texts = ["".join(one), "plain words.", "".join(other)]
+    ids, ends = MEMO.encode(pa.array(texts))
+    expected = [THEIRS.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [x for e in expected for x in e] and ends.tolist() == np.cumsum([len(e) for e in expected]).tolist()
+
+
+def test_a_mark_is_one_id():
+    ids, _ = MEMO.encode(pa.array(["a<|endoftext|>b<|startoftext|>"]))
+    assert ids.tolist() == [320, 49407, 321, 49406]
+
+
+def test_memo_forgets_long_strings(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "MEMO_LETTERS", 1000)
+    memo = tokenfiles.WordMemo(PATH)
+    for k in range(6):
+        texts = [f"{k}{'!?x' * 300}", "a"]
+        assert memo.encode(pa.array(texts))[0].tolist() == [x for t in texts for x in THEIRS.encode(t, add_special_tokens=False).ids]
+        assert memo.letters < 2000
+
+
 def test_memo_forgets_and_learns_again(monkeypatch):
     monkeypatch.setattr(tokenfiles, "MEMO", 50)
     memo = tokenfiles.WordMemo(PATH)
