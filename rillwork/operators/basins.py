@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import warnings
+from bisect import bisect_left
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -79,11 +81,71 @@ def metrics(statistics: DataFrame, names: list[str]) -> DataFrame:
     return statistics.select(*(c for c in statistics.columns if c in keep))
 
 
+def _simple(ring: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """A closed walk over corners (the first not repeated) as rings that visit no corner twice."""
+    out, held, at = [], [], {}
+    for p in [*ring, ring[0]]:
+        if p in at:
+            begin = at[p]
+            out.append(held[begin:])
+            for q in held[begin:]:
+                del at[q]
+            del held[begin:]
+        at[p] = len(held)
+        held.append(p)
+    return out
+
+
+def _rings(edges: Iterable[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
+    """The rings of directed unit edges (r1, c1, r2, c2) with the cell on their right; none visits a corner twice."""
+    out: dict = {}
+    for r1, c1, r2, c2 in edges:
+        out.setdefault((r1, c1), []).append((r2, c2))
+    rings = []
+    for start in sorted(out):
+        while out[start]:
+            ring, came, at = [start], start, out[start].pop()
+            while at != start or len(ring) == 1:
+                ring.append(at)
+                # at a corner where two rings meet, turn right: the cell's own corner
+                right = (at[0] + at[1] - came[1], at[1] - at[0] + came[0])
+                nxt = right if right in out[at] else out[at][0]
+                out[at].remove(nxt)
+                came, at = at, nxt
+            rings += _simple(ring)
+    return rings
+
+
+def _nested(rings: list[list[tuple[int, int]]]) -> list[list[int]]:
+    """Rings' numbers as polygons: a shell and then its holes.
+
+    Shells run one way and holes the other. Left of a hole's leftmost side lies a cell of the polygon; the next side to the
+    left in its row is its shell's, or that of a hole farther left with the same shell.
+    """
+    area = [sum(r1 * c2 - r2 * c1 for (r1, c1), (r2, c2) in zip(ring, [*ring[1:], ring[0]], strict=True)) for ring in rings]
+    shells = [i for i, a in enumerate(area) if a < 0]
+    polygons, owner = {i: [i] for i in shells}, {i: i for i in shells}
+    sides: dict[int, list[tuple[int, int]]] = {}
+    lefts = {}
+    for i, ring in enumerate(rings):
+        upright = [(c1, min(r1, r2)) for (r1, c1), (r2, c2) in zip(ring, [*ring[1:], ring[0]], strict=True) if c1 == c2]
+        for c, r in upright:
+            sides.setdefault(r, []).append((c, i))
+        lefts[i] = min(upright)
+    for row in sides.values():
+        row.sort()
+    for i in sorted((i for i in range(len(rings)) if i not in owner), key=lambda i: lefts[i]):
+        c, r = lefts[i]
+        owner[i] = owner[sides[r][bisect_left(sides[r], (c, -1)) - 1][1]]
+        polygons[owner[i]].append(i)
+    return list(polygons.values())
+
+
 def to_polygons(labels: DataFrame, grid: GridMeta) -> DataFrame:
-    """(basin_id, wkt): the outline of each basin as rings: outer ones run one way, holes the other.
+    """(basin_id, wkt): the outline of each basin, a POLYGON, or a MULTIPOLYGON where its cells are not joined by sides.
 
-    Cell sides that two cells of a basin share cancel out, and straight runs become one edge, before a basin's edges
-    come together in the row that its outline is. Where cells touch at a corner only, rings are kept apart.
+    Cell sides that two cells of a basin share cancel out before a basin's edges come together in the row that its
+    outline is. Pieces that touch at a corner only are polygons of their own; each hole belongs to its shell.
     """
     side = lambda r1, c1, r2, c2: F.struct(*(x.cast("int").alias(n) for n, x in zip(("r1", "c1", "r2", "c2"), (r1, c1, r2, c2), strict=True)))
     r, c = F.col("r"), F.col("c")
@@ -93,28 +155,16 @@ def to_polygons(labels: DataFrame, grid: GridMeta) -> DataFrame:
     low, high = F.least(*ends), F.greatest(*ends)
     rim = sides.groupBy("basin_id", low.alias("p"), high.alias("q")).agg(F.count("*").alias("n"), F.first("r1").alias("r1"), F.first("c1").alias("c1"), F.first("r2").alias("r2"), F.first("c2").alias("c2")).where("n = 1")
 
+    def text(ring: list[tuple[int, int]]) -> str:
+        """Straight runs become one edge."""
+        bends = [p for a, p, b in zip([ring[-1], *ring], ring, [*ring[1:], ring[0]], strict=False) if (p[0] - a[0], p[1] - a[1]) != (b[0] - p[0], b[1] - p[1])]
+        return "(" + ", ".join(f"{grid.x0 + c * grid.dx} {grid.y0 + r * grid.dy}" for r, c in [*bends, bends[0]]) + ")"
+
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
-        for r1, c1, r2, c2 in zip(pdf.r1, pdf.c1, pdf.r2, pdf.c2, strict=True):
-            out.setdefault((r1, c1), []).append((r2, c2))
-        rings = []
-        for start in sorted(out):
-            while out[start]:
-                ring, at, came = [start], out[start].pop(), None
-                came = start
-                while at != start or len(ring) == 1:
-                    ring.append(at)
-                    ahead = (at[0] - came[0], at[1] - came[1])
-                    # at a corner where two rings meet, turn right: the cell's own corner
-                    options = out[at]
-                    right = (at[0] + ahead[1], at[1] - ahead[0])
-                    nxt = right if right in options else options[0]
-                    options.remove(nxt)
-                    came, at = at, nxt
-                ring = [p for a, p, b in zip([ring[-1], *ring], ring, [*ring[1:], ring[0]], strict=False) if (p[0] - a[0], p[1] - a[1]) != (b[0] - p[0], b[1] - p[1])]
-                rings.append([*ring, ring[0]])
-        text = ", ".join("(" + ", ".join(f"{grid.x0 + c * grid.dx} {grid.y0 + r * grid.dy}" for r, c in ring) + ")" for ring in rings)
-        return pd.DataFrame({"basin_id": [pdf.basin_id.iloc[0]], "wkt": [f"POLYGON ({text})"]})
+        rings = _rings(zip(pdf.r1.tolist(), pdf.c1.tolist(), pdf.r2.tolist(), pdf.c2.tolist(), strict=True))
+        polygons = ["(" + ", ".join(text(rings[i]) for i in some) + ")" for some in _nested(rings)]
+        wkt = f"POLYGON {polygons[0]}" if len(polygons) == 1 else f"MULTIPOLYGON ({', '.join(polygons)})"
+        return pd.DataFrame({"basin_id": [pdf.basin_id.iloc[0]], "wkt": [wkt]})
 
     return rim.select("basin_id", "r1", "c1", "r2", "c2").groupBy("basin_id").applyInPandas(trace, "basin_id bigint, wkt string")
 

@@ -91,13 +91,24 @@ def las_crs(path: str) -> str | None:
             record = f.read(54)
             (kind, length) = struct.unpack_from("<HH", record, 18)
             body = f.read(length)
-            if record[2:18].rstrip(b"\\0") == WKT_USER and kind == WKT_RECORD:
-                return body.rstrip(b"\\0").decode()
+            if record[2:18].rstrip(b"\0") == WKT_USER and kind == WKT_RECORD:
+                return body.rstrip(b"\0").decode()
     return None
 
 
-def write_las(points: DataFrame, path: str, scale: float = 0.001) -> None:
-    """points(x, y, z and, if there, intensity, classification, return_number) as LAS 1.4 files of format 6, one a partition."""
+def _crs_record(crs: str | None) -> bytes:
+    """The variable-length record of a coordinate system as text; nothing without one."""
+    if crs is None:
+        return b""
+    body = crs.encode() + b"\0"
+    return struct.pack("<H16sHH32s", 0, WKT_USER, WKT_RECORD, len(body), b"") + body
+
+
+def write_las(points: DataFrame, path: str, scale: float = 0.001, crs: str | None = None) -> None:
+    """points(x, y, z and, if there, intensity, classification, return_number) as LAS 1.4 files of format 6, one a partition.
+
+    ``crs`` is well-known text, which each file's header then names.
+    """
     from pyspark import TaskContext
 
     optional = [c for c in ("intensity", "classification", "return_number") if c in points.columns]
@@ -128,12 +139,14 @@ def write_las(points: DataFrame, path: str, scale: float = 0.001) -> None:
         if count:
             head = bytearray(HEADER_14)
             head[:4], head[24], head[25], head[FORMAT] = b"LASF", 1, 4, 6
-            struct.pack_into("<HII", head, 94, HEADER_14, HEADER_14, 0)
+            named = _crs_record(crs)
+            struct.pack_into("<H", head, 6, 16 if named else 0)
+            struct.pack_into("<HII", head, 94, HEADER_14, HEADER_14 + len(named), 1 if named else 0)
             struct.pack_into("<H", head, RECORD_LENGTH, RECORD_6)
             struct.pack_into("<12d", head, SCALES, scale, scale, scale, *origin, *(v for pair in zip(high, low, strict=True) for v in pair))
             struct.pack_into("<Q15Q", head, COUNT_14, count, *returns[1:].tolist())
             with system.open_output_stream(f"{name}.{attempt}") as f, system.open_input_stream(body) as g:
-                f.write(bytes(head))
+                f.write(bytes(head) + named)
                 while part := g.read(1 << 22):
                     f.write(part)
             system.move(f"{name}.{attempt}", name)

@@ -272,7 +272,8 @@ def test_outlines_cover_their_cells(spark):
     got = {r.basin_id: r.wkt for r in basins.to_polygons(labels, GridMeta(5, 4, dx=2.0, dy=-2.0)).collect()}
     for b in (1, 2, 3, 4):
         area = 0.0
-        for ring in got[b].removeprefix("POLYGON ((").removesuffix("))").split("), ("):
+        for ring in got[b].removeprefix("MULTI").removeprefix("POLYGON ").replace("(", "").rstrip(")").split("), "):
+            ring = ring.replace(")", "")
             p = [tuple(map(float, x.split())) for x in ring.split(", ")]
             assert p[0] == p[-1] and len(set(p)) == len(p) - 1
             area += sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(p, p[1:])) / 2
@@ -281,6 +282,40 @@ def test_outlines_cover_their_cells(spark):
     assert {(r.r, r.c) for r in basins.lowest_basin(labels).where("basin_id is not null").collect()} == {(int(r), int(c)) for r, c in np.argwhere(label == 1)}
 
 
+def polygons_of(wkt):
+    """Each polygon's rings as lists of corners."""
+    text = wkt[len("MULTIPOLYGON (") : -1] if wkt.startswith("MULTI") else wkt[len("POLYGON ") :]
+    whole = text.replace("), (", ");(").replace(")), ((", "));((")
+    return [[[tuple(map(float, p.split())) for p in ring.strip("() ").split(", ")] for ring in poly.split(");(")] for poly in whole.split("));((")]
+
+
+def crossings(ring, x, y):
+    return sum(x1 == x2 and x1 < x and min(y1, y2) < y < max(y1, y2) for (x1, y1), (x2, y2) in zip(ring, ring[1:]))
+
+
+def test_outlines_are_valid_and_hold_their_cells_alone(spark):
+    """Random labels full of holes, split basins and corners that touch; and a hole that holds a basin's own piece."""
+    rng = np.random.default_rng(11)
+    grids = [rng.integers(0, 3, (9, 11)) for _ in range(6)]
+    nest = np.ones((9, 9), int)
+    nest[2:7, 2:7], nest[3:6, 3:6], nest[4, 4] = 0, 1, 0
+    for label in [*grids, nest]:
+        rows = [(int(r), int(c), int(v)) for (r, c), v in np.ndenumerate(label)]
+        for out in basins.to_polygons(spark.createDataFrame(rows, "r int, c int, basin_id long"), GridMeta(*label.shape)).collect():
+            parts = polygons_of(out.wkt)
+            assert out.wkt.startswith("MULTI") == (len(parts) > 1)
+            inside = np.zeros(label.shape, int)
+            for shell, *holes in parts:
+                for ring in (shell, *holes):
+                    assert ring[0] == ring[-1] and len(set(ring)) == len(ring) - 1
+                for (r, c), _ in np.ndenumerate(label):
+                    in_shell = crossings(shell, c + 0.5, -r - 0.5) % 2
+                    in_holes = [crossings(h, c + 0.5, -r - 0.5) % 2 for h in holes]
+                    assert sum(in_holes) <= in_shell
+                    inside[r, c] += in_shell - sum(in_holes)
+            assert (inside == (label == out.basin_id)).all()
+
+
 def test_stored_rasters_keep_their_tags(spark, tmp_path):
     cells, grid = cells_of(spark, np.arange(30.0).reshape(5, 6)).withColumnRenamed("z", "dir"), GridMeta(5, 6, 10.0, 2.0, 20.0, -2.0, 3857)
     path = str(tmp_path / "fd")
@@ -304,6 +339,11 @@ def test_las_files_come_back(spark, tmp_path, monkeypatch):
     got = las.read_las(spark, str(tmp_path / "out")).collect()
     assert sorted(tuple(round(v, 3) for v in r) for r in got) == sorted(rows)
     assert las.las_crs(str(next((tmp_path / "out").glob("*.las")))) is None
+    crs = 'GEOGCS["WGS 84",AUTHORITY["EPSG","4326"]]'
+    las.write_las(points, str(tmp_path / "named"), 0.001, crs)
+    named = [str(f) for f in (tmp_path / "named").glob("*.las")]
+    assert named and {las.las_crs(f) for f in named} == {crs}
+    assert las.read_las(spark, str(tmp_path / "named")).count() == points.count()
 
 
 def test_exports_are_files(spark, tmp_path):
