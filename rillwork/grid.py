@@ -54,3 +54,10 @@ def line_item_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_points(t: DataFrame) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 1).otherwise(6)
     return t.select(F.col("l_partkey").cast("double").alias("x"), F.col("l_suppkey").cast("double").alias("y"), F.col("l_extendedprice").alias("z"), kind.alias("classification"))
+
+
+def embedding_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GridMeta]:
+    """The same raster as rows(r, values), and its grid."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    top = e.agg(F.max("vec_id"), F.max(F.size("embedding"))).first()
+    return e.select(F.col("vec_id").cast("int").alias("r"), F.col("embedding").alias("values")), GridMeta(int(top[0]) + 1, int(top[1]))

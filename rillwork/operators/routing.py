@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillwork.grid import DC, DR, GridMeta
 from rillwork.operators.terrain import slopes
+from rillwork.plans.arrays import Blocks
 from rillwork.plans.doubling import downstream
 from rillwork.plans.drainage import along_paths, passed_down, upstream_lengths, upstream_totals
 from rillwork.plans.stencil import window3
@@ -126,6 +127,8 @@ def forest(directions: DataFrame, grid: GridMeta, *more: str) -> DataFrame:
 
 def accumulate(directions: DataFrame, grid: GridMeta, weight: str | None = None) -> DataFrame:
     """(r, c, acc): the weights of all cells strictly upstream; each weighs 1 by default."""
+    if isinstance(directions, Blocks):
+        return upstream_totals(directions, grid)
     return upstream_totals(directions.select("r", "c", "dir", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")), grid)
 
 
@@ -134,9 +137,10 @@ def upslope_length(directions: DataFrame, grid: GridMeta) -> DataFrame:
 
 
 def streams(
-    acc: DataFrame, threshold: float, grid: GridMeta | None = None, units: str = "cells", slope: DataFrame | None = None, exponent: float | None = None, envelope: DataFrame | None = None
-) -> DataFrame:
-    """(r, c, stream): cells whose accumulation reaches the threshold, in cells or, by the grid's cells, in m2 or km2.
+    acc: DataFrame, threshold: float, grid: GridMeta | None = None, units: str = "cells", slope: DataFrame | None = None, exponent: float | None = None, envelope: DataFrame | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """(r, c, keep, stream): cells whose accumulation reaches the threshold, in cells or, by the grid's cells, in m2 or km2.
 
     With ``slope``(r, c, slope: rise over run) and ``exponent`` the threshold holds for accumulation times slope to the
     exponent, falling slopes counting as 0. Cells outside ``envelope``(r, c), or in it with a null ``z``, are no streams.
@@ -151,7 +155,7 @@ def streams(
     if envelope is not None:
         within = (envelope.where("z is not null") if "z" in envelope.columns else envelope).select("r", "c", F.lit(True).alias("__inside"))
         acc, inside = acc.join(within, ["r", "c"], "left"), F.col("__inside").isNotNull()
-    return acc.select("r", "c", (F.coalesce(support >= least, F.lit(False)) & inside).alias("stream"))
+    return acc.select("r", "c", *keep, (F.coalesce(support >= least, F.lit(False)) & inside).alias("stream"))
 
 
 def numbered(cells: DataFrame, name: str) -> DataFrame:

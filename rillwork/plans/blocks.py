@@ -96,7 +96,14 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 
 def tile_map(cells: DataFrame, grid: GridMeta, kernel: Callable[[Block], dict], schema: str, tile: int = TILE, halo: int = 0, columns: tuple[str, ...] = ("z",), keys: tuple[str, ...] = ()) -> DataFrame:
-    """cells(keys, r, c, columns) -> rows of ``schema``, made by ``kernel`` from each tile (and value of the keys)."""
+    """cells(keys, r, c, columns) -> rows of ``schema``, made by ``kernel`` from each tile (and value of the keys).
+
+    A raster of arrays (``plans.arrays``) of that one column maps its own tiles.
+    """
+    if not isinstance(cells, DataFrame):
+        if keys or tuple(columns) != (cells.name,):
+            raise ValueError("arrays have one column and no keys")
+        return cells.map(kernel, schema, halo)
     target = arrow_schema(schema)
     sent = in_tiles(cells.select(*keys, "r", "c", *columns), grid, tile, halo)
     return sent.groupBy(*keys, "tr", "tc").applyInArrow(lambda t: as_table(kernel(block_of(t, tile, halo, columns, keys)), target), schema)
@@ -106,6 +113,10 @@ def tile_map_with(
     cells: DataFrame, more: DataFrame, grid: GridMeta, kernel: Callable[[Block, pa.Table], dict], schema: str, tile: int = TILE, halo: int = 0, columns: tuple[str, ...] = ("z",), keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """As ``tile_map``; the kernel also gets the rows of ``more``(keys, tr, tc, ...) that belong to the tile."""
+    if not isinstance(cells, DataFrame):
+        if keys or halo or tuple(columns) != (cells.name,):
+            raise ValueError("arrays have one column, no keys, and here no ring")
+        return cells.map_with(more, kernel, schema)
     target = arrow_schema(schema)
 
     def run(t: pa.Table, m: pa.Table) -> pa.Table:

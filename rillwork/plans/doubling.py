@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillwork.plans.blocks import arrow_schema
 from rillwork.plans.store import settle
 
+#: Forests of no more nodes (counted) are solved by one task, at some 100 bytes a node; larger ones by rounds of joins.
+SMALL = 1 << 20
+
 
 class Cycle(ValueError):
     """The receivers hold a cycle, so some paths have no end."""
@@ -24,6 +30,41 @@ def _turns(state: DataFrame) -> range:
     return range(state.where("ptr is not null").count().bit_length() + 1)
 
 
+def _ordered(node: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """For each node the place of its receiver (-1 without one in the table), and the places from the ends up; None on cycles."""
+    by_node = np.argsort(node, kind="stable")
+    at = np.minimum(np.searchsorted(node, ptr, sorter=by_node), len(node) - 1)
+    to = np.where((ptr >= 0) & (node[by_node[at]] == ptr), by_node[at], -1)
+    depth, far = (to >= 0).astype(np.int64), to.copy()
+    for _ in range(len(node).bit_length() + 1):
+        if (far < 0).all():
+            return to, np.argsort(depth, kind="stable")
+        depth += np.where(far >= 0, depth[far], 0)
+        far = np.where(far >= 0, far[far], -1)
+    return None
+
+
+def _in_one_task(state: DataFrame, solve: Callable[[dict, list, list], dict], schema: str) -> DataFrame:
+    """state(node, ptr, values), small and written: ``solve`` gets the columns as lists, receivers' places and the places from the ends up."""
+    target = arrow_schema(schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        ordered = _ordered(t.column("node").to_numpy(), t.column("ptr").fill_null(-1).to_numpy())
+        if ordered is None:
+            return target.empty_table()
+        out = solve({n: t.column(n).to_pylist() for n in t.column_names}, ordered[0].tolist(), ordered[1].tolist())
+        return pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+
+    out = settle(state.withColumn("__one", F.lit(0)).groupBy("__one").applyInArrow(run, schema), "solved")
+    if out.isEmpty() and not state.isEmpty():
+        raise Cycle("the flow directions hold a cycle")
+    return out
+
+
+def _typed(state: DataFrame, *names: str) -> str:
+    return ", ".join(f"{n} {state.schema[n].dataType.simpleString()}" for n in names)
+
+
 def cycle_nodes(nodes: DataFrame) -> DataFrame:
     """nodes(node, ptr) -> (node) of those on cycles: after so many steps every path without an end is on its cycle."""
     state = settle(nodes.where("ptr is not null").select("node", "ptr"), "paths")
@@ -43,8 +84,24 @@ def _rounds(state: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame])
     raise Cycle("the flow directions hold a cycle")
 
 
-def downstream(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
-    """nodes(node, ptr, values): each value combined with those of the whole path below it, nearest first."""
+def downstream(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Column]], plain: dict[str, Callable] | None = None) -> DataFrame:
+    """nodes(node, ptr, values): each value combined with those of the whole path below it, nearest first.
+
+    ``plain`` does to two Python values, or None, what ``combine`` does to columns; with it small forests take one task.
+    """
+    if plain:
+        nodes = settle(nodes.select("node", "ptr", *combine), "paths")
+        if nodes.count() <= SMALL:
+
+            def solve(columns: dict, to: list, order: list) -> dict:
+                for name, f in plain.items():
+                    v = columns[name]
+                    for i in order:
+                        if to[i] >= 0:
+                            v[i] = f(v[i], v[to[i]])
+                return columns | {"ptr": [None] * len(to)}
+
+            return _in_one_task(nodes, solve, _typed(nodes, "node", "ptr", *combine))
 
     def step(moving: DataFrame, every: DataFrame) -> DataFrame:
         below = every.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), *(F.col(v).alias(f"below_{v}") for v in combine))
@@ -75,14 +132,35 @@ def _upstream(nodes: DataFrame, value: str, more: Column, merge: Callable[[Colum
 
 def upstream_sum(nodes: DataFrame) -> DataFrame:
     """nodes(node, ptr, w) -> (node, w): w summed over a node and all that lies above it."""
+    nodes = settle(nodes.select("node", "ptr", "w"), "paths")
+    if nodes.count() <= SMALL:
+
+        def solve(columns: dict, to: list, order: list) -> dict:
+            w = columns["w"]
+            for i in reversed(order):
+                if to[i] >= 0:
+                    w[to[i]] += w[i]
+            return {"node": columns["node"], "w": w}
+
+        return _in_one_task(nodes, solve, _typed(nodes, "node", "w"))
     merge = lambda mine, more: mine + F.coalesce(more, F.lit(0))
-    return _upstream(nodes.select("node", "ptr", "w"), "w", F.col("w"), merge, F.sum).select("node", "w")
+    return _upstream(nodes, "w", F.col("w"), merge, F.sum).select("node", "w")
 
 
 def upstream_length(nodes: DataFrame) -> DataFrame:
     """nodes(node, ptr, d: length of the step to ptr, and length to start from, or 0) -> (node, length): the longest path from above."""
     start = F.col("length") if "length" in nodes.columns else F.lit(0.0)
-    rows = nodes.select("node", "ptr", start.alias("length"), "d")
+    rows = settle(nodes.select("node", "ptr", start.alias("length"), "d"), "paths")
+    if rows.count() <= SMALL:
+
+        def solve(columns: dict, to: list, order: list) -> dict:
+            length, d = columns["length"], columns["d"]
+            for i in reversed(order):
+                if to[i] >= 0 and d[i] is not None:
+                    length[to[i]] = max(length[to[i]], length[i] + d[i])
+            return {"node": columns["node"], "length": length}
+
+        return _in_one_task(rows, solve, _typed(rows, "node", "length"))
     return _upstream(rows, "length", F.col("d") + F.col("length"), lambda mine, more: F.greatest(mine, more), F.max, ("d",)).select("node", "length")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.grid import DC, DR, GridMeta
+from rillwork.plans.arrays import Blocks
 from rillwork.plans.blocks import TILE, Block, arrow_schema, tile_map, tile_map_with
 from rillwork.plans.doubling import Cycle, cycle_nodes, downstream, upstream_length, upstream_sum
 from rillwork.plans.store import settle
@@ -119,6 +120,8 @@ def without_cycles(operator):
         try:
             return operator(directions, grid, *args, **options)
         except Cycle:
+            if isinstance(directions, Blocks):
+                directions = directions.cells().withColumn("w", F.lit(1.0))
             codes = F.col("dir").cast("int") + 1
             dr, dc = (F.element_at(F.array(*(F.lit(x) for x in s)), codes) for s in (DR, DC))
             there = F.when(F.col("dir").between(0, 7) & grid.inside(F.col("r") + dr, F.col("c") + dc), grid.node(F.col("r") + dr, F.col("c") + dc))
@@ -132,9 +135,15 @@ def without_cycles(operator):
 
 @without_cycles
 def upstream_totals(directions: DataFrame, grid: GridMeta, tile: int = TILE) -> DataFrame:
-    """directions(r, c, dir, w) -> (r, c, acc): the sum of w over all cells strictly upstream."""
-    directions = settle(directions, "directions")
-    columns = ("dir", "w")
+    """directions(r, c, dir, w) -> (r, c, acc): the sum of w over all cells strictly upstream.
+
+    Directions as blocks (named dir; written, since both passes read them) weigh 1 a cell.
+    """
+    packed = isinstance(directions, Blocks)
+    if packed:
+        columns, tile = ("dir",), directions.tile
+    else:
+        columns, directions = ("dir", "w"), settle(directions, "directions")
 
     def summed(tree: Tree, w: np.ndarray) -> np.ndarray:
         total = w.copy()
@@ -143,7 +152,7 @@ def upstream_totals(directions: DataFrame, grid: GridMeta, tile: int = TILE) ->
         return total
 
     def weights(block: Block) -> np.ndarray:
-        return np.nan_to_num(block.own(block.arrays["w"]).ravel())
+        return (block.own(block.have).astype(float) if packed else np.nan_to_num(block.own(block.arrays["w"]))).ravel()
 
     def contract(block: Block) -> dict:
         tree = tree_of(block, grid)
@@ -232,7 +241,8 @@ def along_paths(directions: DataFrame, grid: GridMeta, least: bool = False, tile
     rim = settle(tile_map(directions, grid, contract, f"{RIM}, v double", tile, columns=columns), "tile-exits")
     rim = rim.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     exits = settle(_exits(rim, "v").select("node", "ptr", F.col("entry_v").alias("v")), "exits")
-    beyond = downstream(exits, {"v": both}).where("v is not null").select("node", "v")
+    plain = (lambda mine, below: below if mine is None else mine if below is None else min(mine, below)) if least else (lambda mine, below: below if mine is None else mine)
+    beyond = downstream(exits, {"v": both}, {"v": plain}).where("v is not null").select("node", "v")
     return tile_map_with(directions, _placed(beyond, "node", grid, tile), grid, expand, "r int, c int, v double", tile, columns=columns)
 
 

@@ -7,10 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.grid import DC, DR, GridMeta
+from rillwork.plans.arrays import Blocks, RowArrays, fits_focal, focal_arrays, window3_arrays
 
 
 def window3(cells: DataFrame, value: str = "z") -> DataFrame:
-    """(r, c, z, n0..n7): a cell and its eight neighbours by direction code; off-grid and no-data are null."""
+    """(r, c, z, n0..n7): a cell and its eight neighbours by direction code; off-grid and no-data are null.
+
+    Rasters of arrays take a tile kernel instead of the gather.
+    """
+    if isinstance(cells, RowArrays | Blocks):
+        return window3_arrays(cells, value)
     targets = F.array(*(F.struct((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.lit(k).alias("k")) for k, (dr, dc) in enumerate([*zip(DR, DC, strict=True), (0, 0)])))
     sent = cells.select(F.col(value).alias("v"), F.explode(targets).alias("t")).select("t.r", "t.c", "t.k", "v")
     at = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
@@ -46,10 +52,15 @@ def focal(cells: DataFrame, grid: GridMeta, window: int, edge: str = "reflect")
     """(r, c, z, m, sd): mean and population deviation of the valid cells of a window; ``edge`` reflects or wraps.
 
     Even windows reach one cell further back than ahead. The window's rows and columns are summed
-    one after the other, so a cell is sent 2 * window times, not window squared.
+    one after the other, so a cell is sent 2 * window times, not window squared. Rasters of arrays with reflected edges
+    take running sums in tiles, whose cost does not depend on the window.
     """
+    if isinstance(cells, RowArrays | Blocks):
+        if edge == "reflect" and fits_focal(cells, window):
+            return focal_arrays(cells, window)
+        cells = cells.cells()
     base = cells.select("r", "c", F.col("z").isNotNull().cast("bigint").alias("n"), F.coalesce("z", F.lit(0.0)).alias("s"), F.coalesce(F.col("z") * F.col("z"), F.lit(0.0)).alias("q"))
     down = window_sums(base, grid, window, ["n", "s", "q"], edge)
     m = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
-    out = down.withColumn("m", m).withColumn("sd", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.col("m") * F.col("m"), F.lit(0.0))))
+    out = down.withColumn("m", m).withColumn("sd", F.when(F.col("n") > 0, F.sqrt(F.greatest(F.col("q") / F.col("n") - F.col("m") * F.col("m"), F.lit(0.0)))))
     return cells.select("r", "c", "z").join(out.select("r", "c", "m", "sd"), ["r", "c"])

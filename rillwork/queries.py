@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.grid import GridMeta, as_points, embedding_dem, grid_of, line_item_points
+from rillwork.grid import GridMeta, as_points, embedding_dem, embedding_rows, grid_of, line_item_points
 from rillwork.operators import conditioning, points, routing, streams, terrain, zonal
+from rillwork.plans.arrays import RowArrays, blocks_of_cells, d8_blocks
 from rillwork.plans.store import settle
 from rillwork.streaming import gridding
 
@@ -31,8 +32,13 @@ def query(name: str, sql: str | None = None):
 
 
 def dem(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GridMeta]:
-    cells = embedding_dem(spark, sf_dir)
-    return cells, grid_of(cells)
+    return embedding_dem(spark, sf_dir), embedding_rows(spark, sf_dir)[1]
+
+
+def dem_arrays(spark: SparkSession, sf_dir: str) -> tuple[RowArrays, GridMeta]:
+    """The elevations for operators that work on tiles of arrays."""
+    rows, grid = embedding_rows(spark, sf_dir)
+    return RowArrays(rows, grid), grid
 
 
 def rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -45,7 +51,7 @@ def ints(df: DataFrame) -> DataFrame:
 
 def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, GridMeta]:
     cells, grid = dem(spark, sf_dir)
-    return cells, settle(routing.flow_direction_d8(cells, grid), "directions"), grid
+    return cells, settle(routing.flow_direction_d8(*dem_arrays(spark, sf_dir)), "directions"), grid
 
 
 DEM = """dem as (select vec_id::bigint as r, (i - 1)::bigint as c, embedding[i]::double as z from embeddings, range(1, 65) t(i)),
@@ -79,34 +85,34 @@ def on_streams(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame],
 
 @query("dem_slope", with_(DEM) + " select r, c, round(max(s), 6) as slope from drop8 group by r, c")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.slope(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.slope(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("flow_direction_d8", with_(D8) + " select r, c, dir::bigint as dir from d8")
 def _(spark, sf_dir):
-    return ints(routing.flow_direction_d8(*dem(spark, sf_dir)))
+    return ints(routing.flow_direction_d8(*dem_arrays(spark, sf_dir)))
 
 
 @query("flow_direction_mfd_quinn", with_(DEM) + """, w as (select r, c, k, case when s > 0 then pow(s, 1.1) * (case when k % 2 = 0 then 0.5 else 1 / (2 * sqrt(2)) end) else 0 end as w from drop8)
 select r, c, """ + ", ".join(f"round(coalesce(sum(w) filter (where k = {k}), 0) / nullif(sum(w), 0), 6) as f{k}" for k in range(8)) + " from w group by r, c having sum(w) > 0")
 def _(spark, sf_dir):
-    f = routing.flow_direction_mfd(*dem(spark, sf_dir))
+    f = routing.flow_direction_mfd(*dem_arrays(spark, sf_dir))
     return ints(f.where("aggregate(fractions, 0D, (a, x) -> a + x) > 0").select("r", "c", *(F.round(F.col("fractions")[k], 6).alias(f"f{k}") for k in range(8))))
 
 
 @query("flow_accumulation", with_(D8 + ", " + REACH, True) + " select d8.r, d8.c, coalesce(a.n, 0)::double as acc from d8 left join (select down, count(*) as n from reach group by down) a on a.down = d8.node")
 def _(spark, sf_dir):
-    _, d8, grid = routed(spark, sf_dir)
-    return ints(routing.accumulate(d8, grid))
+    arrays, grid = dem_arrays(spark, sf_dir)
+    return ints(routing.accumulate(d8_blocks(arrays).stored(), grid))
 
 
 @query("full_hydro_pipeline")
 def _(spark, sf_dir):
     cells, grid = dem(spark, sf_dir)
-    filled = conditioning.fill_depressions(cells, grid)
-    d8 = settle(routing.flow_direction_d8(filled, grid), "directions")
-    acc = settle(routing.accumulate(d8, grid), "accumulation")
-    out = filled.join(d8, ["r", "c"]).join(acc, ["r", "c"]).join(routing.streams(acc, 10.0), ["r", "c"])
+    filled = settle(conditioning.fill_depressions(cells, grid), "filled")
+    d8 = d8_blocks(blocks_of_cells(filled, grid)).stored()
+    wet = routing.streams(routing.accumulate(d8, grid), 10.0, keep=("acc",))
+    out = filled.join(d8.cells().withColumn("dir", F.col("dir").cast("int")), ["r", "c"]).join(wet, ["r", "c"])
     return ints(out.select("r", "c", F.round("z", 6).alias("filled"), "dir", "acc", "stream"))
 
 
@@ -128,7 +134,7 @@ def _(spark, sf_dir):
 
 @query("local_minima", with_(DEM) + " select r, c from drop8, size where drop8.r between 1 and size.nr - 2 and drop8.c between 1 and 62 group by r, c, z having z < min(zn)")
 def _(spark, sf_dir):
-    return ints(terrain.local_minima(*dem(spark, sf_dir)))
+    return ints(terrain.local_minima(*dem_arrays(spark, sf_dir)))
 
 
 FOCAL = DEM + """, f as (select a.r, a.c, a.z, b.z as zn from dem a, size s, range(-1, 2) i(i), range(-1, 2) j(j) join dem b on true
@@ -139,17 +145,17 @@ m as (select r, c, z, sum(zn) / 9 as m, sqrt(greatest(sum(zn * zn) / 9 - pow(sum
 
 @query("tpi", with_(FOCAL) + " select r, c, round(z - m, 6) as tpi from m")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.tpi(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.tpi(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("deviation_from_mean", with_(FOCAL) + " select r, c, round((z - m) / (case when sd = 0 then 1 else sd end), 6) as dev from m")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.deviation_from_mean(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.deviation_from_mean(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("elev_std", with_(FOCAL) + " select r, c, round(sd, 6) as elev_std from m")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.elev_std(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.elev_std(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("ruggedness", with_(DEM) + """ select a.r, a.c, round(avg(abs(a.z - b.z)), 6) as ruggedness from dem a, size s, offs join dem b on true
@@ -160,22 +166,22 @@ def _(spark, sf_dir):
 
 @query("terrain_slope", with_(PATCH) + " select r, c, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) as slope from grad")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.horn_slope(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.horn_slope(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("terrain_aspect", with_(PATCH) + " select r, c, round(case when gx <> 0 or gy <> 0 then (degrees(atan2(-gx, gy)) + 360) % 360 end, 6) as aspect from grad")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.aspect(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.aspect(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("terrain_hillshade", with_(PATCH) + """ select r, c, round(greatest(0, 1 + 254 * (-gx * sin(radians(315)) * cos(radians(45)) + gy * cos(radians(315)) * cos(radians(45)) + sin(radians(45))) / sqrt(1 + gx * gx + gy * gy)), 6) as shade from grad""")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.hillshade(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.hillshade(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("curvature_terms", with_(PATCH) + " select r, c, round((n2 + n6) / 2 - z, 6) as d, round((n4 + n0) / 2 - z, 6) as e, round((n5 + n1 - n3 - n7) / 4, 6) as f, round((n6 - n2) / 2, 6) as g, round((n4 - n0) / 2, 6) as h from p")
 def _(spark, sf_dir):
-    return ints(rounded(terrain.curvature_terms(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(terrain.curvature_terms(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 @query("upslope_flowpath_length", with_(D8 + """, walk(node, down, len) as (select node, ptr, case when dir % 2 = 0 then 1.0::double else 1.4142135623730951::double end from d8 where ptr is not null
@@ -361,7 +367,7 @@ steep as (select r, c, s, case when a >= 2 * pi() then a - 2 * pi() else a end a
 
 @query("flow_direction_dinf", with_(DINF) + " select d.r, d.c, round(coalesce(a, -1), 6) as angle, round(coalesce(s, 0), 6) as magnitude from dem d left join steep x on x.r = d.r and x.c = d.c")
 def _(spark, sf_dir):
-    return ints(rounded(routing.flow_direction_dinf(*dem(spark, sf_dir)), "r", "c"))
+    return ints(rounded(routing.flow_direction_dinf(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
 FLOWING = """, edge as ({edges}), lvl(node, m, i) as (select r * 64 + c, 1.0::double, 0 from dem union all select e.dst, sum(m * p), i + 1 from lvl join edge e on e.src = lvl.node group by e.dst, i)
@@ -387,7 +393,7 @@ def _(spark, sf_dir):
 
 @query("flow_direction_rho8")
 def _(spark, sf_dir):
-    return ints(routing.flow_direction_rho8(*dem(spark, sf_dir), seed=7))
+    return ints(routing.flow_direction_rho8(*dem_arrays(spark, sf_dir), seed=7))
 
 
 ST = D8 + ", " + REACH + """, a as (select down, count(*) as n from reach group by down), wet as (select d8.* from d8 join a on a.down = d8.node where a.n >= 3),
