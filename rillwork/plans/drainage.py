@@ -256,7 +256,7 @@ def passed_down(cells: DataFrame, edges: DataFrame, grid: GridMeta, tile: int =
     need = edges.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("need"))
     out = edges.groupBy("node").agg(F.collect_list(F.struct("to", "p")).alias("out"))
     rows = cells.select(grid.node(F.col("r"), F.col("c")).alias("node"), F.col("w").cast("double").alias("w"))
-    rows = rows.join(need, "node", "left").join(out, "node", "left")
+    rows = settle(rows.join(need, "node", "left").join(out, "node", "left"), "cells")  # read again by every round
     # state: 0 waiting, 1 passed on; arrived: inflows so far
     state = _placed(rows, "node", grid, tile).select("tr", "tc", "node", "w", F.coalesce("need", F.lit(0)).cast("int").alias("need"), F.lit(0.0).alias("acc"), F.lit(False).alias("done"), "out")
     schema = "tr int, tc int, node bigint, w double, need int, acc double, done boolean, out array<struct<to:bigint,p:double>>, sent array<struct<to:bigint,v:double,n:int>>"

@@ -54,7 +54,8 @@ def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Grid
     return cells, settle(routing.flow_direction_d8(*dem_arrays(spark, sf_dir)), "directions"), grid
 
 
-DEM = """dem as (select vec_id::bigint as r, (i - 1)::bigint as c, embedding[i]::double as z from embeddings, range(1, 65) t(i)),
+CELLS = "dem as (select vec_id::bigint as r, (i - 1)::bigint as c, embedding[i]::double as z from embeddings, range(1, 65) t(i))"
+DEM = CELLS + """,
 size as (select max(r) + 1 as nr, 64 as nc from dem),
 offs(k, dr, dc) as (values (0, 1, 0), (1, 1, -1), (2, 0, -1), (3, -1, -1), (4, -1, 0), (5, -1, 1), (6, 0, 1), (7, 1, 1)),
 drop8 as (select a.r, a.c, a.z, k, b.r as nr, b.c as nc, b.z as zn, (a.z - b.z) / (case when k % 2 = 0 then 1.0::double else 1.4142135623730951::double end) as s
@@ -106,7 +107,20 @@ def _(spark, sf_dir):
     return ints(routing.accumulate(d8_blocks(arrays).stored(), grid))
 
 
-@query("full_hydro_pipeline")
+#: Directions and streams of the filled surface: the same texts, with the filled cells as elevations.
+FILLED = (
+    DEM.replace("dem as (", "raw as (").replace("from dem)", "from raw)", 1).split("drop8 as")[0]
+    + """w(r, c, v) using key (r, c) as (select r, c, z as v from raw, size where r = 0 or c = 0 or r = nr - 1 or c = 63
+  union select n.r, n.c, min(greatest(n.z, w.v)) from w, offs join raw n on true left join recurring.w x on x.r = n.r and x.c = n.c
+  where n.r = w.r + dr and n.c = w.c + dc and (x.v is null or greatest(n.z, w.v) < x.v) group by n.r, n.c),
+dem as materialized (select r, c, v as z from w),
+drop8 as"""
+    + D8.split("drop8 as")[1].replace("d8 as (", "d8 as materialized (")
+)
+
+
+@query("full_hydro_pipeline", with_(FILLED + ", " + REACH + ", a as (select down, count(*) as n from reach group by down)", True)
+  + " select d8.r, d8.c, round(d8.z, 6) as filled, d8.dir, coalesce(a.n, 0)::double as acc, coalesce(a.n, 0) >= 10 as stream from d8 left join a on a.down = d8.node")
 def _(spark, sf_dir):
     cells, grid = dem(spark, sf_dir)
     filled = settle(conditioning.fill_depressions(cells, grid), "filled")
@@ -304,7 +318,7 @@ def _(spark, sf_dir):
 
 
 for _blend, _rule in {"max": "greatest(t, b)", "min": "least(t, b)", "topo_above": "case when t >= 0 then t else b end", "bathy_below": "case when b <= 0 then b else t end"}.items():
-    query(f"fuse_{_blend}", with_(DEM) + f" select r, c, round({_rule}, 6) as z from (select a.r, a.c, a.z as t, -b.z as b from dem a join dem b on b.r = a.r and b.c = 63 - a.c)")(
+    query(f"fuse_{_blend}", with_(CELLS) + f" select r, c, round({_rule}, 6) as z from (select a.r, a.c, a.z as t, -b.z as b from dem a join dem b on b.r = a.r and b.c = 63 - a.c)")(
         lambda spark, sf_dir, blend=_blend: (lambda d: ints(rounded(zonal.fuse(d, d.select("r", (63 - F.col("c")).alias("c"), (-F.col("z")).alias("z")), blend), "r", "c")))(embedding_dem(spark, sf_dir))
     )
 
@@ -370,7 +384,7 @@ def _(spark, sf_dir):
     return ints(rounded(routing.flow_direction_dinf(*dem_arrays(spark, sf_dir)), "r", "c"))
 
 
-FLOWING = """, edge as ({edges}), lvl(node, m, i) as (select r * 64 + c, 1.0::double, 0 from dem union all select e.dst, sum(m * p), i + 1 from lvl join edge e on e.src = lvl.node group by e.dst, i)
+FLOWING = """, edge as materialized ({edges}), lvl(node, m, i) as (select r * 64 + c, 1.0::double, 0 from dem union all select e.dst, sum(m * p), i + 1 from lvl join edge e on e.src = lvl.node group by e.dst, i)
 select d.r, d.c, round(coalesce(x.acc, 0), 6) as acc from dem d left join (select node, sum(m) as acc from lvl where i > 0 group by node) x on x.node = d.r * 64 + d.c"""
 
 

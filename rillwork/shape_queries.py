@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rillwork.grid import SQRT2, GridMeta, embedding_dem, line_item_points
 from rillwork.operators import basins, breaching, conditioning, interpolate, mesh, routing, streams, terrain, vectors, zonal
 from rillwork.plans.store import settle
-from rillwork.queries import D8, DEM, QUERIES, REACH, ROOTS, SQL, ST, _upscale_sql, dem, ints, query, rounded, routed, stream_nodes, with_
+from rillwork.queries import CELLS, D8, DEM, QUERIES, REACH, ROOTS, SQL, ST, _upscale_sql, dem, ints, query, rounded, routed, stream_nodes, with_
 from rillwork.sources import tiles
 
 __all__ = ["QUERIES", "SQL"]
@@ -82,7 +82,7 @@ def _(spark, sf_dir):
     return ints(rounded(vectors.enforce_breaklines(cells, lines_of(spark, LINES), grid), "r", "c"))
 
 
-@query("burn_buildings", with_(DEM + INSIDE) + " select d.r, d.c, round(z + 10 * coalesce(n, 0), 6) as z from dem d left join (select r, c, count(*) as n from inside group by r, c) x on x.r = d.r and x.c = d.c")
+@query("burn_buildings", with_(CELLS + INSIDE) + " select d.r, d.c, round(z + 10 * coalesce(n, 0), 6) as z from dem d left join (select r, c, count(*) as n from inside group by r, c) x on x.r = d.r and x.c = d.c")
 def _(spark, sf_dir):
     cells, grid = dem(spark, sf_dir)
     return ints(rounded(vectors.burn_buildings(cells, polygons_of(spark), grid), "r", "c"))
