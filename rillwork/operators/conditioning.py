@@ -86,6 +86,11 @@ def fill_depressions(cells: DataFrame, grid: GridMeta, tile: int = 256, epsilon:
     return cells.select("r", "c").join(state.select("r", "c", F.col("w").alias("z")), ["r", "c"], "left")
 
 
+def fill_sinks(cells: DataFrame, grid: GridMeta, **options) -> DataFrame:
+    """The older name of ``fill_depressions``."""
+    return fill_depressions(cells, grid, **options)
+
+
 def stochastic_depressions(cells: DataFrame, grid: GridMeta, sigma: float, runs: int, seed: int = 0, tile: int = 256) -> DataFrame:
     """(r, c, p): the share of runs with normal noise in which filling raises the cell. The noise is a hash of seed, run and cell, whatever the partitions."""
     noisy = cells.where("z is not null").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).select("run", "r", "c", (F.col("z") + sigma * noise(seed)).alias("z"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.grid import GridMeta
@@ -37,6 +37,14 @@ def filter_classes(points: DataFrame, classes: list[int]) -> DataFrame:
     return points.where(F.col("classification").isin(*classes))
 
 
+def subset(points: DataFrame, chosen: Column | str) -> DataFrame:
+    """The points for which a condition on their columns is true (not null), with all columns; a condition of another type is an error."""
+    kept = points.select("*", (F.expr(chosen) if isinstance(chosen, str) else chosen).alias("__chosen"))
+    if kept.schema["__chosen"].dataType.simpleString() != "boolean":
+        raise ValueError("the condition is not true or false")
+    return kept.where("__chosen").drop("__chosen")
+
+
 def merge(*clouds: DataFrame) -> DataFrame:
     """The union of clouds over the columns that all of them have."""
     if not clouds:

@@ -20,9 +20,7 @@ def flow_direction_d8(cells: DataFrame, grid: GridMeta, forced: DataFrame | None
     """(r, c, dir): the steepest drop, the lowest code on ties; null where nothing lies lower. ``forced``(r, c, dir) wins."""
     best = F.greatest(*(F.struct(F.coalesce(f"s{k}", F.lit(float("-inf"))).alias("s"), F.lit(-k).alias("k")) for k in range(8)))
     out = slopes(cells, grid).select("r", "c", best.alias("b")).select("r", "c", F.when(F.col("b.s") > 0, -F.col("b.k")).alias("dir"))
-    if forced is not None:
-        out = out.join(forced.withColumnRenamed("dir", "f"), ["r", "c"], "left").select("r", "c", F.coalesce("f", "dir").alias("dir"))
-    return out
+    return _with_forced(out, forced)
 
 
 def flow_direction_mfd(cells: DataFrame, grid: GridMeta, exponent: float = 1.1, quinn: bool = True) -> DataFrame:
@@ -33,12 +31,38 @@ def flow_direction_mfd(cells: DataFrame, grid: GridMeta, exponent: float = 1.1,
     return w.select("r", "c", F.array(*(F.when(F.col("t") > 0, F.col(f"w{k}") / F.col("t")).otherwise(0.0) for k in range(8))).alias("fractions"))
 
 
-def flow_direction_rho8(cells: DataFrame, grid: GridMeta, seed: int = 0) -> DataFrame:
-    """(r, c, dir): D8 with each side's drop divided by 2 - u, corners as they are; u is uniform by hash of seed, cell and side."""
+def opposite_direction(code: Column) -> Column:
+    """The code of the way back; null for what is no direction."""
+    return F.when(code.between(0, 7), (code + 4) % 8)
+
+
+def pour_points_at(points: DataFrame, grid: GridMeta) -> DataFrame:
+    """points(id, x, y) -> (id, r, c), without those off the grid: pour points by their place on the map."""
+    return outlets_at(points, grid).where("r >= 0").select("id", "r", "c")
+
+
+def outlets_at(points: DataFrame, grid: GridMeta) -> DataFrame:
+    """points(id, x, y) -> (id, r, c, x, y): each one's cell and that cell's centre; -1 and NaN off the grid. Fractions of cells are cut off towards the origin."""
+    r, c = ((F.col("y") - grid.y0) / grid.dy).cast("int"), ((F.col("x") - grid.x0) / grid.dx).cast("int")
+    placed = points.select("id", r.alias("r"), c.alias("c"))
+    on = grid.inside(F.col("r"), F.col("c"))
+    x, y = grid.x0 + (F.col("c") + 0.5) * grid.dx, grid.y0 + (F.col("r") + 0.5) * grid.dy
+    off = lambda v, there: F.when(on, v).otherwise(F.lit(there))
+    return placed.select("id", off(F.col("r"), -1).alias("r"), off(F.col("c"), -1).alias("c"), off(x, float("nan")).alias("x"), off(y, float("nan")).alias("y"))
+
+
+def _with_forced(directions: DataFrame, forced: DataFrame | None) -> DataFrame:
+    if forced is None:
+        return directions
+    return directions.join(forced.withColumnRenamed("dir", "f"), ["r", "c"], "left").select("r", "c", F.coalesce("f", "dir").alias("dir"))
+
+
+def flow_direction_rho8(cells: DataFrame, grid: GridMeta, seed: int = 0, forced: DataFrame | None = None) -> DataFrame:
+    """(r, c, dir): D8 with each side's drop divided by 2 - u, corners as they are; u is uniform by hash of seed, cell and side. ``forced``(r, c, dir) wins."""
     chance = lambda k: F.pmod(F.xxhash64(F.lit(seed), "r", "c", F.lit(k)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     drop = lambda k: F.col(f"s{k}") / (2 - chance(k)) if k % 2 == 0 else F.col(f"s{k}")
     best = F.greatest(*(F.struct(F.coalesce(drop(k), F.lit(float("-inf"))).alias("s"), F.lit(-k).alias("k")) for k in range(8)))
-    return slopes(cells, grid).select("r", "c", best.alias("b")).select("r", "c", F.when(F.col("b.s") > 0, -F.col("b.k")).alias("dir"))
+    return _with_forced(slopes(cells, grid).select("r", "c", best.alias("b")).select("r", "c", F.when(F.col("b.s") > 0, -F.col("b.k")).alias("dir")), forced)
 
 
 def flow_direction_dinf(cells: DataFrame, grid: GridMeta) -> DataFrame:

@@ -78,8 +78,14 @@ def order(nodes: DataFrame, method: str = "strahler") -> DataFrame:
     return methods[method](nodes)
 
 
-def main_stem(nodes: DataFrame) -> DataFrame:
-    """(node) of the stem from the outlet with the longest way from above, the lower node on ties."""
+def main_stem(nodes: DataFrame, outlet: int | None = None) -> DataFrame:
+    """(node) of the stem from the outlet with the longest way from above, the lower node on ties; or of the stem that ends at the node ``outlet``.
+
+    An outlet that is no stream cell has no stem.
+    """
+    if outlet is not None:
+        ended = nodes.withColumn("ptr", F.when(F.col("node") != outlet, F.col("ptr")))
+        return stem_roots(stems(ended)).where(F.col("root") == outlet).select("node")
     stemmed = stems(nodes)
     outlet = stemmed.where("ptr is null").agg(F.max(F.struct("length", (-F.col("node")).alias("node"))).alias("b")).select((-F.col("b.node")).alias("root"))
     return stem_roots(stemmed).join(outlet, "root", "left_semi").select("node")

@@ -104,9 +104,47 @@ def _shade(azimuth: float, altitude: float, exaggeration: float = 1.0, scale: fl
     return F.greatest(F.lit(0.0), 1 + 254 * (-gx * east + gy * north + up) / F.sqrt(1 + gx * gx + gy * gy))
 
 
-def hillshade(cells: DataFrame, grid: GridMeta, azimuth: float = 315.0, altitude: float = 45.0, exaggeration: float = 1.0, scale: float = 1.0) -> DataFrame:
-    """1 + 254 cos(incidence), at least 0."""
-    return _gradient(cells, grid).select("r", "c", _shade(azimuth, altitude, exaggeration, scale).alias("shade"))
+def _combined(azimuth: float, altitude: float, exaggeration: float, scale: float) -> Column:
+    """1 less the angle of incidence times the slope, both as shares of a right angle; scaled to 1..255."""
+    a, h, f = math.radians(azimuth), math.radians(altitude), exaggeration / scale
+    gx, gy = F.col("gx") * f, F.col("gy") * f
+    cosine = (-gx * (math.sin(a) * math.cos(h)) + gy * (math.cos(a) * math.cos(h)) + math.sin(h)) / F.sqrt(1 + gx * gx + gy * gy)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    return 1 + 254 * F.greatest(F.lit(0.0), 1 - angle * F.atan(F.sqrt(gx * gx + gy * gy)) / (math.pi / 2) ** 2)
+
+
+def _multidirectional(altitude: float, exaggeration: float, scale: float) -> Column:
+    """Lights from 225, 270, 315 and 360 degrees, each weighted by the squared sine of its angle to the aspect; flat cells see the altitude alone."""
+    h, f = math.radians(altitude), exaggeration / scale
+    gx, gy = F.col("gx") * f, F.col("gy") * f
+    steep, total = gx * gx + gy * gy, F.lit(0.0)
+    for azimuth in (225.0, 270.0, 315.0, 360.0):
+        a = math.radians(azimuth)
+        # the downhill side faces (-gx, gy) to the east and north
+        across = -gx * math.cos(a) - gy * math.sin(a)
+        light = F.greatest(F.lit(0.0), -gx * (math.sin(a) * math.cos(h)) + gy * (math.cos(a) * math.cos(h)) + math.sin(h))
+        total = total + across * across * light
+    return 1 + 254 * F.when(steep > 0, total / (2 * F.when(steep > 0, steep)) / F.sqrt(1 + steep)).otherwise(math.sin(h))
+
+
+def _igor(azimuth: float, exaggeration: float, scale: float) -> Column:
+    """255 less what slopes that face away from the light lose, by their steepness."""
+    f = exaggeration / scale
+    gx, gy = F.col("gx") * f, F.col("gy") * f
+    turn = F.pmod(F.atan2(-gx, gy) - math.radians(azimuth + 180), F.lit(2 * math.pi))
+    apart = F.least(turn, 2 * math.pi - turn)
+    return 255 * (1 - F.atan(F.sqrt(gx * gx + gy * gy)) / (math.pi / 2) * (1 - apart / math.pi))
+
+
+def hillshade(cells: DataFrame, grid: GridMeta, azimuth: float = 315.0, altitude: float = 45.0, exaggeration: float = 1.0, scale: float = 1.0, kind: str = "regular") -> DataFrame:
+    """(r, c, shade): 1 + 254 cos(incidence), at least 0; or one of the kinds combined, multidirectional (which has no azimuth) and igor (no altitude)."""
+    kinds = {
+        "regular": lambda: _shade(azimuth, altitude, exaggeration, scale), "combined": lambda: _combined(azimuth, altitude, exaggeration, scale),
+        "multidirectional": lambda: _multidirectional(altitude, exaggeration, scale), "igor": lambda: _igor(azimuth, exaggeration, scale),
+    }
+    if kind not in kinds:
+        raise ValueError(f"kind is one of {[*kinds]}")
+    return _gradient(cells, grid).select("r", "c", kinds[kind]().alias("shade"))
 
 
 def hillshade_of_lights(cells: DataFrame, grid: GridMeta, lights: list[tuple[float, ...]], weights: list[float] | None = None) -> DataFrame:

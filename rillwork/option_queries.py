@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from rillwork.grid import embedding_dem
 from rillwork.operators import mesh, routing, terrain
-from rillwork.queries import D8, DEM, PALETTE, PATCH, POUR, REACH, SNAP, _upscale_sql, dem, ints, query, rounded, routed, with_
+from rillwork.plans.store import shared_path
+from rillwork.queries import CELLS, D8, DEM, PALETTE, PATCH, POUR, REACH, SNAP, _upscale_sql, dem, dem_arrays, ints, query, rounded, routed, with_
 from rillwork.shape_queries import MESH, QUERIES, SQL, lattice
+from rillwork.sources import geotiff
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -94,3 +96,42 @@ select distinct tid::bigint as tid, 'missing' as problem from corner where vid n
 def _(spark, sf_dir):
     vertices, triangles = lattice(spark, sf_dir)
     return mesh.problems(vertices.where("z > 0"), triangles.withColumn("c", F.when(F.col("tid") % 7 == 0, F.col("a")).otherwise(F.col("c"))))
+
+
+GRADIENT = PATCH + ", t as (select r, c, gx, gy, gx * gx + gy * gy as s, pi() / 4 as h from grad)"
+_LIGHTS = " + ".join(
+    f"pow(-gx * cos(radians({a})) - gy * sin(radians({a})), 2) * greatest(0, -gx * sin(radians({a})) * cos(h) + gy * cos(radians({a})) * cos(h) + sin(h))" for a in (225, 270, 315, 360)
+)
+_COSINE = "(-gx * sin(radians(315)) * cos(h) + gy * cos(radians(315)) * cos(h) + sin(h)) / sqrt(1 + s)"
+_TURN = "((atan2(-gx, gy) - radians(495)) - 2 * pi() * floor((atan2(-gx, gy) - radians(495)) / (2 * pi())))"
+SHADINGS = {
+    "multidirectional": f"1 + 254 * case when s > 0 then ({_LIGHTS}) / (2 * s) / sqrt(1 + s) else sin(h) end",
+    "combined": f"1 + 254 * greatest(0, 1 - acos(greatest(-1, least(1, {_COSINE}))) * atan(sqrt(s)) / pow(pi() / 2, 2))",
+    "igor": f"255 * (1 - atan(sqrt(s)) / (pi() / 2) * (1 - least({_TURN}, 2 * pi() - {_TURN}) / pi()))",
+}
+for _kind, _text in SHADINGS.items():
+    query(f"hillshade_{_kind}", with_(GRADIENT) + f" select r, c, round({_text}, 6) as shade from t")(
+        lambda spark, sf_dir, kind=_kind: ints(rounded(terrain.hillshade(*dem_arrays(spark, sf_dir), kind=kind), "r", "c"))
+    )
+
+
+#: The window's sums by columns, then by rows, each place mirrored at the edges.
+WIDE = DEM + """, across as (select a.r, a.c, sum(b.z) as s from dem a, size n, range(-15, 16) j(j) join dem b on true
+  where b.r = a.r and b.c = (case when a.c + j < 0 then -(a.c + j) - 1 when a.c + j >= n.nc then 2 * n.nc - 1 - (a.c + j) else a.c + j end) group by a.r, a.c),
+down as (select a.r, a.c, sum(b.s) / 961 as m from dem a, size n, range(-15, 16) i(i) join across b on true
+  where b.c = a.c and b.r = (case when a.r + i < 0 then -(a.r + i) - 1 when a.r + i >= n.nr then 2 * n.nr - 1 - (a.r + i) else a.r + i end) group by a.r, a.c)"""
+
+
+@query("tpi_wide", with_(WIDE) + " select a.r, a.c, round(a.z - m, 6) as tpi from dem a join down using (r, c)")
+def _(spark, sf_dir):
+    """A window of 31 cells to the side, by running sums."""
+    return ints(rounded(terrain.tpi(*dem_arrays(spark, sf_dir), 31), "r", "c"))
+
+
+@query("export_geotiff", with_(CELLS) + " select r, c, round(z::float::double, 6) as z from dem")
+def _(spark, sf_dir):
+    """The elevations as a GeoTIFF of 32 bits, read back."""
+    arrays, _ = dem_arrays(spark, sf_dir)
+    path = f"{shared_path(spark, 'geotiff')}/dem.tif"
+    geotiff.write_geotiff(arrays.blocks(), path, bits=32)
+    return ints(rounded(geotiff.read_geotiff(spark, path).cells(), "r", "c"))

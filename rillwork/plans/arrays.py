@@ -85,10 +85,15 @@ class RowArrays:
         return Blocks(self.map(lambda b: _row_of(b, b.own(b.arrays[name])), BLOCKS), self.grid, self.tile, name)
 
 
-def _row_of(block: Block, own: np.ndarray) -> dict:
+def row_of_values(tr: int, tc: int, own: np.ndarray) -> dict:
+    """The row of BLOCKS of a tile's own values."""
     own = np.ascontiguousarray(own, "<f8")
     rims = {"north": own[:RIM], "south": own[-RIM:], "west": own[:, :RIM], "east": own[:, -RIM:]}
-    return {"tr": [block.r0 // block.tile], "tc": [block.c0 // block.tile], "z": [own.tobytes()]} | {k: [np.ascontiguousarray(v).tobytes()] for k, v in rims.items()}
+    return {"tr": [tr], "tc": [tc], "z": [own.tobytes()]} | {k: [np.ascontiguousarray(v).tobytes()] for k, v in rims.items()}
+
+
+def _row_of(block: Block, own: np.ndarray) -> dict:
+    return row_of_values(block.r0 // block.tile, block.c0 // block.tile, own)
 
 
 def blocks_of_cells(cells: DataFrame, grid: GridMeta, tile: int = TILE, name: str = "z") -> Blocks:

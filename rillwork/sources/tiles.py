@@ -85,6 +85,12 @@ def export(cells: DataFrame, grid: GridMeta, path: str, target: str, validate: b
     """
     spark, out = cells.sparkSession, {}
     text = lambda name, content: spark.createDataFrame([(content.rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/{name}") or f"{path}/{name}"
+    if target == "hec_ras":
+        from rillwork.plans.arrays import blocks_of_cells
+        from rillwork.sources.geotiff import write_geotiff
+
+        write_geotiff(blocks_of_cells(cells, grid), f"{path}/hec_ras.tif", bits=32)
+        return {"tif": f"{path}/hec_ras.tif"}
     if target == "gmsh":
         return {"geo": text("geo", gmsh_script(grid))}
     rows = export_rows(cells, grid, target, validate)
