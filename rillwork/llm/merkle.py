@@ -167,3 +167,42 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest(read_table(spark, sf_dir, "documents"), tampered=tampered)
     out = rows.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("path")))
     return out.select("doc_id", "leaf", "subroot", "root", sha(siblings(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _sql_tree(nodes: str, name: str, levels: int) -> list[str]:
+    """Levels of a tree over ``nodes``(g, i, h), and each level's siblings; a group's only node goes up as it is."""
+    out = [f"{name}0 as materialized (select g, i, h, count(*) over (partition by g) as m from {nodes})"]
+    for k in range(levels):
+        run = "partition by g, i // 8 order by i rows between"
+        out.append(
+            f"{name}p{k} as materialized (select g, i, coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') as before, "
+            f"coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') as after from {name}{k} where m > 1)"
+        )
+        up = f"select g, i // 8 as i, case when any_value(m) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h from {name}{k} group by g, i // 8"
+        out.append(f"{name}{k + 1} as materialized (select *, count(*) over (partition by g) as m from ({up}))")
+    return out
+
+
+def op12_sql(levels: int = 14, upper: int = 6) -> str:
+    """op12_merkle in DuckDB's SQL, for up to 8 ** levels rows of a language and 8 ** upper languages."""
+    field = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar)::varchar || ':' || {c}::varchar end"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in FIELDS) + ")"
+    byte = "list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: {byte}), 4294967295)"
+    parts = [
+        f"d as materialized (select doc_id, coalesce('=' || lang, '') as g, {leaf('text')} as leaf, case when {crc} % 3 = 0 then {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} end as tampered from documents)",
+        "l as materialized (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i from d)",
+        *_sql_tree("(select g, i, leaf as h from l)", "n", levels),
+        f"s as materialized (select g as name, '' as g, h, row_number() over (order by encode(g)) - 1 as i from n{levels})",
+        *_sql_tree("(select g, i, h from s)", "u", upper),
+        "f0 as materialized (select l.doc_id, l.leaf, l.g, l.i, s.i as j, s.h as subroot, coalesce(tampered, leaf) as cur, '' as proof from l join s on s.name = l.g)",
+    ]
+    steps = [(f"np{k}", f"p.g = f.g and p.i = f.i // {8**k}") for k in range(levels)] + [(f"up{k}", f"p.i = f.j // {8**k}") for k in range(upper)]
+    for k, (table, on) in enumerate(steps):
+        folded = "case when p.i is null then cur else sha256(before || cur || after) end as cur, proof || coalesce(before || after, '') as proof"
+        parts.append(f"f{k + 1} as materialized (select f.doc_id, f.leaf, f.g, f.i, f.j, f.subroot, {folded} from f{k} f left join {table} p on {on})")
+    last = f"select doc_id, leaf, subroot, u.h as root, sha256(proof) as proof_sha256, cur as folded_root, cur = u.h as verified from f{len(steps)}, u{upper} u"
+    return "with " + ",\n".join(parts) + "\n" + last
+
+
+OP12_SQL = op12_sql()

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,10 @@ def test_groups_of_many_sizes_and_odd_rows(spark, monkeypatch):
         rows += [(len(rows) + i, f"s{i % 3}", lang, i, f"Text {i} Of ÄÖ" * (i % 4), "clash", 1) for i in range(n)]
     rows += [(None, None, None, None, None, None, None), (5, "s", "a", 1, "tie B", "", 0), (5, "s", "a", 1, "tie A", "", 0), (5, "s", "a", 1, "tie A", "", 0), (-7, "s", "a", None, "", "", 0), (3, "s", "b", 2, "Long " * 30000, "", 0)]
     assert got(spark, rows, monkeypatch) == expected(as_dicts(rows))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, source varchar, lang varchar, n_chars bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?, ?)", [r[:5] for r in rows])
+    assert sorted(con.execute(merkle.OP12_SQL).fetchall(), key=str) == expected(as_dicts(rows))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2])
