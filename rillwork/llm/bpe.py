@@ -192,7 +192,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, leaf: int = 1 <<
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what ``encode_documents`` gives, digested where it is made.
 
-    A text's ids and decoded bytes are dropped before the next text is encoded.
+    A text's ids and decoded bytes are dropped before the next text is encoded. A null text counts as empty: no ids, and the digests
+    of nothing. Rows with a null doc_id and repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
 
     def make():

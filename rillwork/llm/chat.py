@@ -61,6 +61,7 @@ def format_conversations(rows: DataFrame, template: Template = CHATML) -> DataFr
     empty. A conversation in an order that the machine does not accept is formatted all the same, with
     ``valid`` false and the place of its first wrong turn (its number of turns if it only ends early).
     Roles are URL-encoded in their mark, so any role is read back.
+    An empty table gives an empty result.
     """
     c = with_default_columns(rows, conv_id="bigint", turn="bigint", role="string", text="string")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

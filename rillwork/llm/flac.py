@@ -418,7 +418,10 @@ class Features:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """op8's columns: the texts as FLAC are written to the shared folder and read back, and PCM blocks of what was read are digested."""
+    """op8's columns: the texts as FLAC are written to the shared folder and read back, and PCM blocks of what was read are digested.
+
+    One row for each row, repeated ones and those with a null doc_id too; a null text counts as empty; an empty table gives none.
+    """
     stored = materialize(to_media(docs), "flac")
     stored = stored.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"

@@ -32,4 +32,4 @@ QUERIES = {
 
 #: The others' results depend on learned weights, vocabularies, hashes or bit streams that SQL can't make;
 #: tests/llm hold them against brute force, round trips or held-out accuracy.
-SQL = {"op7_chat": chat.OP7_SQL, "op12_merkle": merkle.OP12_SQL}
+SQL = {"op7_chat": chat.OP7_SQL, "op12_merkle": merkle.OP12_SQL, "op13_spelling": spelling.OP13_SQL}

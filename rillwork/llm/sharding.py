@@ -34,6 +34,8 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:
 
     Slots number each shard's rows from 0 without gaps. Rows are numbered in runs of one input
     partition and offset by the runs before, so no task ever holds a shard, nor a frequent key's rows.
+    A null text has size 1 and the checksum of nothing; rows with a null key share one shard; repeated rows each take
+    a slot; an empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = materialize(

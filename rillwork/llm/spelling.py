@@ -203,3 +203,37 @@ def variants(vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of the words of documents."""
     return variants(words(read_table(spark, sf_dir, "documents")))
+
+
+def _crc_table() -> list[int]:
+    """The 256 steps of the checksum by its rule, for SQL."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def op13_sql() -> str:
+    """op13_spelling in DuckDB's SQL. Letters of runs are below code point 256, so their UTF-8 bytes are one or two."""
+    table = "([" + ", ".join(map(str, _crc_table())) + "]::bigint[])"
+    code = "unicode(c)::bigint"
+    octets = f"flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda c: case when {code} < 128 then [{code}] else [192 + ({code} >> 6), 128 + ({code} & 63)] end))"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda a, b: xor(a >> 8, {table}[1 + (xor(a, b) & 255)])), 4294967295)"
+    return f"""with recursive found as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{UPPER}', '{LOWER}') as run from documents),
+runs as materialized (select doc_id, run, count(*) as k from found where length(run) >= {LEAST_LETTERS} group by all),
+hashed as materialized (select run, k, {crc} as h from runs),
+cut as (select case when h % {EVERY} = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from hashed),
+v as materialized (select word, sum(k)::bigint as n from cut where length(word) >= {LEAST_LETTERS} group by word having sum(k) >= {LEAST_COUNT}),
+rest as materialized (select word, n, i, left(word, i::int) || substr(word, i::int + 2) as s from v, lateral (select unnest(range(length(word))) as i)),
+near as materialized (select a.word, b.word as other, b.n as m from rest a join rest b on a.i = b.i and a.s = b.s and a.word <> b.word
+  union select a.word, v.word, v.n from rest a join v on v.word = a.s union select v.word, a.word, a.n from rest a join v on v.word = a.s),
+best as (select word, count(*) as n_near, first(other order by m desc, encode(other)) as best, max(m) as m from near group by word),
+forms as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= {RATIO} * v.n then best end as form, case when m >= {RATIO} * v.n then m end as form_n from v left join best using (word)),
+walk(word, here) as (select word, word from v union all select walk.word, f.form from walk join forms f on f.word = walk.here where f.form is not null),
+roots as (select walk.word, walk.here as root from walk join forms f on f.word = walk.here where f.form is null)
+select word, form, root, n, n_near, form_n from forms join roots using (word)"""
+
+
+OP13_SQL = op13_sql()

@@ -234,7 +234,8 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
 
     Removes every word that a window covers whose words also start anywhere else. A null or empty
     text has no words; repeated rows are occurrences like any other, so their windows all go.
-    ``kept`` is the kept words joined by one space.
+    ``kept`` is the kept words joined by one space. An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
     """
     packed = _packed(docs)
 

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,19 @@ def test_words_and_groups(spark):
     assert any(r[1] for r in mine) and sum(r[4] for r in mine) > 0
 
 
+def test_sql_on_odd_rows(spark):
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("abBc\u00e9\u00c9\u00d7") for _ in range(rng.randint(5, 9))) for _ in range(200)]
+    rows = [(i if i % 17 else None, " ".join(rng.choices(stems, [1 / (k + 1) for k in range(len(stems))], k=80))) for i in range(200)] + [(1, None), (2, ""), (3, "1 2 !")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    expected = grouped(counted(rows, 199, 6, 5))
+    assert sorted(con.execute(spelling.OP13_SQL).fetchall(), key=str) == expected
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, spelling.variants(spelling.words(docs)).collect()), key=str) == expected
+
+
 def test_chains_and_ties(spark):
     n = {"aaaaaa": 5, "aaaaab": 25, "aaaabb": 125, "aaabbb": 625, "aabbbb": 3125, "abbbbb": 15625, "bbbbbbb": 7, "bbbbbb": 15625, "aaaaaaa": 1, "zzzzzz": 9}
     vocabulary = spark.createDataFrame(list(n.items()), "word string, n long")
