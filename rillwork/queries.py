@@ -120,7 +120,7 @@ drop8 as"""
 
 
 @query("full_hydro_pipeline", with_(FILLED + ", " + REACH + ", a as (select down, count(*) as n from reach group by down)", True)
-  + " select d8.r, d8.c, round(d8.z, 6) as filled, d8.dir, coalesce(a.n, 0)::double as acc, coalesce(a.n, 0) >= 10 as stream from d8 left join a on a.down = d8.node")
+  + " select d8.r, d8.c, round(d8.z, 6) as filled, d8.dir::bigint as dir, coalesce(a.n, 0)::double as acc, coalesce(a.n, 0) >= 10 as stream from d8 left join a on a.down = d8.node")
 def _(spark, sf_dir):
     cells, grid = dem(spark, sf_dir)
     filled = settle(conditioning.fill_depressions(cells, grid), "filled")
