@@ -106,8 +106,11 @@ def _compare(distance: int):
             h, m = s + np.flatnonzero(home[s : s + n]), s + np.flatnonzero(member[s : s + n])
             for i in range(0, len(h), 256):
                 x, y = np.nonzero(np.bitwise_count(fp[h[i : i + 256], None] ^ fp[m]) <= distance)
-                # of a home's links only those to unlike rows matter; the forest keeps one per row
-                left.append(h[i : i + 256][x]), right.append(m[y])
+                # only a forest of each 256 homes' links is kept, so a cell holds no more links than rows for each of them
+                a, b = h[i : i + 256][x] - s, m[y] - s
+                least = local_forest(n, a, b)
+                tied = np.flatnonzero(least != np.arange(n))
+                left.append(s + tied), right.append(s + least[tied])
         a = np.concatenate(left) if left else np.zeros(0, int)
         b = np.concatenate(right) if right else np.zeros(0, int)
         label = local_forest(len(fp), a, b)

@@ -98,3 +98,21 @@ def test_rows_without_an_id_link_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: rows)
     got = sorted(((r.fingerprint, r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
     assert got == [(f"{fp:016x}", d, c) for (d, fp), c in zip(prints, (1, 1, 1, None), strict=True)]
+
+
+def test_cells_of_many_homes_keep_a_forest():
+    """A cell with over 256 homes: its links connect what brute force connects, and are no more than a forest of each 256 homes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from rillwork.llm._shared import local_forest
+
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 1 << 62, 5, dtype=np.uint64)
+    fp = np.unique(centres[rng.integers(0, 5, 700)] ^ (np.uint64(1) << rng.integers(0, 62, 700).astype(np.uint64)))
+    n = len(fp)
+    c = {"anchor": np.zeros(n, int), "cell": np.zeros(n, int), "fp": fp.view(np.int64), "rep": np.arange(n), "home": np.arange(n) % 3 > 0, "member": np.ones(n, bool)}
+    got = simhash._compare(3)({k: pa.array(v) for k, v in c.items()})
+    a, b = np.nonzero((np.bitwise_count(fp[:, None] ^ fp) <= 3) & c["home"][:, None])
+    assert (local_forest(n, np.asarray(got["a"]), np.asarray(got["b"])) == local_forest(n, a, b)).all()
+    assert len(got["a"]) < n
