@@ -7,8 +7,9 @@ an anchor that occurs once hold nothing repeated and go no further; segments of
 all repeated. What remains is partitioned by prefixes of varying length, so that a group fits in memory: all
 distinct segments of one anchor (an 8-word prefix) make a group if there are at most ``GROUP``, and a suffix
 tree is built of it top down, an edge being seven words; nodes at the window's depth with two or
-more leaves are the repeats. Suffixes of a more frequent anchor are partitioned by the longest prefix, all words of
-the window: then a group is one node at that depth, and its leaves are counted before they are shuffled.
+more leaves are the repeats. Suffixes of a more frequent anchor are partitioned by longer prefixes, each by the shortest of
+14, 21, 28, ... words that at most ``GROUP`` of them share, and each such group makes a tree. A group that is still larger at the
+whole window is one node at that depth already, and its leaves are counted before they are shuffled.
 
 Equal segments are known by two independent hashes of 64 bits (anchor and digest), equal windows by their words.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from rillwork.llm._shared import WORD, group_starts, map_batches, map_groups, materialize, read_table, utf8, with_default_columns
 
 PREFIX, EDGE = 8, 7
-#: Most distinct segments of an anchor that one tree takes.
+#: Most distinct segments of an anchor, or suffixes with a longer prefix, that one tree takes.
 GROUP = 2048
 #: Words of a document handled at once.
 PIECE = 1 << 20
@@ -141,15 +142,22 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(with_default_columns(docs, doc_id="bigint", text="string"), make, schema)
 
 
+def prefix_lengths(length: int) -> list[int]:
+    """The longer prefixes of a window, in words, up to the whole window."""
+    return [*range(2 * EDGE, length, EDGE), length]
+
+
 def _wanted(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The text of each wanted segment, or, where its anchor is ``hot``, each of its windows with its hash."""
-    schema = "anchor bigint, digest bigint, count bigint, off int, prefix bigint, text binary"
+    """The text of each wanted segment, or, where its anchor is ``hot``, each of its windows with its prefixes' hashes."""
+    schema = "anchor bigint, digest bigint, count bigint, off int, prefixes array<bigint>, text binary"
+    cuts = prefix_lengths(length)
+    hashed = lambda words: xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
     def make():
         unpack = zstandard.ZstdDecompressor()
 
         def step(c: dict) -> dict:
-            out: dict = {k: [] for k in ("anchor", "digest", "count", "off", "prefix", "text")}
+            out: dict = {k: [] for k in ("anchor", "digest", "count", "off", "prefixes", "text")}
             want = [{(s["anchor"], s["digest"]): (s["count"], s["hot"]) for s in x} for x in c["segments"].to_pylist()]
             data = c["z"].to_pylist()
             for s, e in _slices(len(data), 200):
@@ -160,8 +168,8 @@ def _wanted(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         continue
                     words = t.split(b" ") if hot else []
                     for o in range(n) if hot else [0]:
-                        prefix = xxhash.xxh3_64_intdigest(b" ".join(words[o : o + length])) - (1 << 63) if hot else None
-                        for k, v in (("anchor", a), ("digest", g), ("count", count), ("off", o), ("prefix", prefix), ("text", b" ".join(words[o : o + length]) if hot else t)):
+                        prefixes = [hashed(words[o : o + cut]) for cut in cuts] if hot else None
+                        for k, v in (("anchor", a), ("digest", g), ("count", count), ("off", o), ("prefixes", prefixes), ("text", b" ".join(words[o : o + length]) if hot else t)):
                             out[k].append(v)
             return out
 
@@ -170,10 +178,12 @@ def _wanted(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return map_batches(docs.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"]).select("z", "segments"), make, schema)
 
 
-def _trees(length: int):
+def _trees(length: int, key: str):
+    """Whole groups of one ``key`` to the repeated windows of the segments that occur once; ``off`` is a text's place in its segment."""
+
     def step(c: dict) -> dict:
         out: dict = {"anchor": [], "digest": [], "off": [], "len": []}
-        starts = group_starts([c["anchor"]])
+        starts, first = group_starts([c[key]]), np.asarray(c["off"])
         texts, counts = c["text"].to_pylist(), np.asarray(c["count"])
         anchor, digest = np.asarray(c["anchor"]), np.asarray(c["digest"])
         for s, e in zip(starts, np.append(starts[1:], len(texts)), strict=True):
@@ -182,22 +192,34 @@ def _trees(length: int):
             offsets = [range(t.count(b" ") + 2 - length) for t in texts[s:e]]
             for i, o in repeated_windows(texts[s:e], offsets, length):
                 if counts[s + i] == 1:
-                    for k, v in (("anchor", anchor[s + i]), ("digest", digest[s + i]), ("off", o), ("len", 1)):
+                    for k, v in (("anchor", anchor[s + i]), ("digest", digest[s + i]), ("off", first[s + i] + o), ("len", 1)):
                         out[k].append(v)
         return out
 
     return step
 
 
-def _hot_repeats(windows: DataFrame) -> DataFrame:
-    """windows(anchor, digest, count, off, prefix, text) of frequent anchors -> (anchor, digest, off) of the repeated ones.
+def _hot_repeats(windows: DataFrame, length: int) -> DataFrame:
+    """windows(anchor, digest, count, off, prefixes, text) of frequent anchors -> (anchor, digest, off, len) of the repeated ones.
 
-    Only windows whose hash occurs twice go on; those are grouped, and counted before the shuffle, by their words.
+    Prefixes are counted at all lengths at once, by their hashes. A window goes by its shortest prefix that GROUP or fewer
+    share, or by the whole; one whose prefix no other has goes no further. Texts are shuffled to their trees only.
     """
-    shared = windows.groupBy("prefix").agg(F.count("*").alias("k")).where("k > 1").select("prefix")
-    kept = materialize(windows.join(shared, "prefix", "left_semi"), "long-prefixes")
-    found = materialize(kept.groupBy("prefix", "text").agg(F.count("*").alias("k")).where("k > 1").select("prefix", "text"), "repeated-windows")
-    return kept.where("count = 1").join(found, ["prefix", "text"], "left_semi").select("anchor", "digest", "off")
+    last = len(prefix_lengths(length)) - 1
+    ends = windows.select("anchor", "digest", "off", "prefixes", F.posexplode("prefixes").alias("level", "prefix"))
+    counted = ends.groupBy("level", "prefix").agg(F.count("*").alias("k"), F.first(F.get("prefixes", F.col("level") - 1)).alias("shorter"))
+    counted = materialize(counted.where("k > 1"), "long-prefixes")
+    split = counted.where(F.col("k") > GROUP).select((F.col("level") + 1).alias("level"), F.col("prefix").alias("shorter"))
+    fits = counted.where((F.col("k") <= GROUP) | (F.col("level") == last))
+    groups = fits.where("level = 0").unionByName(fits.where("level > 0").join(split, ["level", "shorter"], "left_semi").select(*fits.columns))
+    at = ends.join(groups.select("level", "prefix", (F.col("k") <= GROUP).alias("tree")), ["level", "prefix"])
+    at = at.select("anchor", "digest", "off", F.col("prefix").alias("group"), "tree")
+    kept = materialize(windows.drop("prefixes").join(at, ["anchor", "digest", "off"]), "long-groups")
+    small = kept.where("tree").select("group", "anchor", "digest", "count", "off", "text").repartition("group").sortWithinPartitions("group")
+    from_trees = map_groups(small, ["group"], _trees(length, "group"), "anchor bigint, digest bigint, off int, len int")
+    whole = kept.where("not tree")
+    found = materialize(whole.groupBy("group", "text").agg(F.count("*").alias("k")).where("k > 1").select("group", "text"), "repeated-windows")
+    return from_trees.unionByName(whole.where("count = 1").join(found, ["group", "text"], "left_semi").select("anchor", "digest", "off", F.lit(1).alias("len")))
 
 
 def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
@@ -212,9 +234,9 @@ def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
     mixed = materialize(mixed.where("k > 1 and single = 1").select("anchor", (F.col("k") > GROUP).alias("hot")), "mixed-anchors")
     wanted = classes.join(mixed, "anchor").groupBy("rep.id", "rep.h").agg(F.collect_list(F.struct("anchor", "digest", "count", "hot")).alias("segments"))
     texts = materialize(_wanted(_packed(docs), materialize(wanted, "wanted"), length), "segment-texts")
-    trees = texts.where("prefix is null").select("anchor", "digest", "count", "text").repartition("anchor").sortWithinPartitions("anchor")
-    from_trees = map_groups(trees, ["anchor"], _trees(length), "anchor bigint, digest bigint, off int, len int")
-    from_long = _hot_repeats(texts.where("prefix is not null")).withColumn("len", F.lit(1))
+    trees = texts.where("prefixes is null").select("anchor", "digest", "count", "off", "text").repartition("anchor").sortWithinPartitions("anchor")
+    from_trees = map_groups(trees, ["anchor"], _trees(length, "anchor"), "anchor bigint, digest bigint, off int, len int")
+    from_long = _hot_repeats(texts.where("prefixes is not null"), length)
     copies = classes.where("count > 1").select("anchor", "digest", F.lit(0).alias("off"), F.lit(None).cast("int").alias("len"))
     repeats = materialize(copies.unionByName(from_trees).unionByName(from_long), "repeats")
     at = segments.join(repeats, ["anchor", "digest"]).select("id", "h", (F.col("lo") + F.col("off")).alias("s"), (F.col("lo") + F.col("off") + F.coalesce("len", "n") - 1 + length).alias("e"))

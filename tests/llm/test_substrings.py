@@ -55,3 +55,28 @@ def test_empty_table(spark):
 
 def test_tree_nodes_are_the_repeated_windows():
     assert sorted(substrings.repeated_windows([b"a b c a b c d", b"x b c d"], [range(5), range(2)], 3)) == [(0, 0), (0, 3), (0, 4), (1, 1)]
+
+
+def test_hot_anchors_go_by_longer_prefixes(spark, monkeypatch):
+    """One passage in many contexts, windows that share 14, 21 or 28 words, and copies: trees and whole windows alike."""
+    monkeypatch.setattr(substrings, "GROUP", 4)
+    rng = random.Random(3)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    stem = [f"s{i}" for i in range(60)]
+    texts = []
+    for shared in (8, 14, 20, 21, 28, 34, 35, 36, 50, 60):
+        tails = [new(30) for _ in range(2)]
+        texts += [" ".join(new(3) + stem[:shared] + rng.choice([*tails, new(30)])) for _ in range(7)]
+    texts += [texts[5]] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(plain(texts, 35)))
+    assert substrings.prefix_lengths(35) == [14, 21, 28, 35] and substrings.prefix_lengths(10) == [10]
+
+
+def test_short_windows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", 2)
+    texts = corpus()[:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(docs, 9).collect()}
+    assert got == dict(enumerate(plain(texts, 9)))
