@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -38,6 +39,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system (where the C library can), so that a Python worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: A step gets at most so many bytes of Arrow data at once (or one row, if that is larger).
 STEP_BYTES = 2 << 20
 
@@ -66,6 +75,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
         for batch in batches:
             for part in pieces(batch, limit):
                 yield as_batch(step({n: part.column(i) for i, n in enumerate(part.schema.names)}), target)
+            give_back()
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -94,6 +106,8 @@ def map_groups(df: DataFrame, keys: list[str], step: Callable[[dict], dict], sch
             held = [batch.slice(last)]
         if held:
             yield as_batch(step(columns(held)), target)
+        held.clear()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ PREFIX, EDGE = 8, 7
 #: Most distinct segments of an anchor, or suffixes with a longer prefix, that one tree takes.
 GROUP = 2048
 #: Words of a document handled at once.
-PIECE = 1 << 20
+PIECE = 1 << 17
 NO_ID = -(1 << 63)
 
 
