@@ -202,19 +202,20 @@ def _trees(length: int, key: str):
 def _hot_repeats(windows: DataFrame, length: int) -> DataFrame:
     """windows(anchor, digest, count, off, prefixes, text) of frequent anchors -> (anchor, digest, off, len) of the repeated ones.
 
-    Prefixes are counted at all lengths at once, by their hashes. A window goes by its shortest prefix that GROUP or fewer
+    Windows are counted by their prefixes' hashes first, so that equal ones count as one row with its number. A window goes by its shortest prefix that GROUP or fewer
     share, or by the whole; one whose prefix no other has goes no further. Texts are shuffled to their trees only.
     """
     last = len(prefix_lengths(length)) - 1
-    ends = windows.select("anchor", "digest", "off", "prefixes", F.posexplode("prefixes").alias("level", "prefix"))
-    counted = ends.groupBy("level", "prefix").agg(F.count("*").alias("k"), F.first(F.get("prefixes", F.col("level") - 1)).alias("shorter"))
+    distinct = materialize(windows.groupBy("prefixes").agg(F.count("*").alias("n")), "distinct-windows")
+    ends = distinct.select("n", "prefixes", F.posexplode("prefixes").alias("level", "prefix"))
+    counted = ends.groupBy("level", "prefix").agg(F.sum("n").alias("k"), F.first(F.get("prefixes", F.col("level") - 1)).alias("shorter"))
     counted = materialize(counted.where("k > 1"), "long-prefixes")
     split = counted.where(F.col("k") > GROUP).select((F.col("level") + 1).alias("level"), F.col("prefix").alias("shorter"))
     fits = counted.where((F.col("k") <= GROUP) | (F.col("level") == last))
     groups = fits.where("level = 0").unionByName(fits.where("level > 0").join(split, ["level", "shorter"], "left_semi").select(*fits.columns))
     at = ends.join(groups.select("level", "prefix", (F.col("k") <= GROUP).alias("tree")), ["level", "prefix"])
-    at = at.select("anchor", "digest", "off", F.col("prefix").alias("group"), "tree")
-    kept = materialize(windows.drop("prefixes").join(at, ["anchor", "digest", "off"]), "long-groups")
+    at = at.select("prefixes", F.col("prefix").alias("group"), "tree")
+    kept = materialize(windows.join(at, "prefixes").drop("prefixes"), "long-groups")
     small = kept.where("tree").select("group", "anchor", "digest", "count", "off", "text").repartition("group").sortWithinPartitions("group")
     from_trees = map_groups(small, ["group"], _trees(length, "group"), "anchor bigint, digest bigint, off int, len int")
     whole = kept.where("not tree")

@@ -101,3 +101,14 @@ def test_edge_rows(spark):
     got = mixing.mix(docs, docs.selectExpr("text", "lang as domain"), mixing.TARGETS).collect()
     assert len(got) == 6 and all(abs(sum(r.p) - 1) < 1e-9 and r.rate >= 0 for r in got)
     assert mixing.mix(docs.limit(0), docs.limit(0).selectExpr("text", "lang as domain"), mixing.TARGETS).count() == 0
+
+
+def test_copies_are_those_of_mix(spark):
+    docs = spark.createDataFrame([(i, t, d, "p", 1) for i, t, d in corpus()[:300]] + [(None, None, "en", "p", 2), (5, "der die", "de", "q", 3)], "doc_id long, text string, lang string, p string, n int")
+    labelled = docs.selectExpr("text", "lang as domain")
+    for low in (0.0, 1.0):
+        mine = mixing.with_copies(docs, labelled, mixing.TARGETS, low)
+        assert mine.columns == [*docs.columns, "__copies"]
+        key = lambda r: (r[0] is None, r)
+        got = sorted(((r.doc_id, r["__copies"]) for r in mine.collect()), key=key)
+        assert got == sorted(((r.doc_id, r.copies) for r in mixing.mix(docs, labelled, mixing.TARGETS, low).collect()), key=key) and len(got) == 302
