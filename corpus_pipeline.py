@@ -41,10 +41,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents by their rates, so that expected tokens by language meet the targets; none is dropped."""
     labelled = mixing.labelled_part(docs, read_table(spark, sf_dir, "labels"), "lang")
-    mixed = mixing.mix(docs, labelled, mixing.TARGETS, min_rate=1.0, keys=("doc_id",))
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    with_copies = docs.join(materialize(copies, "copies"), "doc_id", "left")
-    return with_copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1))))).select(*docs.columns)
+    copied = mixing.with_copies(docs, labelled, mixing.TARGETS, min_rate=1.0)
+    return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
