@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -112,3 +114,25 @@ def test_copies_are_those_of_mix(spark):
         key = lambda r: (r[0] is None, r)
         got = sorted(((r.doc_id, r["__copies"]) for r in mine.collect()), key=key)
         assert got == sorted(((r.doc_id, r.copies) for r in mixing.mix(docs, labelled, mixing.TARGETS, low).collect()), key=key) and len(got) == 302
+
+
+@pytest.mark.parametrize("bitmaps", [mixing.BITMAPS, 0])
+def test_labelled_part_shuffles_no_text(spark, monkeypatch, bitmaps):
+    """All labelled rows, whatever their ids, outside the held-out quarter; by bitmaps also where the labels are too many for Spark to broadcast them."""
+    monkeypatch.setattr(mixing, "BITMAPS", bitmaps)
+    ids = [0, 1, -1, 7, 8, 32767, 32768, 32769, -32767, -32768, -32769, 2**63 - 1, -(2**63), *range(100, 160)]
+    rows = [(i, f"t{i}", "en") for i in ids] + [(101, "again", "de"), (None, "none", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    named = [*ids[:13], *range(100, 160, 3), 101, 101, 32770, None]
+    labels = spark.createDataFrame([(i,) for i in named], "doc_id long").repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        part = mixing.labelled_part(docs, labels, "lang")
+        got = sorted(map(tuple, part.collect()))
+        plan = part._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == sorted((t, d) for i, t, d in rows if i is not None and i in named and zlib.crc32(str(i).encode()) % 4 != 2)
+    assert ("SortMergeJoin" in plan) == (bitmaps == 0)
+    assert mixing.labelled_part(docs, labels.limit(0), "lang").count() == 0
