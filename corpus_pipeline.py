@@ -26,10 +26,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = docs.withColumn("__row", F.xxhash64(F.col("text").cast("string")))
     ids = rows.select("doc_id", F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
-    kept = rows.join(materialize(simhash.least_of_similar(ids).withColumnRenamed("row", "__row"), "kept-rows"), ["doc_id", "__row"], "left_semi")
-    again = materialize(rows.where("doc_id is not null").groupBy("doc_id", "__row").count().where("count > 1").select("doc_id", "__row"), "repeated-rows")
-    once = kept.join(again, ["doc_id", "__row"], "left_anti")
-    repeated = kept.join(again, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
+    least = simhash.least_of_similar(ids).select("doc_id", F.col("row").alias("__row"), F.lit(1).alias("least"), F.lit(0).alias("n"))
+    each = least.unionByName(rows.where("doc_id is not null").select("doc_id", "__row", F.lit(0).alias("least"), F.lit(1).alias("n")))
+    kept = materialize(each.groupBy("doc_id", "__row").agg(F.max("least").alias("least"), F.sum("n").alias("n")).where("least = 1"), "kept-rows")
+    once = rows.join(kept.where("n = 1"), ["doc_id", "__row"], "left_semi")
+    repeated = rows.join(kept.where("n > 1"), ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
     return once.unionByName(repeated).unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 

@@ -39,6 +39,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bitmaps of 4 KB, each of 32768 neighbouring ids, that are broadcast.
+BITMAPS = 1 << 13
+
+
+def by_bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame | None:
+    """The rows of docs whose doc_id is in ids(doc_id: bigint), without a shuffle of docs; None where ids are too sparse for it.
+
+    Ids go to the rows as bitmaps, a bit an id where ids are dense; too sparse are those that take more than BITMAPS bitmaps.
+    """
+    block, bit = F.bitmap_bucket_number, F.bitmap_bit_position
+    if ids.agg(F.count_distinct(block("doc_id"))).first()[0] > BITMAPS:
+        return None
+    maps = materialize(ids.groupBy(block("doc_id").alias("__block")).agg(F.bitmap_construct_agg(bit("doc_id")).alias("__bits")), "bitmaps")
+    at = docs["doc_id"].cast("bigint")
+    byte = F.conv(F.hex(F.substring(maps["__bits"], (F.floor(bit(at) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(maps), (block(at) == maps["__block"]) & (F.getbit(byte, F.pmod(bit(at), F.lit(8)).cast("int")) == 1), "left_semi")
+
+
 def give_back() -> None:
     """Freed memory goes back to the system (where the C library can), so that a Python worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm._shared import WORD, group_starts, local_forest, map_batches, map_groups, materialize, utf8
+from rillwork.llm._shared import WORD, by_bitmaps, group_starts, local_forest, map_batches, map_groups, materialize, utf8
 from rillwork.llm.components import connected_components
 from rillwork.llm.simhash import majority, near_links
 
@@ -137,13 +137,16 @@ def _linked(rows: DataFrame, sizes: DataFrame, payload: str, first: Callable, re
     counts = materialize(again.groupBy("key").agg(F.count("*").alias("others")), f"{name}-rest")
     if counts.isEmpty():
         return found.where("a is not null").select("a", "b")
-    both = at.join(counts, "key").withColumn("q", _parts("others"))
+    # only the keys with such rows are joined again, once, for both sides
+    some = sizes.join(counts, "key").select("key", _parts("size").alias("parts"), _parts("others").alias("q"))
+    both = rows.join(some, "key").join(again.withColumn("one", F.lit(True)), ["key", "rep"], "left")
     other = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("q")).cast("int")
-    everyone = both.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: part * F.col("q") + x)))
-    everyone = everyone.select("key", "cell", "rep", F.lit(False).alias("one"), payload)
-    ones = both.join(again, ["key", "rep"]).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x * F.col("q") + other)))
-    ones = ones.select("key", "cell", "rep", F.lit(True).alias("one"), payload)
-    dealt = everyone.unionByName(ones).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    place = lambda cell, one: F.struct(cell.cast("int").alias("cell"), F.lit(one).alias("one"))
+    everyone = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: place(part * F.col("q") + x, False))
+    ones = F.when(F.col("one"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: place(x * F.col("q") + other, True)))
+    places = F.explode(F.concat(everyone, F.coalesce(ones, F.array().cast("array<struct<cell:int,one:boolean>>"))))
+    dealt = both.select("key", "rep", payload, places.alias("at")).select("key", "at.cell", "rep", "at.one", payload)
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
     more = map_groups(dealt, ["key", "cell"], rest, schema)
     return found.where("a is not null").select("a", "b").unionByName(more.where("a is not null").select("a", "b"))
 
@@ -268,7 +271,8 @@ def first_of_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
 
     sizes = materialize(blobs.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")), "blob-sizes")
     members = materialize(blobs.join(classes.select("rep", "least"), "rep").select("key", "rep", "least.doc_id", "least.row"), "blob-members")
-    texts = known.select("doc_id", "row", "text").join(members, ["doc_id", "row"]).dropDuplicates(["rep"])
+    few = by_bitmaps(known, members.select(F.col("doc_id").cast("bigint").alias("doc_id")))
+    texts = (known if few is None else few).select("doc_id", "row", "text").join(members, ["doc_id", "row"]).dropDuplicates(["rep"])
     sets = materialize(map_batches(texts.select("key", "rep", "text"), make_sets, "key bigint, rep bigint, hashes binary"), "shingle-sets")
     links = _linked(sets, sizes, "hashes", _verified(percent), _rest_links(percent), "similar")
     components = connected_components(links).withColumnRenamed("node", "rep")

@@ -20,14 +20,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm._shared import materialize, read_table, with_default_columns
+from rillwork.llm._shared import by_bitmaps, materialize, read_table, with_default_columns
 
 #: Word buckets; words of evidence that a text counts for at most; rounds; largest relative residual; least relative gain of a round.
 BUCKETS, EVIDENCE, ROUNDS, TOLERANCE, GAIN = 2048, 32, 100, 1e-3, 1e-4
 #: Production targets: shares of expected tokens by language. (Texts don't tell their source; the README has figures.)
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
-#: Most bitmaps of 4 KB, each of 32768 neighbouring ids, that are broadcast.
-BITMAPS = 1 << 13
 
 
 def words(text: Column) -> Column:
@@ -163,28 +161,15 @@ def with_copies(docs: DataFrame, labelled: DataFrame, weights: dict[str, float],
     return rated.select("__row.*", "__copies")
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids(doc_id: bigint).
-
-    Ids go to the documents as bitmaps, so that no text is shuffled: a bit an id where ids are dense. Ids so sparse that they take
-    more than BITMAPS bitmaps are joined as they are.
-    """
-    block, bit = F.bitmap_bucket_number, F.bitmap_bit_position
-    if ids.agg(F.count_distinct(block("doc_id"))).first()[0] > BITMAPS:
-        return docs.join(ids.distinct(), "doc_id", "left_semi")
-    maps = materialize(ids.groupBy(block("doc_id").alias("__block")).agg(F.bitmap_construct_agg(bit("doc_id")).alias("__bits")), "labelled-ids")
-    at = docs["doc_id"].cast("bigint")
-    byte = F.conv(F.hex(F.substring(maps["__bits"], (F.floor(bit(at) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return docs.join(F.broadcast(maps), (block(at) == maps["__block"]) & (F.getbit(byte, F.pmod(bit(at), F.lit(8)).cast("int")) == 1), "left_semi")
-
-
 def labelled_part(docs: DataFrame, labels: DataFrame, domain: str) -> DataFrame:
     """(text, domain) of the documents that the labels table names, but for its held-out quarter (crc32 of doc_id, mod 4, is 2).
 
     The other documents' own domains are never looked at.
     """
     known = with_default_columns(labels, doc_id="bigint").where("doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    return _with_ids(docs, known).select(F.col("text").cast("string").alias("text"), F.col(domain).alias("domain"))
+    part = by_bitmaps(docs, known)
+    part = docs.join(known.distinct(), "doc_id", "left_semi") if part is None else part
+    return part.select(F.col("text").cast("string").alias("text"), F.col(domain).alias("domain"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillwork.llm import jaccard
@@ -71,3 +72,25 @@ def test_candidates_of_similar_sets():
         a, b = (jaccard.sketch(np.concatenate([common, x])) for x in (other[:cut], other[cut:]))
         assert (jaccard.band_keys(a[None]) == jaccard.band_keys(b[None])).any()
         assert (a.astype(np.uint8) == b.astype(np.uint8)).sum() >= jaccard.LEAST_AGREEING
+
+
+def test_candidates_meet_their_keys_once(spark, monkeypatch):
+    """Only rows of keys that hold rows unlike their pivot are joined with keys a second time, once for both sides; each pair of such rows meets."""
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    rng = np.random.default_rng(4)
+    one, two, three = (rng.integers(0, 256, jaccard.SLOTS, dtype=np.uint8).tobytes() for _ in range(3))
+    rows = [(1, r, one) for r in range(40)] + [(2, r, two if r % 9 else three) for r in range(100, 140)] + [(3, r, one) for r in range(200, 203)]
+    candidates = spark.createDataFrame(rows, "key long, rep long, low binary").repartition(5)
+    sizes = candidates.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"))
+    links = jaccard._linked(candidates, sizes, "low", jaccard._ties, jaccard._rest_ties, "ties")
+    root = {r: r for _, r, _ in rows}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in links.collect():
+        root[find(a)] = find(b)
+    groups = {}
+    for r in root:
+        groups.setdefault(find(r), set()).add(r)
+    threes = {r for r in range(100, 140) if r % 9 == 0}
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [set(range(40)), set(range(100, 140)) - threes, threes, {200, 201, 202}]))
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join Inner, \(key#", plan)) == 2  # with keys that have a rest, and of their counts with their sizes

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from rillwork.llm import mixing
+from rillwork.llm import _shared, mixing
 
 
 def corpus():
@@ -116,10 +116,10 @@ def test_copies_are_those_of_mix(spark):
         assert got == sorted(((r.doc_id, r.copies) for r in mixing.mix(docs, labelled, mixing.TARGETS, low).collect()), key=key) and len(got) == 302
 
 
-@pytest.mark.parametrize("bitmaps", [mixing.BITMAPS, 0])
+@pytest.mark.parametrize("bitmaps", [_shared.BITMAPS, 0])
 def test_labelled_part_shuffles_no_text(spark, monkeypatch, bitmaps):
     """All labelled rows, whatever their ids, outside the held-out quarter; by bitmaps also where the labels are too many for Spark to broadcast them."""
-    monkeypatch.setattr(mixing, "BITMAPS", bitmaps)
+    monkeypatch.setattr(_shared, "BITMAPS", bitmaps)
     ids = [0, 1, -1, 7, 8, 32767, 32768, 32769, -32767, -32768, -32769, 2**63 - 1, -(2**63), *range(100, 160)]
     rows = [(i, f"t{i}", "en") for i in ids] + [(101, "again", "de"), (None, "none", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
