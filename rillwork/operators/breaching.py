@@ -132,7 +132,7 @@ def _breached(cells: DataFrame, grid: GridMeta, pits: DataFrame, cut: Pit, reach
     while not left.isEmpty():
         seen = settle(in_tiles(left, grid, tile, halo), "pits")
         busy = seen.where((F.floor(F.col("r") / tile) == F.col("tr")) & (F.floor(F.col("c") / tile) == F.col("tc"))).select("tr", "tc").distinct()
-        blocks = in_tiles(state.where("z is not null"), grid, tile, halo).join(busy, ["tr", "tc"], "left_semi")
+        blocks = in_tiles(state.where("z is not null"), grid, tile, halo).join(F.broadcast(busy), ["tr", "tc"], "left_semi")
         moved = settle(blocks.groupBy("tr", "tc").cogroup(seen.groupBy("tr", "tc")).applyInArrow(run, schema), "channels")
         lower = moved.where("z is not null").groupBy("r", "c").agg(F.min("z").alias("low"))
         state = settle(state.join(lower, ["r", "c"], "left").select("r", "c", F.least("z", "low").alias("z")), "breached")

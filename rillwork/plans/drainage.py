@@ -304,7 +304,7 @@ def passed_down(cells: DataFrame, edges: DataFrame, grid: GridMeta, tile: int =
     sent = state.select("tr", "tc", "node", F.lit(0.0).alias("v"), F.lit(0).alias("n")).where("false")
     first = True
     while True:
-        busy = sent.select("tr", "tc").distinct()
+        busy = F.broadcast(sent.select("tr", "tc").distinct())
         active = state if first else state.join(busy, ["tr", "tc"], "left_semi")
         moved = settle(active.groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInArrow(work, schema), "passed")
         kept = moved.drop("sent") if first else moved.drop("sent").unionByName(state.join(busy, ["tr", "tc"], "left_anti"))

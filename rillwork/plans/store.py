@@ -18,6 +18,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again. Joins with it sort both sides, unless the other one is broadcast by a hint.
+
+    Files take bits for a cell whose row takes some 60 bytes of the driver when it is broadcast, so their size must not decide that.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
