@@ -45,7 +45,7 @@ def nearest(targets: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
     out = parts[0] if parts else settle(targets.selectExpr("r", "c", "0D as d2", "0D as z", "0 as place").limit(0), "nearest")
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.hint("merge")  # a union has none of its parts' hints
 
 
 def centres(spark, grid: GridMeta) -> DataFrame:
