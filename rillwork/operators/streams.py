@@ -88,7 +88,7 @@ def main_stem(nodes: DataFrame, outlet: int | None = None) -> DataFrame:
         return stem_roots(stems(ended)).where(F.col("root") == outlet).select("node")
     stemmed = stems(nodes)
     outlet = stemmed.where("ptr is null").agg(F.max(F.struct("length", (-F.col("node")).alias("node"))).alias("b")).select((-F.col("b.node")).alias("root"))
-    return stem_roots(stemmed).join(outlet, "root", "left_semi").select("node")
+    return stem_roots(stemmed).join(F.broadcast(outlet), "root", "left_semi").select("node")
 
 
 def prune_short(nodes: DataFrame, grid: GridMeta, min_length: float) -> DataFrame:
