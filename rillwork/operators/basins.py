@@ -46,6 +46,7 @@ def _divided(state: DataFrame, grid: GridMeta, whole: bool) -> DataFrame:
     chosen = streams.where("ptr is not null").groupBy("ptr").agg(F.max(F.struct(first.alias("f"), "node")).alias("b")).select(F.col("b.node").alias("node"), F.lit(True).alias("main"))
     marked = settle(streams.join(chosen, "node", "left"), "inflows")
     outlets = marked.groupBy("code").agg(F.max(F.struct("acc", (-F.col("node")).alias("n"))).alias("b")).select("code", (-F.col("b.n")).alias("outlet"))
+    outlets = F.broadcast(outlets)  # a row a part, where one part may be the whole raster
     chain = marked.join(outlets, "code").withColumn("end", F.col("node") == F.col("outlet"))
     chain = chain.select("node", F.when(F.col("main") & ~F.col("end"), F.col("ptr")).alias("ptr"), F.when(F.col("end"), F.lit(0)).alias("at"), F.lit(1).alias("hops"))
     # hops count the nodes from here on, the last one too
@@ -55,7 +56,7 @@ def _divided(state: DataFrame, grid: GridMeta, whole: bool) -> DataFrame:
     order = F.pmod(F.col("dir") + 4, F.lit(8))
     ranked = joined.withColumn("volume", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("acc"), "position", order))).where("volume <= 4")
     digits = ranked.withColumn("digit", 2 * F.row_number().over(Window.partitionBy("code").orderBy("position", "volume"))).select("node", "digit")
-    dry = linked.join(outlets, "code", "left_anti").select("node", F.lit(1).alias("digit"))
+    dry = linked.join(outlets, "code", "left_anti").select("node", F.lit(1).alias("digit")).hint("merge")
     marks = stem.select("node", F.lit(5).alias("digit")).unionByName(digits)
     # paths that leave a part end there
     inside = linked.select("node", "r", "c", F.when(F.col("stays"), F.col("dir")).alias("dir")).join(marks, "node", "left")
