@@ -70,7 +70,7 @@ def least_levels(start: DataFrame, grid: GridMeta, rule: Callable[[float, float,
         if grid.rows <= tile and grid.cols <= tile:
             return state
         touched = in_tiles(lowered.where("moved"), grid, tile, 1).where((F.col("tr") != F.floor(F.col("r") / tile)) | (F.col("tc") != F.floor(F.col("c") / tile)))
-        active = settle(touched.select(*keys).distinct(), "active-tiles")
+        active = F.broadcast(settle(touched.select(*keys).distinct(), "active-tiles"))
         if active.isEmpty():
             return state
 
