@@ -41,6 +41,6 @@ def _items(seq):
     return [seq.apply(i) for i in range(seq.size())]
 
 
-@pytest.mark.parametrize("name", ["basin_hydrology", "hand", "hand_euclidean", "main_stem", "link_basins", "pfafstetter", "prune_short", "stream_links", "resolve_flats", "stream_order_hack", "stream_order_horton", "stream_order_shreve", "stream_order_strahler", "upscale_cotat", "upscale_dmm"])
+@pytest.mark.parametrize("name", ["basin_hydrology", "hand", "hand_euclidean", "main_stem", "link_basins", "pfafstetter", "prune_short", "stream_links", "resolve_flats", "stream_order_hack", "stream_order_horton", "stream_order_shreve", "stream_order_strahler", "upscale_cotat", "upscale_dmm", "upscale_eam"])
 def test_rasters_are_not_broadcast(held, name):
     assert max(broadcast_rows(held, lambda: QUERIES[name](held, SF).count()), default=0) <= MOST
